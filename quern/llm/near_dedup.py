@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from quern.llm.shared import materialize
 from quern.llm.textops import mix, text_slices, word_bounds, word_hashes
 
-SHINGLE, BINS, ROWS_PER_BAND = 5, 128, 4
+#: Bands of four rows find links of 0.85 all but surely; bands of eight gather only what is nearer, so that their centres suit.
+SHINGLE, BINS, NARROW, WIDE = 5, 128, 4, 8
 PERCENT = 85
-#: Stars per bucket: each round links what is left of a bucket to the best centre left.
-STARS = 3
+#: Stars per bucket: each round compares what a bucket has unlinked with a centre not used so far, in the first half of
+#: the rounds the best, then one drawn by hash, which differs from bucket to bucket.
+STARS = 4
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
@@ -80,13 +82,15 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One hash for every band of a signature; the band's number is part of it."""
-    bands = BINS // ROWS_PER_BAND
-    part = sig[:, : bands * ROWS_PER_BAND].reshape(len(sig), bands, ROWS_PER_BAND)
-    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), bands)).copy()
-    for k in range(ROWS_PER_BAND):
-        key = mix(key * _MULT + part[:, :, k])
-    return key
+    """One hash for every band of a signature, narrow bands first; the band's number is part of it."""
+    out = []
+    for rows in (NARROW, WIDE):
+        part = sig.reshape(len(sig), BINS // rows, rows)
+        key = np.broadcast_to(np.arange(1, BINS // rows + 1, dtype=np.uint64) + np.uint64(rows << 32), part.shape[:2]).copy()
+        for k in range(rows):
+            key = mix(key * _MULT + part[:, :, k])
+        out.append(key)
+    return np.concatenate(out, axis=1)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -117,15 +121,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), _lists(values, bounds)], ["doc_id", "shingles"])
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(bucket, rep, n_shingles, centre): in each bucket of two or more the centre is the member that shares most buckets with others, for the text that a group was copied from is nearer to all than they are to each other."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(bucket, degree, minus_rep, n_shingles, open) for buckets of two or more. The degree is how many bucket mates a class has in all its buckets of that width: the text that a group was copied from is nearer to all than they are to each other, so it has the highest."""
+    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n_shingles").withColumn("wide", F.col("band") >= BINS // NARROW)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     shared = members.join(sizes, "bucket")
-    degree = shared.groupBy("rep").agg(F.sum(F.col("in_bucket") - 1).alias("degree"))
-    shared = shared.drop("in_bucket").join(degree, "rep")
-    centres = shared.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus_rep"), "n_shingles")).alias("c"))
-    centres = centres.select("bucket", (-F.col("c.minus_rep")).alias("centre"), F.col("c.n_shingles").alias("centre_n"))
-    return shared.drop("degree").join(centres, "bucket").where("rep != centre")
+    degree = shared.groupBy("rep", "wide").agg(F.sum(F.col("in_bucket") - 1).alias("degree"))
+    return shared.join(degree, ["rep", "wide"]).select("bucket", "degree", (-F.col("rep")).alias("minus_rep"), "n_shingles", F.lit(True).alias("open"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's centre, the member of the highest degree (the smallest id of those), itself left out; buckets with no open member end here."""
+    centres = members.groupBy("bucket").agg(F.max(F.struct("degree", "minus_rep", "n_shingles")).alias("c"), F.max(F.struct("open", F.lit(1))).alias("o"))
+    centres = centres.where("o.open").select("bucket", F.col("c.minus_rep").alias("minus_centre"), F.col("c.n_shingles").alias("centre_n"))
+    return members.join(centres, "bucket").where("minus_rep != minus_centre").withColumns({"rep": -F.col("minus_rep"), "centre": -F.col("minus_centre")})
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,14 +175,16 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     one = known.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key")).alias("s")).select("doc_id", "s.*")
     of_rep = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     of_rep = materialize(of_rep, "classes")
-    members = of_rep.select(F.explode("bands").alias("bucket"), "rep", "n_shingles")
+    members = _members(of_rep)
     links = None
-    for _ in range(stars):
+    for turn in range(1, stars + 1):
         star = materialize(_stars(members), "stars")
-        pairs = star.where(100 * F.least("n_shingles", "centre_n") >= PERCENT * F.greatest("n_shingles", "centre_n")).select("rep", "centre").distinct()
-        found = materialize(_confirmed(docs, pairs), "links")
+        alike = F.col("open") & (100 * F.least("n_shingles", "centre_n") >= PERCENT * F.greatest("n_shingles", "centre_n"))
+        found = materialize(_confirmed(docs, star.where(alike).select("rep", "centre").distinct()), "links")
         links = found if links is None else links.unionByName(found)
-        members = star.join(found, ["rep", "centre"], "left_anti").select("bucket", "rep", "n_shingles")
+        members = star.join(found.withColumn("linked", F.lit(True)), ["rep", "centre"], "left")
+        rank = F.col("degree") if turn < stars // 2 else F.xxhash64("bucket", "rep", F.lit(turn))
+        members = members.select("bucket", rank.alias("degree"), "minus_rep", "n_shingles", (F.col("open") & F.col("linked").isNull()).alias("open"))
     joined = components(links.toDF("a", "b"))
     classes = of_rep.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("component"))
