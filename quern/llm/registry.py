@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.lm_score import train_and_score
 from quern.llm.near_dedup import near_duplicates
 
 
@@ -11,11 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
