@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.byte_bpe import round_trip
 from quern.llm.lm_score import train_and_score
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.token_counts import token_counts
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +21,23 @@ def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
+    "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
