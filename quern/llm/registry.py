@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.byte_bpe import round_trip
 from quern.llm.lm_score import train_and_score
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.quality_classifier import classify
 from quern.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +30,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
