@@ -309,7 +309,7 @@ def discounts(n: list[int]) -> tuple[float, ...]:
 def train(docs: DataFrame, buckets: int | None = None) -> Model:
     """Count the texts of docs and write the model to a new folder under the shared one. buckets: a power of two, by default from the session's shuffle partitions, which a user sets by the size of the data."""
     spark = docs.sparkSession
-    buckets = buckets or 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    buckets = buckets or 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     folder = mounted_dir(spark, "bigrams")
     texts = docs.select("text")
     words = texts.mapInArrow(_word_counter(buckets), _BLOB).groupBy("bucket").applyInArrow(_word_merger(folder), "bucket int, n long, total long").collect()
