@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.byte_bpe import round_trip
 from quern.llm.lm_score import train_and_score
+from quern.llm.mixing import mix_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.quality_classifier import classify
 from quern.llm.token_counts import token_counts
@@ -34,6 +35,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_mix_to_weights": op9_mix_to_weights,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
