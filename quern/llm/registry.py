@@ -10,6 +10,7 @@ from quern.llm.lm_score import train_and_score
 from quern.llm.mixing import mix_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.quality_classifier import classify
+from quern.llm.secret_scan import scan
 from quern.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +24,10 @@ def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -45,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
+    "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
@@ -52,4 +58,30 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Pieces between matches and the matches give the places of op5's findings; patterns as in secret_scan.RULES.
+_SECRETS = r"""
+WITH rules(ord, kind, pattern, grp, least) AS (VALUES
+    (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+    (2, 'hex', '[0-9a-f]+', 0, 24),
+    (3, 'github', 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 1),
+    (4, 'slack', 'xox[abprs]-[A-Za-z0-9-]{10,}', 0, 1),
+    (5, 'google', 'AIza[0-9A-Za-z_-]{35}', 0, 1),
+    (6, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 1),
+    (7, 'private_key', '-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----', 0, 1)),
+cut AS (%s),
+parts AS (SELECT doc_id, ord, kind, least, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS found, unnest(kept) AS kept FROM cut),
+placed AS (SELECT doc_id, ord, kind, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS stop, length(found) AS n, length(kept) >= least AS good FROM parts),
+spans AS (SELECT doc_id, ord, kind, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE good),
+of_doc AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN of_doc USING (doc_id)
+""" % " UNION ALL ".join(
+    f"SELECT doc_id, ord, kind, least, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS found, regexp_extract_all(text, p, {group}) AS kept FROM documents, (SELECT *, pattern AS p FROM rules WHERE ord = {n}) r"
+    for n, group in enumerate((2, 0, 0, 0, 0, 0, 0, 0))
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scans": _SECRETS,
+}
