@@ -10,6 +10,7 @@ from quern.llm.lm_score import train_and_score
 from quern.llm.mixing import mix_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.quality_classifier import classify
+from quern.llm.quality_rules import judge
 from quern.llm.secret_scan import scan
 from quern.llm.token_counts import token_counts
 
@@ -24,6 +25,10 @@ def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
+    "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -82,6 +88,26 @@ FROM documents d LEFT JOIN of_doc USING (doc_id)
     for n, group in enumerate((2, 0, 0, 0, 0, 0, 0, 0))
 )
 
+_RULES = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM t),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM places),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, sum(least(8, coalesce(next - i, 8)))::BIGINT AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice) GROUP BY doc_id),
+base AS (SELECT doc_id, text, words, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+counts AS (SELECT b.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * n_words AS base_failed FROM base b LEFT JOIN repeated r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > 3 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR (n_lines > 3 AND 2 * n_dup_lines > n_lines)
+    OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars OR 10 * length(regexp_replace(text, '[^0-9]+', '', 'g')) > 3 * word_chars
+    OR 2 * length(regexp_replace(text, '[^!]+', '', 'g')) > n_words OR NOT regexp_matches(text, '[.!?\x{3002}\x{0964}]')
+    OR 20 * len(list_distinct(words)) < n_words) AS kept
+FROM counts
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": _RULES,
     "op5_secret_scans": _SECRETS,
 }
