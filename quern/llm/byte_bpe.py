@@ -30,28 +30,39 @@ _TEXT, _ROWS = 3_000_000, 250_000
 #: In longer words all places of the lowest pair are contracted at once: a merge makes a token of a higher rank, so none is overtaken.
 _LONG = 200
 
-_MERGE = """
+#: A pair is packed as rank, position of its left token, position of its right one, so that the least is the leftmost of the lowest rank.
+_ONE = """
 WITH RECURSIVE step(word, pos, tok, live) AS (
     SELECT word, pos, tok, true FROM tokens
     UNION ALL
-    SELECT word, pos, CASE WHEN {merged} THEN (best >> 40)::INT ELSE tok END, best IS NOT NULL
-    FROM (SELECT *, {lost} AS lost FROM (
-        SELECT *, {found} FROM (
-            SELECT s.word, s.pos, s.tok, m.id, min((m.id::BIGINT << 40) + s.pos) OVER (PARTITION BY s.word) AS best
-            FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE live) s
-            LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next)))
-    WHERE NOT coalesce(lost, false)
+    (WITH pairs AS (
+        SELECT s.word, s.pos, s.tok, (m.id::BIGINT << 46) + (s.pos << 23) + s.after AS pair
+        FROM (SELECT word, pos, tok, lead(tok) OVER w AS next, lead(pos) OVER w AS after FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+        LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next),
+    least AS (SELECT word, min(pair) AS best FROM pairs GROUP BY word)
+    SELECT word, pos, CASE WHEN pos = (best >> 23) & 8388607 THEN (best >> 46)::INT ELSE tok END, best IS NOT NULL
+    FROM pairs JOIN least USING (word)
+    WHERE best IS NULL OR pos <> best & 8388607)
+)
+SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
+"""
+#: The same with every place of the lowest rank at once; in a run of adjacent places, as in aaaa, every second one.
+_ALL = """
+WITH RECURSIVE step(word, pos, tok, live) AS (
+    SELECT word, pos, tok, true FROM tokens
+    UNION ALL
+    (WITH pairs AS (
+        SELECT s.word, s.pos, s.tok, m.id, min(m.id) OVER (PARTITION BY s.word) AS best, row_number() OVER (PARTITION BY s.word ORDER BY s.pos) AS place
+        FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE live) s
+        LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next),
+    runs AS (SELECT *, coalesce(id = best, false) AS fits, place - row_number() OVER (PARTITION BY word, coalesce(id = best, false) ORDER BY pos) AS run FROM pairs),
+    hits AS (SELECT *, fits AND row_number() OVER (PARTITION BY word, run, fits ORDER BY pos) % 2 = 1 AS hit FROM runs)
+    SELECT word, pos, CASE WHEN hit THEN best ELSE tok END, best IS NOT NULL
+    FROM (SELECT *, lag(hit, 1, false) OVER (PARTITION BY word ORDER BY pos) AS lost FROM hits)
+    WHERE NOT lost)
 )
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
 """
-_PLACE = "best & ((1::BIGINT << 40) - 1)"
-_ONE = _MERGE.format(merged=f"pos = {_PLACE}", found="1 AS one", lost=f"lag(pos) OVER (PARTITION BY word ORDER BY pos) = ({_PLACE})")
-# in a run of adjacent places, as in aaaa, every second one counts
-_ALL = _MERGE.format(
-    merged="hit",
-    found="id = best >> 40 AND (row_number() OVER (PARTITION BY word, run, coalesce(id = best >> 40, false) ORDER BY pos)) % 2 = 1 AS hit",
-    lost="lag(hit) OVER (PARTITION BY word ORDER BY pos)",
-).replace("SELECT s.word, s.pos, s.tok, m.id, min(", "SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, coalesce(id = best >> 40, false) ORDER BY pos) AS run FROM (SELECT s.word, s.pos, s.tok, m.id, min(").replace("m.r = s.next)", "m.r = s.next))")
 _DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 

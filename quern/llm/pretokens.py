@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct pre-tokens that a task remembers; beyond it the dictionary starts anew, so that memory is bounded.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 
 @lru_cache(4)
