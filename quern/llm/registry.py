@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.byte_bpe import round_trip
 from quern.llm.lm_score import train_and_score
@@ -13,6 +13,7 @@ from quern.llm.quality_classifier import classify
 from quern.llm.quality_rules import judge
 from quern.llm.secret_scan import scan
 from quern.llm.token_counts import token_counts
+from quern.llm.url_filters import derived_captures, derived_entries, verdicts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    out = verdicts(derived_captures(pages), derived_entries(pages))
+    return out.select("page_id", F.col("fetched_on").cast("string").alias("fetched_on"), "matched_key", "action", F.col("listed_on").cast("string").alias("listed_on"), "blocked")
+
+
 def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
@@ -107,7 +115,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counts
 """
 
+_URLS = r"""
+WITH raw AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts, DATE '2024-01-01' + (page_id % 500)::INT AS day FROM pages),
+keyed AS (SELECT DISTINCT unnest([host, host || '/' || parts[1], CASE WHEN page_id % 20 = 0 THEN host || '/' || array_to_string(parts, '/') END]) AS key FROM raw),
+numbered AS (SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS x FROM keyed WHERE key <> ''),
+entries AS (SELECT key, 'block' AS action, DATE '2024-01-01' + x % 365 AS listed_on FROM numbered WHERE x % 4 <> 3
+    UNION ALL SELECT key, 'allow', DATE '2024-01-01' + (x % 365 + 60) FROM numbered WHERE x % 2 = 0
+    UNION ALL SELECT key, 'block', DATE '2024-01-01' + (x % 365 + 120) FROM numbered WHERE x % 5 = 0),
+spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY key ORDER BY listed_on) AS until FROM entries),
+labels AS (SELECT *, string_split(host, '.') AS l FROM raw),
+asked AS (SELECT page_id, day, unnest(list_transform(range(1, greatest(len(l), 2)), lambda i: array_to_string(l[i:], '.'))) AS key, unnest(list_transform(range(1, greatest(len(l), 2)), lambda i: len(l) - i + 1)) AS rank FROM labels WHERE host <> ''
+    UNION ALL SELECT page_id, day, unnest(list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/'))), unnest(list_transform(range(1, len(parts) + 1), lambda i: 1000000 + i)) FROM labels WHERE host <> ''),
+hits AS (SELECT page_id, key, action, listed_on, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC) AS n FROM asked JOIN spans USING (key) WHERE listed_on <= day AND (until IS NULL OR day < until))
+SELECT r.page_id, strftime(day, '%Y-%m-%d') AS fetched_on, key AS matched_key, action, strftime(listed_on, '%Y-%m-%d') AS listed_on, coalesce(action = 'block', false) AS blocked
+FROM raw r LEFT JOIN hits h ON h.page_id = r.page_id AND n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": _URLS,
     "op4_quality_rules": _RULES,
     "op5_secret_scans": _SECRETS,
 }
