@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.byte_bpe import round_trip
+from quern.llm.image_copies import image_copies, rendered
 from quern.llm.lm_score import train_and_score
 from quern.llm.mixing import mix_plan
 from quern.llm.near_dedup import near_duplicates
@@ -28,6 +29,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("fetched_on").cast("string").alias("fetched_on"), "matched_key", "action", F.col("listed_on").cast("string").alias("listed_on"), "blocked")
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies(rendered(_table(spark, sf_dir, "embeddings")))
+
+
 def op3_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_image_copies": op2_image_copies,
     "op3_kneser_ney_perplexity": op3_kneser_ney_perplexity,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
