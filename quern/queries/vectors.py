@@ -134,10 +134,15 @@ def _(t: Tables) -> DataFrame:
     return e.select("global_id", "pareja.fuente", F.col("pareja.global_id").alias("winner"), "pareja.score", "pareja.snip")
 
 
-@query("x2_sources_gone", f"{_DEDUP} SELECT DISTINCT entity_key FROM chunks WHERE entity_key NOT IN (SELECT entity_key FROM chunks JOIN stays USING (pos))")
+def _by_two(df: DataFrame) -> DataFrame:
+    """Sources of two rows each, of which some lose both."""
+    return df.withColumn("source", F.concat("source", F.lit("/"), F.floor((F.col("pos") + 1) / 2).cast("string")))
+
+
+@query("x2_sources_gone", f"{_DEDUP}, own AS (SELECT pos, source || '/' || (pos + 1) // 2 AS source FROM chunks) SELECT DISTINCT source FROM own WHERE source NOT IN (SELECT source FROM own JOIN stays USING (pos))")
 def _(t: Tables) -> DataFrame:
     rows, d = _both(t)
-    return rows.select("entity_key").subtract(d.kept.select("entity_key"))
+    return _by_two(rows).select("source").subtract(_by_two(d.kept).select("source"))
 
 
 @query("w3_audit_sample", f"{_DEDUP} SELECT motivo, sim, fuente, global_id FROM events WHERE fuente LIKE '%src1%' ORDER BY sim DESC NULLS LAST, fuente, global_id LIMIT 20")
@@ -173,10 +178,10 @@ def _(t: Tables) -> DataFrame:
     return metrics.discards_by_source(_both(t)[1].events)
 
 
-@query("a9_emptied_sources", f"{_DEDUP}, own AS (SELECT pos, source || entity_key AS fuente FROM chunks), gone AS (SELECT fuente FROM own GROUP BY fuente HAVING count(*) FILTER (pos IN (SELECT pos FROM stays)) = 0), e AS (SELECT o.fuente, motivo, sim, global_id, row_number() OVER (PARTITION BY o.fuente ORDER BY sim DESC NULLS LAST, global_id) AS n FROM events JOIN own o ON o.pos = global_id WHERE o.fuente IN (SELECT fuente FROM gone)) SELECT fuente, motivo, sim, global_id FROM e WHERE n = 1")
+@query("a9_emptied_sources", f"{_DEDUP}, own AS (SELECT pos, source || '/' || (pos + 1) // 2 AS fuente FROM chunks), gone AS (SELECT fuente FROM own GROUP BY fuente HAVING count(*) FILTER (pos IN (SELECT pos FROM stays)) = 0), e AS (SELECT o.fuente, motivo, sim, global_id, row_number() OVER (PARTITION BY o.fuente ORDER BY sim DESC NULLS LAST, global_id) AS n FROM events JOIN own o ON o.pos = global_id WHERE o.fuente IN (SELECT fuente FROM gone)) SELECT fuente, motivo, sim, global_id FROM e WHERE n = 1")
 def _(t: Tables) -> DataFrame:
     rows, d = _both(t)
-    own = lambda df: df.withColumn("source", F.concat("source", "entity_key"))
+    own = _by_two
     keyed = own(rows)
     events = d.events.drop("fuente").join(keyed.select(F.col("pos").alias("global_id"), F.col("source").alias("fuente")), "global_id")
     return dedup.emptied_sources(keyed, own(d.kept), events)
