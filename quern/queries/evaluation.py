@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quern.operators import evaluation as E
 from quern.operators.dedup import deduplicate
 from quern.operators.metrics import dedup_summary
+from quern.operators.retrieval import retrieve
 from quern.operators.scoring import score
 from quern.operators.tagging import CATEGORIES
 from quern.plans.corpus_job import run_corpus_job
@@ -38,11 +39,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a12_length_report", f"""WITH {RECORDS}, l AS (SELECT length(text) AS n, CASE WHEN source = '' THEN '__sin_fuente__' ELSE source END AS s, document_id AS d FROM records), per AS (SELECT count(*) AS c FROM l GROUP BY d)
-SELECT quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, count(*) FILTER (n < 10) AS below_10, count(*) FILTER (n < 50) AS below_50, count(*) FILTER (n > 2000) AS above_2000,
+SELECT round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, count(*) FILTER (n < 10) AS below_10, count(*) FILTER (n < 50) AS below_50, count(*) FILTER (n > 2000) AS above_2000,
     count(*) FILTER (n > 3000) AS above_3000, count(DISTINCT s) AS n_sources, count(DISTINCT d) AS n_documents, (SELECT round(avg(c), 6) FROM per) AS per_document_mean, (SELECT quantile_cont(c, 0.5) FROM per) AS per_document_median, (SELECT max(c) FROM per) AS per_document_max FROM l""")
 def _(t: Tables) -> DataFrame:
     out = E.length_report(records(t))
-    return out.select(*(_r(c) if c in ("p99", "per_document_mean") else F.col(c) for c in out.columns))
+    return out.select(*(_r(c) if c.startswith("p") and c not in ("per_document_median", "per_document_max") else F.col(c) for c in out.columns))
 
 
 @query("a13_category_report", f"WITH {RECORDS} SELECT category, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT document_id) AS n_documents, round(avg(length(text)), 6) AS mean_length, round(100.0 * count(*) / (SELECT count(*) FROM records), 6) AS share FROM records GROUP BY category")
@@ -109,8 +110,6 @@ def _(t: Tables) -> DataFrame:
 
 @query("j8_relevance_join", f"WITH {_METRICS} SELECT case_id, id, rank, coalesce(g, 0) AS gain FROM j WHERE rank <= 5")
 def _(t: Tables) -> DataFrame:
-    from quern.operators.retrieval import retrieve
-
     cases = _cases(t)
     hits = retrieve(cases.select("case_id", "embedding"), vectors(t), 5, "case_id")
     graded = cases.select("case_id", F.explode("relevance").alias("pos", "gain"))
