@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quern.operators import evaluation as E
-from quern.operators.dedup import deduplicate
-from quern.operators.metrics import dedup_summary
 from quern.operators.retrieval import retrieve
-from quern.operators.scoring import score
 from quern.operators.tagging import CATEGORIES
 from quern.plans.corpus_job import run_corpus_job
 from quern.plans.quality_report import run_quality_report
@@ -156,10 +153,3 @@ def _(t: Tables) -> DataFrame:
     rows = records(t).drop("embedding").join(vectors(t).select("pos", "embedding"), "pos")
     out = run_quality_report(rows, 0.35).where("concat(section, '.', metric) IN ('vectors.n', 'lengths.p50', 'lengths.below_50', 'neighbors.mean', 'neighbors.n_duplicates')")
     return out.withColumn("value", F.round("value", 6))
-
-
-@query("flagship", None)
-def flagship(t: Tables) -> DataFrame:
-    """Documents with vectors and labels, scored, deduplicated, and summed up."""
-    rows = score(chunks(t).drop("semantic_score"))
-    return dedup_summary(rows, deduplicate(rows, 0.35).events)

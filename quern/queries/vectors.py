@@ -213,3 +213,13 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out = vector_integrity(vectors(t))
     return out.select("n", "dim", "n_bad", "n_zero", *(_r(F.col(c)).alias(c) for c in ("norm_min", "norm_mean", "norm_max")))
+
+
+_OWN = "own AS (SELECT k.pos, k.v, s.score FROM chunks k JOIN scored s USING (pos) WHERE k.dedup_policy IS NULL)"
+
+
+@query("flagship", f"WITH RECURSIVE {CHUNKS}, {_SCORED}, {_EXACT}, {_OWN}, {_greedy('own', 'score')} SELECT pre, pre - exact - semantic AS post, exact, semantic, exact + semantic AS total, round(100.0 * (exact + semantic) / pre, 1)::DOUBLE AS pct FROM (SELECT (SELECT count(*) FROM chunks) AS pre, (SELECT count(*) FROM exact WHERE NOT kept) AS exact, (SELECT count(*) FROM winners) AS semantic)")
+def _(t: Tables) -> DataFrame:
+    """Documents with vectors and labels, scored, deduplicated, and summed up."""
+    rows = scoring.score(chunks(t).drop("semantic_score"))
+    return metrics.dedup_summary(rows, dedup.deduplicate(rows, THRESHOLD).events)
