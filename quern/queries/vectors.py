@@ -72,7 +72,7 @@ def _(t: Tables) -> DataFrame:
     return out.select("pos", _r(F.col("sim")).alias("sim"), "neighbor", "is_duplicate")
 
 
-@query("v5_duplicate_pairs_sample", f"WITH {CHUNKS}, {PAIRS.format(of='chunks')}, best AS (SELECT a AS pos, max(sim) AS sim, arg_max(b, sim) AS neighbor FROM pairs GROUP BY a) SELECT b.pos, neighbor, round(sim, 6) AS sim, k.page_content AS text, n.page_content AS neighbor_text FROM (SELECT * FROM best WHERE sim >= 0.35 ORDER BY pos LIMIT 100) b JOIN chunks k ON k.pos = b.pos JOIN chunks n ON n.pos = neighbor")
+@query("v5_duplicate_pairs_sample", f"WITH {CHUNKS}, unit AS (SELECT pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM chunks), {PAIRS.format(of='unit')}, best AS (SELECT a AS pos, max(sim) AS sim, arg_max(b, sim) AS neighbor FROM pairs GROUP BY a) SELECT b.pos, neighbor, round(sim, 6) AS sim, k.page_content AS text, n.page_content AS neighbor_text FROM (SELECT * FROM best WHERE sim >= 0.35 ORDER BY pos LIMIT 100) b JOIN chunks k ON k.pos = b.pos JOIN chunks n ON n.pos = neighbor")
 def _(t: Tables) -> DataFrame:
     rows = chunks(t)
     out = duplicate_pairs_sample(nearest_neighbor(rows, THRESHOLD), rows)
