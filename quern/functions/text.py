@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 AUTHORITY = {"reglamento": 1.0, "normativa": 1.0, "precios": 0.9, "tarifas": 0.9, "agenda": 0.6}
 AUTHORITY_ELSE = 0.7
 #: Fixed value: the answer that says there is no evidence.
-ABSTENTION = "No he encontrado información suficiente"
+ABSTENTION = "No dispongo de esa información en los documentos proporcionados."
 QUESTION_CHARS, TAG_CHARS = 2000, 8000
 
 _NUMBER = r"(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
@@ -84,15 +84,19 @@ def tag_prompt(instruction: str, text: Column) -> Column:
     return F.concat(F.lit(instruction), F.lit("\n\n"), F.substring(text, 1, TAG_CHARS))
 
 
+#: The headings of fragments and of a prompt's parts.
+FRAGMENT, CONTEXT, QUESTION, ANSWER = "--- Fragmento {} (fuente: {}) ---\n", "=== CONTEXTO ===\n", "=== PREGUNTA ===\n", "=== RESPUESTA ==="
+
+
 def context_block(hits: Column, empty: str = "(sin fragmentos recuperados)") -> Column:
     """Numbered fragments with their source from an ordered array of (source, text)."""
-    item = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), h["source"], F.lit(") "), h["text"])
+    before, between, after = FRAGMENT.split("{}")
+    item = lambda h, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(between), h["source"], F.lit(after), strip(F.coalesce(h["text"], F.lit(""))))
     return F.when(F.coalesce(F.size(hits), F.lit(0)) <= 0, empty).otherwise(F.array_join(F.transform(hits, item), "\n\n"))
 
 
 def rag_prompt(system: str, context: Column, question: Column) -> Column:
-    parts = (F.lit(f"{system}\n\n### CONTEXT\n"), context, F.lit("\n### QUESTION\n"), question, F.lit("\n### ANSWER\n"))
-    return F.concat(*parts)
+    return F.concat(F.lit(f"{system}\n\n{CONTEXT}"), strip(context), F.lit(f"\n\n{QUESTION}"), strip(question), F.lit(f"\n\n{ANSWER}"))
 
 
 def filled(template: str, **values: Column) -> Column:

@@ -187,12 +187,12 @@ def grouped_docs(df: DataFrame, advice: Advice, order: str) -> DataFrame:
     """A document for each group of equal keys: a heading, the keys that are not empty, then a line for each row in input order. `row` is the group's first row."""
     names = advice.grouping_keys
     rest = [c for c in df.columns if c != order and c not in names]
-    keyed = df.select(F.col(order).alias("_at"), *(compact_ws(F.col(f"`{k}`").cast("string")).alias(f"_k{i}") for i, k in enumerate(names)), F.concat(F.lit("- "), row_to_text(rest)).alias("_line"))
+    keyed = df.select(F.col(order).alias("_at"), *(compact_ws(F.col(f"`{k}`").cast("string")).alias(f"_k{i}") for i, k in enumerate(names)), F.nullif(row_to_text(rest), F.lit("")).alias("_line"))
     keys = [f"_k{i}" for i in range(len(names))]
     groups = keyed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_lines"), F.count("*").cast("int").alias("group_size"), F.min("_at").alias("row"))
-    shown = F.concat_ws("\n", *(F.when(F.col(k) != "", F.concat(F.lit(f"{n}: "), F.col(k))) for k, n in zip(keys, names, strict=True)))
-    body = F.array_join(F.transform("_lines", lambda e: e["_line"]), "\n")
-    text = F.concat(F.lit(f"{advice.source}\n"), shown, F.lit("\n\n"), body)
+    shown = F.concat_ws("\n", F.lit(f"Resumen del dataset {advice.source}."), *(F.when(F.col(k) != "", F.concat(F.lit(f"{n}: "), F.col(k))) for k, n in zip(keys, names, strict=True)))
+    body = F.array_join(F.transform("_lines", lambda e: F.concat(F.lit("\n- "), e["_line"])), "")
+    text = F.concat(shown, F.lit("\n"), body)
     label = F.concat_ws("|", *(F.nullif(F.col(k), F.lit("")) for k in keys))
     out = groups.select("row", text.alias("page_content"), label.alias("group_key"), "group_size", F.lit(True).alias("is_aggregated"))
     return _described(out, advice)

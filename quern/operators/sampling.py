@@ -69,8 +69,8 @@ def parse_question_array(raw: Column, limit: int) -> Column:
     found = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
     array = F.when(found != "", found).otherwise(F.concat(F.lit("["), F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), F.lit("]")))
     items = F.filter(F.from_json(array, "array<string>"), lambda s: F.startswith(strip(s), F.lit("{")))
-    pairs = F.transform(items, lambda s: F.from_json(s, "pregunta STRING, respuesta STRING"))
-    pairs = F.slice(F.transform(pairs, lambda p: F.struct(clean(p["pregunta"]).alias("question"), clean(p["respuesta"]).alias("answer"))), 1, limit)
+    pairs = F.transform(items, lambda s: F.from_json(s, "pregunta STRING, respuesta_posible STRING"))
+    pairs = F.slice(F.transform(pairs, lambda p: F.struct(clean(p["pregunta"]).alias("question"), clean(p["respuesta_posible"]).alias("answer"))), 1, limit)
     blank = F.array(F.struct(F.lit("").alias("question"), F.lit("").alias("answer")))
     return F.when(items.isNotNull(), F.when(F.size(pairs) > 0, pairs).otherwise(blank))
 

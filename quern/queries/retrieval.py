@@ -61,10 +61,10 @@ def _batch(k: int) -> str:
     return f"""SELECT a.query_id, question, CASE WHEN trim(question) = '' THEN 'empty' END AS error, coalesce(ok, false) AS has_evidence, trim(question) <> '' AND NOT coalesce(ok, false) AS abstained,
     CASE WHEN coalesce(ok, false) THEN least(5, {k}, (SELECT count(*) FROM chunks)) ELSE 0 END AS n_chunks, coalesce(s.sources, '') AS sources, CASE WHEN coalesce(ok, false) THEN c.context ELSE '' END AS context
     FROM asked a LEFT JOIN gate g USING (query_id) LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM near WHERE rank <= {k} GROUP BY query_id, source) GROUP BY query_id) s USING (query_id)
-    LEFT JOIN (SELECT query_id, string_agg('[' || rank || '] (' || source || ') ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= least(5, {k}) GROUP BY query_id) c USING (query_id)"""
+    LEFT JOIN (SELECT query_id, string_agg('--- Fragmento ' || rank || ' (fuente: ' || source || ') ---' || chr(10) || trim(text, chr(10) || ' '), chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= least(5, {k}) GROUP BY query_id) c USING (query_id)"""
 
 
-@query("o2_rag_batch", f"WITH {CHUNKS}, {_ASKED}, b AS ({_batch(7)}) SELECT *, CASE WHEN has_evidence THEN 'S' || chr(10) || chr(10) || '### CONTEXT' || chr(10) || context || chr(10) || '### QUESTION' || chr(10) || question || chr(10) || '### ANSWER' || chr(10) END AS prompt, CASE WHEN abstained THEN '{ABSTENTION}' END AS answer FROM b")
+@query("o2_rag_batch", f"WITH {CHUNKS}, {_ASKED}, b AS ({_batch(7)}) SELECT *, CASE WHEN has_evidence THEN 'S' || chr(10) || chr(10) || '=== CONTEXTO ===' || chr(10) || context || chr(10) || chr(10) || '=== PREGUNTA ===' || chr(10) || question || chr(10) || chr(10) || '=== RESPUESTA ===' END AS prompt, CASE WHEN abstained THEN '{ABSTENTION}' END AS answer FROM b")
 def _(t: Tables) -> DataFrame:
     out = R.rag_batch(_questions(t), chunks(t), 7, "S")
     return out.withColumns({"sources": F.array_join("sources", ","), "n_chunks": F.col("n_chunks").cast("long")})

@@ -61,8 +61,8 @@ def _(t: Tables) -> DataFrame:
 def _raw(t: Tables) -> DataFrame:
     """Answers of a model: an array of three with an odd item, an object, an empty array, and no JSON."""
     q = F.concat(F.lit('"¿'), "source", F.lit('?"'))
-    three = F.concat(F.lit('x [{"pregunta": '), q, F.lit(', "respuesta": "a"}, 5, {"pregunta": "p2", "respuesta": "NO GENERADA"}, {"pregunta": "p3", "respuesta": "c"}] y'))
-    one = F.concat(F.lit('{"pregunta": '), q, F.lit(', "respuesta": "b"}'))
+    three = F.concat(F.lit('x [{"pregunta": '), q, F.lit(', "respuesta_posible": "a"}, 5, {"pregunta": "p2", "respuesta_posible": "NO GENERADA"}, {"pregunta": "p3", "respuesta_posible": "c"}] y'))
+    one = F.concat(F.lit('{"pregunta": '), q, F.lit(', "respuesta_posible": "b"}'))
     raw = F.element_at(F.array(three, one, F.lit("[]"), F.lit("none")), (F.col("pos") % 4 + 1).cast("int"))
     return docs(t).withColumns({"raw": raw, "doc_category": F.col("lang")})
 

@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c6_grouped_docs", f"""
-WITH {_FACTS} SELECT min("at") AS row, 'facts.csv' || chr(10) || 'fecha: ' || fecha || chr(10) || 'grupo: ' || grupo || chr(10) || 'modo: ' || modo || chr(10) || chr(10)
+WITH {_FACTS} SELECT min("at") AS row, 'Resumen del dataset facts.csv.' || chr(10) || 'fecha: ' || fecha || chr(10) || 'grupo: ' || grupo || chr(10) || 'modo: ' || modo || chr(10) || chr(10)
     || string_agg('- clase: ' || clase || ' | cantidad: ' || cantidad, chr(10) ORDER BY "at", '- clase: ' || clase || ' | cantidad: ' || cantidad) AS page_content, fecha || '|' || grupo || '|' || modo AS group_key, count(*)::INT AS group_size FROM facts GROUP BY fecha, grupo, modo""")
 def _(t: Tables) -> DataFrame:
     docs = D.grouped_docs(_facts(t), D.Advice("facts.csv", "time_series", grouping_keys=["fecha", "grupo", "modo"]), "at")

@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("t12_context_block", """
-SELECT conv_id, string_agg('[' || n || '] (' || role || ') ' || text, chr(10) || chr(10) ORDER BY n) AS context
+SELECT conv_id, string_agg('--- Fragmento ' || n || ' (fuente: ' || role || ') ---' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY n) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) GROUP BY conv_id""")
 def _(t: Tables) -> DataFrame:
     hits = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("source"), "text")))
@@ -84,7 +84,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("t12_prompts", """
 SELECT doc_id, 'Etiqueta.' || chr(10) || chr(10) || substring(text, 1, 8000) AS tag_prompt, 'Haz 3 preguntas: ' || substring(text, 1, 2500) AS question_prompt,
-    'S' || chr(10) || chr(10) || '### CONTEXT' || chr(10) || source || chr(10) || '### QUESTION' || chr(10) || lang || chr(10) || '### ANSWER' || chr(10) AS rag_prompt FROM documents""")
+    'S' || chr(10) || chr(10) || '=== CONTEXTO ===' || chr(10) || source || chr(10) || chr(10) || '=== PREGUNTA ===' || chr(10) || lang || chr(10) || chr(10) || '=== RESPUESTA ===' AS rag_prompt FROM documents""")
 def _(t: Tables) -> DataFrame:
     question = T.filled("Haz {max_q} preguntas: {text}", max_q=F.lit(3), text=F.substring("text", 1, 2500))
     return t.documents.select("doc_id", T.tag_prompt("Etiqueta.", F.col("text")).alias("tag_prompt"), question.alias("question_prompt"), T.rag_prompt("S", F.col("source"), F.col("lang")).alias("rag_prompt"))

@@ -65,7 +65,7 @@ def test_recipe_needs_its_columns(spark):
 def test_transform(spark):
     docs = D.transform_table(table(spark, ["fecha", "x", "y", "#precio"]), "new.csv", "at")
     row = docs.orderBy("row").first()
-    assert row.page_content == "new.csv\nfecha: fecha0\nx: x0\ny: y0\n\n- precio: 0" and row.group_key == "fecha0|x0|y0" and row.group_size == 1
+    assert row.page_content == "Resumen del dataset new.csv.\nfecha: fecha0\nx: x0\ny: y0\n\n- precio: 0" and row.group_key == "fecha0|x0|y0" and row.group_size == 1
 
 
 def test_global_index(spark):
@@ -88,7 +88,7 @@ def test_sample_needs_rows(spark):
         balanced_sample(df, 2, "s")
 
 
-@pytest.mark.parametrize(("raw", "pairs"), [('[{"pregunta": "p", "respuesta": "NO GENERADA"}, 3]', [("p", "")]), ('{"pregunta": "q", "respuesta": "r"}', [("q", "r")]), ("[]", [("", "")]), ("none", None)])
+@pytest.mark.parametrize(("raw", "pairs"), [('[{"pregunta": "p", "respuesta_posible": "NO GENERADA"}, 3]', [("p", "")]), ('{"pregunta": "q", "respuesta_posible": "r"}', [("q", "r")]), ("[]", [("", "")]), ("none", None)])
 def test_question_array(spark, raw, pairs):
     out = spark.createDataFrame([(raw,)], "r string").select(parse_question_array(F.col("r"), 5).alias("p")).first().p
     assert (out and [tuple(p) for p in out]) == pairs
