@@ -6,6 +6,8 @@ A document's set: its distinct shingles of five lower-cased words; with fewer wo
 Defined results: a null or empty text has an empty set, is linked with nothing and is kept; rows that repeat a doc_id are one
 document (the row with the largest set stands for it); rows without a doc_id come back unlinked, with a null component, kept. Other
 columns of the input are not read.
+
+Joins of tables that grow with the corpus are merge joins at every size, so that a small run's figures tell of a large one.
 """
 
 from __future__ import annotations
@@ -125,24 +127,24 @@ def _members(classes: DataFrame) -> DataFrame:
     """(bucket, degree, minus_rep, n_shingles, open) for buckets of two or more. The degree is how many bucket mates a class has in all its buckets of that width: the text that a group was copied from is nearer to all than they are to each other, so it has the highest."""
     members = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n_shingles").withColumn("wide", F.col("band") >= BINS // NARROW)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
-    shared = members.join(sizes, "bucket")
+    shared = members.join(sizes.hint("merge"), "bucket")
     degree = shared.groupBy("rep", "wide").agg(F.sum(F.col("in_bucket") - 1).alias("degree"))
-    return shared.join(degree, ["rep", "wide"]).select("bucket", "degree", (-F.col("rep")).alias("minus_rep"), "n_shingles", F.lit(True).alias("open"))
+    return shared.join(degree.hint("merge"), ["rep", "wide"]).select("bucket", "degree", (-F.col("rep")).alias("minus_rep"), "n_shingles", F.lit(True).alias("open"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with its bucket's centre, the member of the highest degree (the smallest id of those), itself left out; buckets with no open member end here."""
     centres = members.groupBy("bucket").agg(F.max(F.struct("degree", "minus_rep", "n_shingles")).alias("c"), F.max(F.struct("open", F.lit(1))).alias("o"))
     centres = centres.where("o.open").select("bucket", F.col("c.minus_rep").alias("minus_centre"), F.col("c.n_shingles").alias("centre_n"))
-    return members.join(centres, "bucket").where("minus_rep != minus_centre").withColumns({"rep": -F.col("minus_rep"), "centre": -F.col("minus_centre")})
+    return members.join(centres.hint("merge"), "bucket").where("minus_rep != minus_centre").withColumns({"rep": -F.col("minus_rep"), "centre": -F.col("minus_centre")})
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (rep, centre) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("rep", "centre")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
-    both = pairs.join(sets.toDF("rep", "rep_set"), "rep").join(sets.toDF("centre", "centre_set"), "centre")
+    both = pairs.join(sets.toDF("rep", "rep_set").hint("merge"), "rep").join(sets.toDF("centre", "centre_set").hint("merge"), "centre")
     both = both.withColumn("common", F.size(F.array_intersect("rep_set", "centre_set")))
     union = F.size("rep_set") + F.size("centre_set") - F.col("common")
     return both.where(100 * F.col("common") >= PERCENT * union).select("rep", "centre")
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
         alike = F.col("open") & (100 * F.least("n_shingles", "centre_n") >= PERCENT * F.greatest("n_shingles", "centre_n"))
         found = materialize(_confirmed(docs, star.where(alike).select("rep", "centre").distinct()), "links")
         links = found if links is None else links.unionByName(found)
-        members = star.join(found.withColumn("linked", F.lit(True)), ["rep", "centre"], "left")
+        members = star.join(found.withColumn("linked", F.lit(True)).hint("merge"), ["rep", "centre"], "left")
         rank = F.col("degree") if turn < stars // 2 else F.xxhash64("bucket", "rep", F.lit(turn))
         members = members.select("bucket", rank.alias("degree"), "minus_rep", "n_shingles", (F.col("open") & F.col("linked").isNull()).alias("open"))
     joined = components(links.toDF("a", "b"))

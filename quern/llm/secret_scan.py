@@ -150,7 +150,7 @@ def _found(rule: Rule, order: int) -> Column:
 def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs(doc_id, text, ...) with a column for each kind, its findings (start, order, end)."""
     index = materialize(postings(docs, rules), "postings")
-    out = docs.join(candidates(index, rules).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    out = docs.join(candidates(index, rules).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     for order, rule in enumerate(rules):
         search = F.col("text").isNotNull()
