@@ -25,7 +25,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def _keep(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
     """The rows of docs whose doc_id has a verdict that meets the condition; rows without a doc_id stay."""
     bad = verdicts.where(f"doc_id IS NOT NULL AND NOT ({condition})").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
