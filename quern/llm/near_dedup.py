@@ -139,15 +139,12 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(centres.hint("merge"), "bucket").where("minus_rep != minus_centre").withColumns({"rep": -F.col("minus_rep"), "centre": -F.col("minus_centre")})
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (rep, centre) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("rep", "centre")).alias("doc_id")).distinct()
-    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingle-sets")
     both = pairs.join(sets.toDF("rep", "rep_set").hint("merge"), "rep").join(sets.toDF("centre", "centre_set").hint("merge"), "centre")
     both = both.withColumn("common", F.size(F.array_intersect("rep_set", "centre_set")))
     union = F.size("rep_set") + F.size("centre_set") - F.col("common")
-    return both.where(100 * F.col("common") >= PERCENT * union).select("rep", "centre")
+    return both.where(100 * F.col("common") >= PERCENT * union).select("rep", "centre").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,12 +174,16 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     one = known.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key")).alias("s")).select("doc_id", "s.*")
     of_rep = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     of_rep = materialize(of_rep, "classes")
-    members = _members(of_rep)
+    members = materialize(_members(of_rep), "members")
+    # full sets of the classes that have a bucket mate, made once for all rounds
+    wanted = members.select((-F.col("minus_rep")).alias("doc_id")).distinct()
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = materialize(sets, "shingle-sets")
     links = None
     for turn in range(1, stars + 1):
         star = materialize(_stars(members), "stars")
         alike = F.col("open") & (100 * F.least("n_shingles", "centre_n") >= PERCENT * F.greatest("n_shingles", "centre_n"))
-        found = materialize(_confirmed(docs, star.where(alike).select("rep", "centre").distinct()), "links")
+        found = materialize(_confirmed(sets, star.where(alike).select("rep", "centre").distinct()), "links")
         links = found if links is None else links.unionByName(found)
         members = star.join(found.withColumn("linked", F.lit(True)).hint("merge"), ["rep", "centre"], "left")
         rank = F.col("degree") if turn < stars // 2 else F.xxhash64("bucket", "rep", F.lit(turn))
