@@ -1,4 +1,5 @@
-"""MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidate edges.
+"""MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidate edges, and an exact
+join of what the stars leave: every two texts that share a bucket are compared, filtered out by a bound, or in one component.
 
 A document's set: its distinct shingles of five lower-cased words; with fewer words the whole sequence is one shingle. Documents with
 100 * |intersection| >= 85 * |union| are linked; a component's id is its smallest doc_id.
@@ -17,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.shared import materialize
 from quern.llm.textops import mix, text_slices, word_bounds, word_hashes
@@ -28,6 +29,8 @@ PERCENT = 85
 #: Stars per bucket: each round compares what a bucket has unlinked with a centre not used so far, in the first half of
 #: the rounds the best, then one drawn by hash, which differs from bucket to bucket.
 STARS = 4
+#: A shingle in so many prefixes is dealt out to one more part of the exact join.
+SALT = 1000
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
@@ -166,6 +169,38 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _unsettled(members: DataFrame, joined: DataFrame, stars: int) -> DataFrame:
+    """(doc_id, component) of the classes in a bucket that may hold a pair which is neither compared nor in one component. A bucket whose members are all apart has had every member compared with every centre, so small ones of these are settled."""
+    of = members.select("bucket", (-F.col("minus_rep")).alias("doc_id")).join(joined.toDF("doc_id", "component").hint("merge"), "doc_id", "left")
+    of = of.withColumn("component", F.coalesce("component", "doc_id"))
+    parts = of.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    open_ = parts.where((F.col("parts") > 1) & ((F.col("n") > stars + 1) | (F.col("parts") < F.col("n"))))
+    return of.join(open_.select("bucket").hint("merge"), "bucket", "left_semi").select("doc_id", "component").distinct()
+
+
+def _prefix_pairs(held: DataFrame) -> DataFrame:
+    """All pairs (rep, centre) of different components in held(doc_id, component, shingles) that may be near: exact prefix filter. Shingles are ordered with those of one component first, which no such pair shares, then the rarer first; a near pair's first common shingle is in the prefix of both, and what follows it suffices in both."""
+    one = held.select("doc_id", "component", F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = one.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "held")
+    own = Window.partitionBy("doc_id", "set")
+    at = one.join(shared.hint("merge"), "shingle").withColumn("place", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("rest", F.col("n") - (F.col("n") - F.count("*").over(own) + F.col("place") - 1))
+    prefix = materialize(at.where(100 * F.col("rest") >= PERCENT * F.col("n")).select("shingle", "held", "doc_id", "component", "n", "rest"), "prefixes")
+    # two components of a shingle meet once, at the highest bit in which their numbers differ, so none is paired with itself
+    of = Window.partitionBy("shingle")
+    ranks = prefix.select("shingle", "component").distinct().withColumn("rank", F.row_number().over(of.orderBy("component")) - 1).withColumn("parts", F.count("*").over(of)).where("parts > 1")
+    sided = prefix.join(ranks.hint("merge"), ["shingle", "component"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("parts") - 1)) - 1)))
+    # a pair's smaller text has its first common shingle in a shorter prefix: its own half of the common ones is more of it
+    short = (100 + PERCENT) * F.col("rest") >= 2 * PERCENT * F.col("n")
+    sided = sided.select("shingle", "level", F.expr("shiftright(rank, level + 1)").alias("group"), F.expr("shiftright(rank, level) & 1").alias("side"), "doc_id", "n", "rest", F.floor(F.col("held") / SALT).cast("int").alias("salts"))
+    a = sided.where(short).select("shingle", "level", "group", "side", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int").alias("salt"), F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"))
+    b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.col("doc_id").alias("centre"), "n", "rest")
+    both = a.join(b.hint("merge"), ["shingle", "level", "group", "side", "salt"])
+    both = both.where((F.col("rep_n") < F.col("n")) | (F.col("rep_n") == F.col("n")) & (F.col("rep") < F.col("centre"))).where(100 * F.col("rep_n") >= PERCENT * F.col("n"))
+    # of n + rep_n shingles so many must be common, and no more than what is left of either from here on can be
+    both = both.where((100 + PERCENT) * F.least("rest", "rep_rest") >= PERCENT * (F.col("n") + F.col("rep_n")))
+    return both.select("rep", "centre").distinct()
+
+
 def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept is one document of each component, that with the smallest id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -174,7 +209,7 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     one = known.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key")).alias("s")).select("doc_id", "s.*")
     of_rep = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     of_rep = materialize(of_rep, "classes")
-    members = materialize(_members(of_rep), "members")
+    members = mates = materialize(_members(of_rep), "members")
     # full sets of the classes that have a bucket mate, made once for all rounds
     wanted = members.select((-F.col("minus_rep")).alias("doc_id")).distinct()
     sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
@@ -188,7 +223,13 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
         members = star.join(found.withColumn("linked", F.lit(True)).hint("merge"), ["rep", "centre"], "left")
         rank = F.col("degree") if turn < stars // 2 else F.xxhash64("bucket", "rep", F.lit(turn))
         members = members.select("bucket", rank.alias("degree"), "minus_rep", "n_shingles", (F.col("open") & F.col("linked").isNull()).alias("open"))
-    joined = components(links.toDF("a", "b"))
+    joined = materialize(components(links.toDF("a", "b")), "star-components")
+    # what the stars left: pairs of a bucket that are in different components, compared exactly
+    rest = materialize(_unsettled(mates, joined, stars), "unsettled")
+    pairs = _prefix_pairs(materialize(sets.join(rest.hint("merge"), "doc_id"), "unsettled-sets"))
+    late = materialize(_confirmed(sets, materialize(pairs, "prefix-pairs")), "links")
+    if not late.isEmpty():
+        joined = components(joined.toDF("a", "b").unionByName(late.toDF("a", "b")))
     classes = of_rep.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("component"))
     out = one.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

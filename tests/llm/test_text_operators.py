@@ -88,6 +88,22 @@ def test_near_dedup_groups(spark, words):
     assert got == expected
 
 
+def test_near_dedup_of_templates(spark):
+    """Pairs near to each other only, in one large family of texts that share most of their words."""
+    rng, gap = np.random.default_rng(3), 14
+    slots = rng.integers(0, 2, (1000, 60))
+    for i in range(0, 1000, 2):
+        slots[i + 1] = slots[i]
+        slots[i + 1, rng.permutation(60)[: 8 + i % 7]] ^= 1
+    rows = [(i, " ".join(f"s{k // gap}v{s[k // gap]}" if k % gap == 5 else f"t{k}" for k in range(60 * gap))) for i, s in enumerate(slots)]
+    differ, n, root = (slots[:, None] != slots[None]).sum(2), 60 * gap - 4, list(range(1000))
+    for a, b in np.argwhere(100 * (n - 5 * differ) >= 85 * (n + 5 * differ)):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root] if x != y else root
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root))
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (103, 100), (7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
