@@ -173,10 +173,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(rules).alias("spans"))
 
 
+def _key_end(text: Column, end: Column) -> Column:
+    """Where the private key whose BEGIN mark ends at `end` ends: after its END mark; where none follows before another BEGIN, after the lines of base64 and of headers, or a run of base64."""
+    rest = F.substring(text, end + 1, F.length(text))
+    stop, again = (F.position(F.lit(f"-----{mark} "), text, end + 1) for mark in ("END", "BEGIN"))
+    mark = F.length(F.regexp_extract(F.substring(text, stop, F.lit(60)), "^-----END [A-Z ]{0,30}PRIVATE KEY-----", 0))
+    other = F.regexp_instr(rest, F.lit(r"(?m)^(?![ \t]*[A-Za-z0-9+/=]*[ \t\r]*$|[A-Za-z-]+: [\x20-\x7E]*\r?$)"))
+    run = F.length(F.regexp_extract(rest, r"^\s*[A-Za-z0-9+/=]{16,}", 0))
+    body = F.greatest(F.when(other > 0, other - 1).otherwise(F.length(rest)), run)
+    return F.when((stop > 0) & ((again == 0) | (stop < again)) & (mark > 0), stop - 1 + mark).otherwise(end + body)
+
+
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each finding's text replaced by mark, overlapping findings by one, and n_chars to match; other columns stay."""
+    """docs with each finding's text replaced by mark, overlapping findings by one, and n_chars to match; other columns stay. A private key goes with its body, though its finding is the BEGIN mark."""
     found = findings(docs.select(F.struct("*").alias("row"), "doc_id", "text"), rules)
-    spans = F.array_sort(F.concat(*(F.col(f"_{r.kind}") for r in rules)))
+    whole_key = lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), _key_end(F.col("text"), s["end"]).cast("int").alias("end"))
+    spans = F.array_sort(F.concat(*(F.transform(f"_{r.kind}", whole_key) if r.kind == "private_key" else F.col(f"_{r.kind}") for r in rules)))
 
     def step(at: Column, span: Column) -> Column:
         gap = F.substring("text", at["at"] + 1, F.greatest(span["start"] - at["at"], F.lit(0)))

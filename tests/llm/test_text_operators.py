@@ -214,6 +214,16 @@ def test_redaction(docs):
     assert out[5].text == PROSE and out[0].text is None and out[16].asDict().keys() == set(docs.columns)
 
 
+def test_redaction_takes_whole_private_keys(spark):
+    body = "\n".join("MIIEvQ+/" * 8 for _ in range(40))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"é🙂 {begin}\n{body}\n{end}\nafter it", f"a\n{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\nno end here", f"{begin}\n{body}", f"x {begin}\n{body}\n{begin}\n{body}\n{end} y", f"{begin} {'MIIEvQ+/' * 8} words", f"{begin}\\n{'MIIEvQ+/' * 8}\\n{end}."]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in secret_scan.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    expected = ["é🙂 [SECRET]\nafter it", "a\n[SECRET]no end here", "[SECRET]", "x [SECRET][SECRET] y", "[SECRET] words", "[SECRET]."]
+    assert [out[i].text for i in range(len(texts))] == expected and [out[i].n_chars for i in range(len(texts))] == list(map(len, expected))
+
+
 def test_bpe(docs):
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(PATH), special_tokens={})
     expected = Counter()
