@@ -1,14 +1,18 @@
 """Local image descriptors: corners at several scales, orientation-normalised binary tests, Hamming tables, geometric consensus.
 
-Images are grey, given as (image_id, height, width, pixels) with one byte per pixel. Within a task each image gets its strongest
-corners; around each, 128 comparisons of smoothed pixels, turned to the corner's orientation, make a descriptor of four words of 32 bits.
-Spark joins descriptors that agree in a whole word (the Hamming tables), descriptors within three bits always do, and keeps
-pairs that differ in few bits in all. In each bucket all members are
-paired with one centre only, so the pairs are as many as the descriptors. A pair of images is a copy if enough of its matches vote
-for one rotation, scale and shift; a copy's class is the smallest image_id reachable.
-
-Defined results: a null, empty or mis-sized image has no corners and is alone in its class; exact copies of an image's bytes share a
-class without matching; rows that repeat an image_id are one image, and rows without one are left out; other columns are not read.
+Images are grey, given as (image_id, height, width, pixels) with one byte per pixel. Within a task every corner that is the strongest
+in its neighbourhood, at each scale of a pyramid, gets a descriptor: 128 comparisons of smoothed pixels around it, turned to its
+orientation, in four words of 32 bits. Each of four Hamming tables holds two words of every descriptor, so that descriptors of a copy
+that differ in few bits meet in some bucket.
+
+Pairs of images that share buckets at two corners or more are candidates. First every bucket's members meet its centre, the smallest
+image; then members of different classes meet, members of one never, so that the copies of one picture don't make all their pairs.
+A candidate is checked on all descriptors of both images: matches, the nearest of each other, may differ in few bits, and enough of them
+must agree on one rotation, scale and shift. A copy's class is the smallest image_id reachable.
+
+Defined results: a null, empty or mis-sized image, and one too small for a patch, has no corners and is alone in its class; exact
+copies of an image's bytes share a class without matching; rows that repeat an image_id are one image, and rows without one are left
+out; other columns are not read. An image whose longer side exceeds LONGEST is described from its reduction to that side.
 """
 
 from __future__ import annotations
@@ -19,17 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.near_dedup import components
+from quern.llm.near_dedup import components, other_sides
 from quern.llm.shared import materialize
+from quern.llm.textops import mix
 
-CORNERS, SCALES, RADIUS, TESTS = 24, (1.0, 0.7), 7, 128
-#: Matches that must agree on rotation, scale and shift, and the bins in which they vote.
-VOTES, TURN, STEP, SHIFT = 4, np.pi / 6, 0.35, 10.0
-IMAGE = "image_id long, height int, width int, pixels binary"
-_CORNER = "image_id long, corner int, x float, y float, turn float, scale float, words array<int>"
-_DESCRIBED = "image_id long, sha string, places array<float>, bits array<int>"
+#: Ratio of a pyramid's scales, pixels that a corner is the strongest of on either side, reach of a patch, and longest side.
+RATIO, APART, RADIUS, TESTS, LONGEST = 0.7, 4, 11, 128, 640
+#: Words of a descriptor that each Hamming table is keyed by.
+TABLES = ((0, 1), (1, 2), (2, 3), (3, 0))
 #: Bits of 128 in which two descriptors of a match may differ.
 HAMMING = 24
+#: Matches that must agree on rotation, scale and shift, and how near they must be to agree.
+VOTES, TURN, STEP, SHIFT = 4, np.pi / 12, 0.2, 5.0
+IMAGE = "image_id long, height int, width int, pixels binary"
+_DESCRIBED = "image_id long, sha string, corners binary"
+_CORNER = np.dtype([("place", "<f4", 4), ("bits", "<u4", 4)])
 _rng = np.random.default_rng(11)
 _POINTS = np.clip(_rng.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
 
@@ -51,25 +59,20 @@ def _scaled(image: np.ndarray, scale: float) -> np.ndarray:
     return (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
 
 
-def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, turn, scale) of the strongest corners, in the image's own pixels, and their descriptors as four 32-bit words."""
-    places, words = [], []
-    for scale in SCALES:
+def corners(image: np.ndarray) -> np.ndarray:
+    """The corners of an image, of all scales: place is x, y, turn and scale in the image's own pixels, bits the descriptor."""
+    out, edge = [np.zeros(0, _CORNER)], RADIUS + 1
+    scale = min(1.0, LONGEST / max(image.shape))
+    while min(image.shape) * scale >= 2 * edge + 2:
         small = _scaled(image.astype(float), scale)
         h, w = small.shape
-        if min(h, w) < 2 * RADIUS + 4:
-            continue
         gy, gx = np.gradient(_smooth(small, 1))
         a, b, c = _smooth(gx * gx, 2), _smooth(gy * gy, 2), _smooth(gx * gy, 2)
         strength = a * b - c * c - 0.05 * (a + b) ** 2
-        around = np.lib.stride_tricks.sliding_window_view(np.pad(strength, 2, constant_values=-np.inf), (5, 5)).max((2, 3))
-        edge = RADIUS + 1
-        peak = (strength == around)[edge : h - edge, edge : w - edge] & (strength[edge : h - edge, edge : w - edge] > 1e-3)
-        ys, xs = np.nonzero(peak)
-        best = np.argsort(-strength[ys + edge, xs + edge], kind="stable")[: CORNERS // len(SCALES)]
-        ys, xs = ys[best] + edge, xs[best] + edge
-        if not len(ys):
-            continue
+        side = 2 * APART + 1
+        around = np.lib.stride_tricks.sliding_window_view(np.pad(strength, APART, constant_values=-np.inf), (side, side)).max((2, 3))
+        ys, xs = np.nonzero((strength == around)[edge : h - edge, edge : w - edge] & (strength[edge : h - edge, edge : w - edge] > 1e-3))
+        ys, xs = ys + edge, xs + edge
         dy, dx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
         disc = dy**2 + dx**2 <= RADIUS**2
         patch = small[ys[:, None] + dy[disc], xs[:, None] + dx[disc]]
@@ -78,72 +81,116 @@ def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         px = xs[:, None, None] + _POINTS[..., 0] * cos - _POINTS[..., 1] * sin
         py = ys[:, None, None] + _POINTS[..., 0] * sin + _POINTS[..., 1] * cos
         value = soft[np.clip(np.rint(py), 0, h - 1).astype(int), np.clip(np.rint(px), 0, w - 1).astype(int)]
-        bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
-        places.append(np.stack([(xs + 0.5) / scale, (ys + 0.5) / scale, turn, np.full(len(xs), 1 / scale)], axis=1))
-        words.append(bits.view(np.int32))
-    return (np.concatenate(places), np.concatenate(words)) if places else (np.zeros((0, 4)), np.zeros((0, 4), np.int32))
+        found = np.zeros(len(xs), _CORNER)
+        found["place"] = np.stack([(xs + 0.5) / scale, (ys + 0.5) / scale, turn, np.full(len(xs), 1 / scale)], axis=1)
+        found["bits"] = np.packbits(value[..., 0] < value[..., 1], axis=1).view("<u4")
+        out.append(found)
+        scale *= RATIO
+    return np.concatenate(out)
+
+
+def votes(one: np.ndarray, other: np.ndarray, hamming: int = HAMMING) -> int:
+    """The most corners whose matches agree on the rotation, scale and shift that take the other image to this one. A match is nearest to each other from either side."""
+    if not len(one) or not len(other):
+        return 0
+    differ = np.concatenate([np.bitwise_count(one["bits"][lo : lo + 256, None] ^ other["bits"][None]).sum(2, dtype=np.uint8) for lo in range(0, len(one), 256)])
+    fits = (differ == differ.min(1, keepdims=True)) & (differ == differ.min(0, keepdims=True)) & (differ <= hamming)
+    i, j = np.nonzero(fits)
+    if len(i) < VOTES:
+        return 0
+    m, c = one["place"][i].astype(float), other["place"][j].astype(float)
+    turn, s = m[:, 2] - c[:, 2], m[:, 3] / c[:, 3]
+    dx = m[:, 0] - s * (np.cos(turn) * c[:, 0] - np.sin(turn) * c[:, 1])
+    dy = m[:, 1] - s * (np.sin(turn) * c[:, 0] + np.cos(turn) * c[:, 1])
+    by_j = np.argsort(j, kind="stable")
+    runs = [np.flatnonzero(np.diff(x, prepend=-1)) for x in (i, j[by_j])]
+    best = 0
+    for lo in range(0, len(i), 256):
+        of = slice(lo, lo + 256)
+        apart = lambda x: np.abs(x[of, None] - x[None])
+        agree = (apart(dx) <= SHIFT) & (apart(dy) <= SHIFT) & (apart(np.log(s)) <= STEP) & (np.abs((apart(turn) + np.pi) % (2 * np.pi) - np.pi) <= TURN)
+        distinct = [np.logical_or.reduceat(x, run, axis=1).sum(1) for x, run in ((agree, runs[0]), (agree[:, by_j], runs[1]))]
+        best = max(best, int(np.minimum(*distinct).max()))
+    return best
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places, bits = [], []
+        found = []
         for h, w, pixels in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "pixels")), strict=True):
             good = pixels and h and w and h > 0 and w > 0 and h * w == len(pixels)
-            p, d = corners(np.frombuffer(pixels, np.uint8).reshape(h, w)) if good else (np.zeros((0, 4)), np.zeros((0, 4), np.int32))
-            places.append(p.ravel())
-            bits.append(d.ravel())
-        columns = [batch.column("image_id"), batch.column("sha"), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _DESCRIBED.split(", ")])
-
-
-def described_corners(described: DataFrame) -> DataFrame:
-    """_CORNER's rows, one for each corner, of _DESCRIBED's, one for each image."""
-    at = described.where(F.size("bits") > 0).select("image_id", "places", "bits", F.explode(F.sequence(F.lit(0), (F.size("bits") / 4).cast("int") - 1)).alias("corner"))
-    place = [F.get("places", 4 * F.col("corner") + i).alias(c) for i, c in enumerate(("x", "y", "turn", "scale"))]
-    return at.select("image_id", "corner", *place, F.slice("bits", 4 * F.col("corner") + 1, F.lit(4)).alias("words"))
-
-
-def matches(described: DataFrame, hamming: int = HAMMING) -> DataFrame:
-    """Pairs (m, c) of corners that agree in a word, every member of a bucket with the bucket's centre, its smallest image, and whose descriptors differ in few bits. Members are a few longs each; places are joined to the pairs that are left."""
-    two = lambda i: (F.col("words")[i].cast("long") * (1 << 32) + (F.col("words")[i + 1].cast("long") + 2**31)).alias(f"w{i}")
-    member = described.select("image_id", "corner", two(0), two(2), F.posexplode("words").alias("table", "word"))
-    member = member.select((F.col("table").cast("long") * (1 << 32) + F.col("word").cast("long") + 2**31).alias("key"), "image_id", "corner", "w0", "w2")
-    centre = member.groupBy("key").agg(F.min(F.struct("image_id", "corner", "w0", "w2")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c")
-    pairs = member.join(centre, "key").where("image_id <> c.image_id")
-    differ = F.bit_count(F.col("w0").bitwiseXOR(F.col("c.w0"))) + F.bit_count(F.col("w2").bitwiseXOR(F.col("c.w2")))
-    pairs = pairs.where(differ <= hamming).select("image_id", "corner", F.col("c.image_id").alias("c_image"), F.col("c.corner").alias("c_corner")).distinct()
-    place = described.select("image_id", "corner", F.struct("image_id", "corner", "x", "y", "turn", "scale").alias("m"))
-    both = pairs.join(place, ["image_id", "corner"]).join(place.toDF("c_image", "c_corner", "c"), ["c_image", "c_corner"])
-    return both.select("m", "c")
-
-
-def consensus(pairs: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(a, b, votes) of image pairs of which enough matches agree. Each match gives the turn, the scale and the shift that take one image to the other; bins overlap by half, so that near ones meet."""
-    turn = F.pmod(F.col("m.turn") - F.col("c.turn"), F.lit(2 * np.pi))
-    p = pairs.select(F.col("m.image_id").alias("a"), F.col("c.image_id").alias("b"), "m", "c", turn.alias("turn"), (F.col("m.scale") / F.col("c.scale")).alias("s"))
-    p = p.withColumn("dx", F.col("m.x") - F.col("s") * (F.cos("turn") * F.col("c.x") - F.sin("turn") * F.col("c.y")))
-    p = p.withColumn("dy", F.col("m.y") - F.col("s") * (F.sin("turn") * F.col("c.x") + F.cos("turn") * F.col("c.y")))
-    half = lambda c, size: F.array(F.floor(c / size) * 2, F.floor(c / size + 0.5) * 2 + 1)
-    p = p.select("a", "b", F.col("m.corner").alias("corner"), F.round(F.log("s") / STEP).alias("s"), "dx", "dy", F.explode(half(F.col("turn"), TURN)).alias("t"))
-    p = p.select("a", "b", "corner", "s", (F.col("t") % int(round(4 * np.pi / TURN))).alias("t"), "dy", F.explode(half(F.col("dx"), SHIFT)).alias("x"))
-    p = p.select("a", "b", "corner", "s", "t", "x", F.explode(half(F.col("dy"), SHIFT)).alias("y"))
-    bins = p.groupBy("a", "b", "s", "t", "x", "y").agg(F.count_distinct("corner").alias("votes"))
-    return bins.groupBy("a", "b").agg(F.max("votes").alias("votes")).where(F.col("votes") >= votes)
-
-
-def image_copies(images: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(image_id, n_corners, n_links, component_id) of every image: its corners, the copies that it was linked with, and its class."""
+            found.append(corners(np.frombuffer(pixels, np.uint8).reshape(h, w)).tobytes() if good else b"")
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("sha"), pa.array(found, pa.binary())], ["image_id", "sha", "corners"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = batch.column("corners").to_pylist()
+        n = np.array([len(b) // _CORNER.itemsize for b in blobs], np.int64)
+        bits = np.frombuffer(b"".join(blobs), _CORNER)["bits"].astype(np.uint64)
+        image, corner = np.repeat(np.array(batch.column("image_id")), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for table, (a, b) in enumerate(TABLES):
+            key = mix(mix(bits[:, a] << np.uint64(32) | bits[:, b]) + np.uint64(table + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(image), pa.array(corner.astype(np.int32))], ["key", "image_id", "corner"])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("a_corners"), batch.column("b_corners"), strict=True)
+        found = [votes(*(np.frombuffer(x.as_buffer(), _CORNER) for x in pair)) for pair in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32())], ["a", "b", "votes"])
+
+
+def _at_two_corners(meetings: DataFrame) -> DataFrame:
+    """(a, b) of meetings(a, a_corner, b, b_corner) that name two corners of either image or more."""
+    ends = [f(c).alias(f"{f.__name__}_{c[0]}") for c in ("a_corner", "b_corner") for f in (F.min, F.max)]
+    return meetings.groupBy("a", "b").agg(*ends).where("min_a < max_a AND min_b < max_b").select("a", "b")
+
+
+def checked(pairs: DataFrame, described: DataFrame, least: int = VOTES) -> DataFrame:
+    """(a, b, votes) of those pairs of which enough matches agree."""
+    of = described.select("image_id", "corners")
+    both = pairs.join(of.toDF("a", "a_corners").hint("merge"), "a").join(of.toDF("b", "b_corners").hint("merge"), "b")
+    return both.mapInArrow(_check, "a long, b long, votes int").where(F.col("votes") >= least)
+
+
+def buckets(described: DataFrame) -> DataFrame:
+    """(key, image_id, corner, c_image, c_corner) of the buckets with two images or more: every member with its bucket's centre, the smallest image."""
+    members = described.select("image_id", "corners").mapInArrow(_keys, "key long, image_id long, corner int")
+    centre = members.groupBy("key").agg(F.min(F.struct("image_id", "corner")).alias("c"), F.max("image_id").alias("last")).where("last > c.image_id")
+    return members.join(centre.select("key", F.col("c.image_id").alias("c_image"), F.col("c.corner").alias("c_corner")).hint("merge"), "key")
+
+
+def image_copies(images: DataFrame, least: int = VOTES) -> DataFrame:
+    """(image_id, n_corners, n_links, component_id) of every image: its corners, its links with other images that were found on the way to the classes, and its class."""
     keyed = images.where("image_id IS NOT NULL").select(F.col("image_id").cast("long").alias("image_id"), "height", "width", "pixels")
     one = F.sha2(F.coalesce(F.concat(F.encode(F.concat_ws("x", "height", "width"), "utf-8"), F.col("pixels")), F.col("image_id").cast("string").cast("binary")), 256)
     same = materialize(keyed.select("image_id", one.alias("sha")).groupBy("image_id").agg(F.min("sha").alias("sha")), "image-classes")
     rep = same.groupBy("sha").agg(F.min("image_id").alias("rep"))
     described = keyed.withColumn("sha", one).mapInArrow(_describe, _DESCRIBED)
     described = described.join(rep.select(F.col("rep").alias("image_id"), "sha"), ["image_id", "sha"], "left_semi").dropDuplicates(["image_id"])
-    described = materialize(described_corners(described), "corners")
-    links = materialize(consensus(matches(described), votes), "image-links")
+    described = materialize(described, "corners")
+    met = materialize(buckets(described), "buckets")
+    stars = met.where("image_id != c_image").select(F.col("c_image").alias("a"), F.col("c_corner").alias("a_corner"), F.col("image_id").alias("b"), F.col("corner").alias("b_corner"))
+    stars = materialize(_at_two_corners(stars), "image-pairs")
+    links = materialize(checked(stars, described, least), "image-links")
+    # members of different classes meet in every bucket that holds them
+    of = components(links.select("a", "b")).toDF("image_id", "component")
+    held = met.select("key", "image_id", "corner").join(of.hint("merge"), "image_id", "left").withColumn("component", F.coalesce("component", "image_id"))
+    sides = other_sides(held, "key").select("key", "level", "group", "side", "image_id", "corner")
+    left = sides.where("side = 0").drop("side").withColumnsRenamed({"image_id": "a", "corner": "a_corner"})
+    right = sides.where("side = 1").drop("side").withColumnsRenamed({"image_id": "b", "corner": "b_corner"})
+    meetings = left.join(right.hint("merge"), ["key", "level", "group"])
+    ordered = F.col("a") < F.col("b")
+    meetings = meetings.select(
+        F.least("a", "b").alias("a"), F.when(ordered, F.col("a_corner")).otherwise(F.col("b_corner")).alias("a_corner"),
+        F.greatest("a", "b").alias("b"), F.when(ordered, F.col("b_corner")).otherwise(F.col("a_corner")).alias("b_corner"),
+    )
+    late = materialize(_at_two_corners(meetings).join(stars.hint("merge"), ["a", "b"], "left_anti"), "image-pairs")
+    links = links.unionByName(materialize(checked(late, described, least), "image-links"))
     joined = components(links.select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    n = described.groupBy(F.col("image_id").alias("rep")).agg(F.count("*").alias("n_corners"))
+    n = described.select(F.col("image_id").alias("rep"), F.expr(f"length(corners) div {_CORNER.itemsize}").alias("n_corners"))
     of_rep = rep.join(joined, F.col("rep") == F.col("node"), "left").join(n, "rep", "left").join(ends, "rep", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     of_rep = of_rep.select("sha", zero("n_corners"), zero("n_links"), F.coalesce("component", "rep").alias("component_id"))

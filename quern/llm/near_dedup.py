@@ -178,6 +178,14 @@ def _unsettled(members: DataFrame, joined: DataFrame, stars: int) -> DataFrame:
     return of.join(open_.select("bucket").hint("merge"), "bucket", "left_semi").select("doc_id", "component").distinct()
 
 
+def other_sides(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, component, ...) of keys with two components or more, repeated with (level, group, side): rows of a key whose level and group agree and whose sides differ are of different components. Two components of a key meet once, at the highest bit in which their numbers differ."""
+    of = Window.partitionBy(key)
+    ranks = rows.select(key, "component").distinct().withColumn("rank", F.row_number().over(of.orderBy("component")) - 1).withColumn("parts", F.count("*").over(of)).where("parts > 1")
+    at = rows.join(ranks.hint("merge"), [key, "component"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("parts") - 1)) - 1)))
+    return at.withColumns({"group": F.expr("shiftright(rank, level + 1)"), "side": F.expr("shiftright(rank, level) & 1")}).drop("rank", "parts")
+
+
 def _prefix_pairs(held: DataFrame) -> DataFrame:
     """All pairs (rep, centre) of different components in held(doc_id, component, shingles) that may be near: exact prefix filter. Shingles are ordered with those of one component first, which no such pair shares, then the rarer first; a near pair's first common shingle is in the prefix of both, and what follows it suffices in both."""
     one = held.select("doc_id", "component", F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
@@ -185,13 +193,10 @@ def _prefix_pairs(held: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id", "set")
     at = one.join(shared.hint("merge"), "shingle").withColumn("place", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("rest", F.col("n") - (F.col("n") - F.count("*").over(own) + F.col("place") - 1))
     prefix = materialize(at.where(100 * F.col("rest") >= PERCENT * F.col("n")).select("shingle", "held", "doc_id", "component", "n", "rest"), "prefixes")
-    # two components of a shingle meet once, at the highest bit in which their numbers differ, so none is paired with itself
-    of = Window.partitionBy("shingle")
-    ranks = prefix.select("shingle", "component").distinct().withColumn("rank", F.row_number().over(of.orderBy("component")) - 1).withColumn("parts", F.count("*").over(of)).where("parts > 1")
-    sided = prefix.join(ranks.hint("merge"), ["shingle", "component"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("parts") - 1)) - 1)))
+    sided = other_sides(prefix, "shingle")
     # a pair's smaller text has its first common shingle in a shorter prefix: its own half of the common ones is more of it
     short = (100 + PERCENT) * F.col("rest") >= 2 * PERCENT * F.col("n")
-    sided = sided.select("shingle", "level", F.expr("shiftright(rank, level + 1)").alias("group"), F.expr("shiftright(rank, level) & 1").alias("side"), "doc_id", "n", "rest", F.floor(F.col("held") / SALT).cast("int").alias("salts"))
+    sided = sided.select("shingle", "level", "group", "side", "doc_id", "n", "rest", F.floor(F.col("held") / SALT).cast("int").alias("salts"))
     a = sided.where(short).select("shingle", "level", "group", "side", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int").alias("salt"), F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"))
     b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.col("doc_id").alias("centre"), "n", "rest")
     both = a.join(b.hint("merge"), ["shingle", "level", "group", "side", "salt"])
