@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Base counts of a text come first: words, characters in words, symbols, repeated lines, and words in repeated windows of eight. Then
-rules decide whether a row is kept. On a sample of rows each rule is timed and its verdicts counted; the cascade puts first the rule that
-rejects most per second, then the one that rejects most of what is left, and so on. A row leaves the cascade at the first rule that
-rejects it, so later rules cost nothing there. The verdict does not depend on the order.
+rules decide whether a row is kept. On a sample of rows each rule's cost, the characters and counts that it reads, and its rejections
+are summed up; the cascade puts first the rule that rejects most per cost, then the one that rejects most of what is left, and so on. A row leaves
+the cascade at the first rule that rejects it, so later rules cost nothing there. The verdict does not depend on the order, and the order
+is the same in every run over the same rows.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; repeated rows are judged each; other columns
 of the input are not read.
@@ -11,26 +12,25 @@ of the input are not read.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.shared import materialize
-
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES, SYMBOLS, WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 8
-#: Rows of the sample on which costs and rejections are estimated (about so many, chosen by a hash of doc_id).
+SENTENCE = "[.!?。।]"
+#: Rows of the sample on which costs and rejections are estimated (about so many, chosen by a hash of their places in the table).
 SAMPLE = 2000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row is rejected where the expression, over text and the base counts, is true."""
+    """A row is rejected where the expression, over text and the base counts, is true; to decide it reads so many characters, or counts."""
 
     name: str
     rejects: str
+    reads: str = "2"
 
 
 def _without(characters: str) -> str:
@@ -43,11 +43,11 @@ RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 16 * n_words"),
     Rule("repeated_lines", "n_lines > 3 AND 2 * n_dup_lines > n_lines"),
-    Rule("shouting", f"2 * {_without('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} > word_chars"),
-    Rule("digits", f"10 * {_without('0123456789')} > 3 * word_chars"),
-    Rule("exclaims", f"2 * {_without('!')} > n_words"),
-    Rule("no_sentence", r"NOT regexp_like(text, r'[.!?。।]')"),
-    Rule("few_distinct", "20 * size(array_distinct(words)) < n_words"),
+    Rule("shouting", f"2 * {_without('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} > word_chars", "length(text)"),
+    Rule("digits", f"10 * {_without('0123456789')} > 3 * word_chars", "length(text)"),
+    Rule("exclaims", f"2 * {_without('!')} > n_words", "length(text)"),
+    Rule("no_sentence", f"NOT regexp_like(text, r'{SENTENCE}')", f"coalesce(nullif(regexp_instr(text, r'{SENTENCE}'), 0), length(text))"),
+    Rule("few_distinct", "20 * size(array_distinct(words)) < n_words", "n_words + word_chars"),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -105,27 +105,19 @@ BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second on a sample, each time among the rows that the rules before it leave."""
+    """The rules by rejections per cost on a sample, each time among the rows that the rules before it leave. The driver sees a row for each set of verdicts."""
     total = docs.count()
     bound = int(2**62 * min(1.0, sample / max(total, 1)))
-    rows = measured(docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) <= bound)).where(f"NOT ({BASE_FAILED})")
-    rows = materialize(rows, "rule-sample")
-    verdicts = rows.groupBy(*(F.expr(r.rejects).alias(r.name) for r in rules)).count().collect()
-
-    def seconds(condition: str) -> float:
-        took = []
-        for _ in range(2):
-            began = time.perf_counter()
-            rows.agg(F.count_if(F.expr(condition))).collect()
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    nothing = seconds("n_words IS NULL")
-    cost = {r.name: max(seconds(r.rejects) - nothing, 1e-4) for r in rules}
+    place = F.xxhash64(F.monotonically_increasing_id())
+    drawn = docs.withColumn("place", place).where(F.shiftrightunsigned("place", 2) <= bound)
+    rows = measured(drawn).where(f"NOT ({BASE_FAILED})")
+    cost = [F.sum(F.expr(r.reads)).alias(f"cost_{r.name}") for r in rules]
+    verdicts = rows.groupBy(*(F.expr(r.rejects).alias(r.name) for r in rules)).agg(F.count("*").alias("n"), *cost).collect()
     out, left = [], list(rules)
     while left:
-        gain = {r.name: sum(v["count"] for v in verdicts if v[r.name]) for r in left}
-        best = max(left, key=lambda r: (gain[r.name] / cost[r.name], -cost[r.name]))
+        rejected = {r.name: sum(v["n"] for v in verdicts if v[r.name]) for r in left}
+        spent = {r.name: sum(v[f"cost_{r.name}"] for v in verdicts) for r in left}
+        best = max(left, key=lambda r: (rejected[r.name] / max(spent[r.name], 1), -spent[r.name]))
         out.append(best)
         left.remove(best)
         verdicts = [v for v in verdicts if not v[best.name]]
