@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.llm.shared import materialize
 
 WEIGHTS, PASSES = (5, 2, 1), 3
-#: Blocks of a source, finer parts of a block that is cut, and output shards (a power of two).
-BLOCKS, PARTS, SHARDS = 64, 4096, 32
+#: Finer parts of a block that is cut; output shards (a power of two) are so many at least, and so many that one has about so many words.
+PARTS, SHARDS, SHARD_WORDS = 4096, 32, 1 << 25
 
 
 def word_count(text: Column) -> Column:
@@ -34,12 +34,19 @@ def _hash(seed: int, *columns: str) -> Column:
 
 
 def _sized(docs: DataFrame, seed: int, keep: bool) -> DataFrame:
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     row = [F.struct("*").alias("row")] if keep else []
-    return docs.select(
-        *row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"),
-        F.pmod(key, F.lit(BLOCKS)).cast("int").alias("block"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(PARTS)).cast("int").alias("part"),
-    )
+    key = F.xxhash64(F.lit(seed), F.col("doc_id")).alias("key")
+    return docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key)
+
+
+def _dealt(sized: DataFrame, shards: int) -> DataFrame:
+    """Rows with their block, of two for each shard, and the part of it; the bits that tell them overlap for no number of shards under 2**29."""
+    return sized.withColumns({"block": F.pmod("key", F.lit(2 * shards)).cast("int"), "part": F.pmod(F.shiftrightunsigned("key", 30), F.lit(PARTS)).cast("int")})
+
+
+def shard_count(words: int) -> int:
+    """A power of two, so that a shard of the mix stays about as large however large the table is."""
+    return max(SHARDS, 1 << max(0, -(-words // SHARD_WORDS) - 1).bit_length())
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -124,24 +131,27 @@ def split_quotas(units: DataFrame, seed: int, shards: int) -> DataFrame:
     return tree.select("source", rank.alias("rank"), F.col("node").alias("shard"))
 
 
-def _placed(docs: DataFrame, seed: int, shards: int, keep: bool) -> DataFrame:
-    """Each row with its size, its source's size and target, and its placements."""
+def _placed(docs: DataFrame, seed: int, shards: int | None, keep: bool) -> tuple[DataFrame, int]:
+    """Each row with its size, its source's size and target, and its placements; and the number of shards."""
     sized = materialize(_sized(docs, seed, keep=False), "sizes")
-    rows = _sized(docs, seed, keep=True) if keep else sized
+    shards = shards or shard_count(sized.agg(F.sum("size")).first()[0] or 0)
+    rows = _dealt(_sized(docs, seed, keep=True) if keep else sized, shards)
+    sized = _dealt(sized, shards)
     out = _same(rows, materialize(plan(sized, seed, shards), "mix"), "source", "block", how="left")
     in_part = _before_cut() | F.coalesce(F.col("key") == F.col("fill_key"), F.lit(False))
     placements = F.filter(F.coalesce("placements", F.array().cast("array<struct<copy:int,shard:int,cut:boolean>>")), lambda p: ~p["cut"] | in_part)
-    return out.withColumn("placements", placements)
+    return out.withColumn("placements", placements), shards
 
 
-def mix_plan(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, shards) of every row: the words that the mix takes of it, and the shards that they go to."""
-    placed = _placed(docs, seed, shards, keep=False)
+def mix_plan(docs: DataFrame, seed: int = 7, shards: int | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards) of every row: the words that the mix takes of it, and the shards that they go to. shards: a power of two, by default from the words of all rows."""
+    placed, _ = _placed(docs, seed, shards, keep=False)
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"), F.transform("placements", lambda p: p["shard"]).alias("shards"))
 
 
-def mixed(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy taken, a shard's rows together and in hash order."""
-    copies = _placed(docs, seed, shards, keep=True).select("row", "key", F.explode("placements").alias("place"))
+def mixed(docs: DataFrame, seed: int = 7, shards: int | None = None) -> DataFrame:
+    """The mix itself: docs' columns, a row for each copy taken, a partition for each shard, its rows in hash order."""
+    placed, shards = _placed(docs, seed, shards, keep=True)
+    copies = placed.select("row", "key", F.explode("placements").alias("place"))
     copies = copies.withColumns({"shard": F.col("place.shard"), "at": F.xxhash64(F.lit(seed), "place.shard", "key", "place.copy")})
-    return copies.repartition("shard").sortWithinPartitions("shard", "at").select("row.*")
+    return copies.repartitionById(shards, "shard").sortWithinPartitions("shard", "at").select("row.*")
