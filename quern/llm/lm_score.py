@@ -54,7 +54,7 @@ def _summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _blobs(buckets: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows dealt to their buckets, one blob each; keys are sorted within a bucket if they come sorted."""
     order = np.argsort(buckets, kind="stable")
-    buckets, keys, sums = buckets[order], keys[order], sums[order].astype(np.uint32)
+    buckets, keys, sums = buckets[order], keys[order], sums[order].astype(np.uint32 if sums.max(initial=0) < 2**32 else np.uint64)
     cut = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(keys) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(keys))
     if len(cut):
@@ -66,7 +66,8 @@ def _blobs(buckets: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> Iterator[
 
 def _merged(table: pa.Table, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-    sums = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64).reshape(-1, width) for x in table.column("sums")])
+    # sums have four bytes, or eight where a blob's largest needs them
+    sums = np.concatenate([np.frombuffer(s.as_buffer(), np.uint32 if s.as_buffer().size == width * k.as_buffer().size // 2 else np.uint64).astype(np.int64).reshape(-1, width) for k, s in zip(table.column("keys"), table.column("sums"), strict=True)])
     return table.column("bucket")[0].as_py(), *_summed(keys, sums)
 
 
@@ -112,6 +113,8 @@ class Model:
     texts: int
     pairs: int = 0
     discounts: tuple[tuple[float, ...], ...] = ((0.0,) * 4, (0.0,) * 4)
+    #: Words with one, two and more contexts before them.
+    spread: tuple[int, ...] = (0, 0, 0)
 
     @property
     def shift(self) -> np.uint64:
@@ -283,17 +286,17 @@ def _id_merger(model: Model) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("bucket")[0].as_py()
         bucket, ids, sums = _merged(table, 1 if kind >= 0 and kind % 2 else 4)
-        histogram = [0] * 4
+        histogram, spread = [0] * 4, [0] * 3
         if kind >= 0:
             name = "before" if kind % 2 else "after"
             _save(model.folder, f"{name}-ids{kind // 2}", ids)
             _save(model.folder, f"{name}-sums{kind // 2}", sums)
             if kind % 2:
-                histogram = _histogram(sums[:, 0])
+                histogram, spread = _histogram(sums[:, 0]), _by_count(sums[:, 0])[:, 1:].sum(0).tolist()
         else:
             histogram = [int(x) for x in sums[0]]
         total = int(sums.sum()) if kind >= 0 and kind % 2 else 0
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "total": [total], "histogram": pa.array([histogram], pa.list_(pa.int64()))})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "total": [total], "histogram": pa.array([histogram], pa.list_(pa.int64())), "spread": pa.array([spread], pa.list_(pa.int64()))})
 
     return run
 
@@ -324,10 +327,10 @@ def train(docs: DataFrame, buckets: int | None = None) -> Model:
     starts = tuple(int(x) for x in np.cumsum(sizes) - sizes)
     model = Model(folder, buckets, starts, n_words, total + n_texts, n_texts)
     rows = texts.mapInArrow(_pair_counter(model), _BLOB).groupBy("bucket").applyInArrow(_pair_merger(model), _BLOB)
-    rows = rows.groupBy("bucket").applyInArrow(_id_merger(model), "bucket int, total long, histogram array<long>").collect()
+    rows = rows.groupBy("bucket").applyInArrow(_id_merger(model), "bucket int, total long, histogram array<long>, spread array<long>").collect()
     low = [sum(r.histogram[k] for r in rows if r.bucket >= 0) for k in range(4)]
     high = [sum(r.histogram[k] for r in rows if r.bucket < 0) for k in range(4)]
-    return Model(folder, buckets, starts, n_words, total + n_texts, n_texts, sum(r.total for r in rows), (discounts(low), discounts(high)))
+    return Model(folder, buckets, starts, n_words, total + n_texts, n_texts, sum(r.total for r in rows), (discounts(low), discounts(high)), tuple(sum(r.spread[k] for r in rows) for k in range(3)))
 
 
 def _discounted(counts: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
@@ -339,7 +342,7 @@ def probabilities(model: Model, context: np.ndarray, token: np.ndarray, context_
     low, high = model.discounts
     ids, back = np.unique(token, return_inverse=True)
     before = _dense(model, "before", ids, 1)[:, 0]
-    spread = sum(d * n for d, n in zip(low[1:], _spread(model), strict=True)) / max(model.pairs, 1) if model.pairs else 1.0
+    spread = sum(d * n for d, n in zip(low[1:], model.spread, strict=True)) / max(model.pairs, 1) if model.pairs else 1.0
     unigram = (_discounted(before, low) / max(model.pairs, 1) + spread / (model.words + 2))[back]
     pairs, where = np.unique(context << _U32 | token, return_inverse=True)
     seen = np.zeros(len(pairs), np.int64)
@@ -358,13 +361,6 @@ def probabilities(model: Model, context: np.ndarray, token: np.ndarray, context_
     return _discounted(counts, high)[where] / total[of] + left[of] * unigram
 
 
-@lru_cache(8)
-def _spread(model: Model) -> tuple[int, int, int]:
-    """How many words have one, two and more contexts before them."""
-    parts = [_at(model, "before-sums", b) for b in range(model.buckets)]
-    return tuple(int(sum(((p[:, 0] == k) if k < 3 else (p[:, 0] > 2)).sum() for p in parts if p is not None)) for k in (1, 2, 3))
-
-
 def _scorer(model: Model) -> Callable:
     types = model.words + (model.texts > 0)
 
