@@ -9,8 +9,8 @@ The join runs on distinct (key, day) pairs, so that a host with a third of all c
 each distinct (url, day) goes back to the captures.
 
 Defined results: a null, empty or host-less URL, or a null day, matches nothing and is not blocked; of entries of one key on one day
-'block' counts; entries with a null key, action or day are void; repeated captures are judged each; other columns of the
-input pass through.
+'block' counts; entries with a null key, action or day are void; repeated captures are judged each; an empty list blocks nothing. Other
+columns of the captures pass through, but one that is named like a result gives way to it; other columns of the entries are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def keys(url: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """(key, action, listed_on, until): each entry's interval, open at its end where no later one replaces it."""
-    day = entries.where("key IS NOT NULL AND action IS NOT NULL AND listed_on IS NOT NULL").groupBy("key", "listed_on").agg(F.max(F.struct(F.col("action") == "block", "action"))["action"].alias("action"))
+    day = entries.select("key", "action", "listed_on").where("key IS NOT NULL AND action IS NOT NULL AND listed_on IS NOT NULL").groupBy("key", "listed_on").agg(F.max(F.struct(F.col("action") == "block", "action"))["action"].alias("action"))
     return day.withColumn("until", F.lead("listed_on").over(Window.partitionBy("key").orderBy("listed_on")))
 
 
@@ -56,9 +56,11 @@ def verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     as_of = as_of.where((F.col("listed_on") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until")))).drop("until")
     best = F.max(F.struct("rank", "key", "action", "listed_on")).alias("_best")
     found = asked.join(as_of, ["key", "_day"]).groupBy("_url", "_day").agg(best)
-    out = captures.join(found, (captures[url] == found["_url"]) & (captures[day] == found["_day"]), "left").drop("_url", "_day")
-    picked = {"matched_key": F.col("_best.key"), "action": F.col("_best.action"), "listed_on": F.col("_best.listed_on")}
-    return out.withColumns(picked).withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False))).drop("_best")
+    # the captures' columns stay in one, so that no name clashes in the join
+    rows = captures.select(F.struct("*").alias("_row"), F.col(url).alias("_url"), F.col(day).alias("_day"))
+    out = rows.join(found, ["_url", "_day"], "left")
+    best = {"matched_key": F.col("_best.key"), "action": F.col("_best.action"), "listed_on": F.col("_best.listed_on"), "blocked": F.coalesce(F.col("_best.action") == "block", F.lit(False))}
+    return out.select(*(F.col(f"_row.`{c}`") for c in captures.columns if c not in best), *(c.alias(name) for name, c in best.items()))
 
 
 def derived_captures(pages: DataFrame) -> DataFrame:
