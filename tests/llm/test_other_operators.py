@@ -73,6 +73,17 @@ def test_mixed_rows(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == +plan
 
 
+def test_shards_follow_the_size(spark):
+    assert [mixing.shard_count(n) for n in (0, 1, 32 << 25, (32 << 25) + 1, 10**13)] == [32, 32, 32, 64, 1 << 19]
+    docs = mix_docs(spark)
+    a, b = (Counter((r.doc_id, r.taken > 0) for r in mixing.mix_plan(docs, shards=n).collect()) for n in (8, 64))
+    assert sum((a - b).values()) < 0.2 * sum(a.values())
+    mixed = mixing.mixed(docs, shards=64)
+    assert mixed.rdd.getNumPartitions() == 64
+    per = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(per) > 32 and max(per) < 0.2 * sum(per)
+
+
 def test_split_is_exact(spark):
     units = spark.createDataFrame([(s, i + 1) for s, n in (("a", 37), ("b", 64), (None, 11)) for i in range(n)], "source string, rank int")
     rows = mixing.split_quotas(units, 1, 8).collect()
@@ -106,11 +117,16 @@ def test_url_verdicts(spark):
         ("http://bad.org/ok/deep//x", D(2024, 1, 20), "bad.org/ok", False), ("http://bad.org/okay", D(2024, 1, 20), "bad.org", True), ("http://a.sub.bad.org/", D(2024, 2, 1), "sub.bad.org", False), ("http://a.sub.bad.org/", D(2024, 1, 31), "bad.org", True),
         ("http://notbad.org", D(2024, 2, 1), None, False), (None, D(2024, 2, 1), None, False), ("", D(2024, 2, 1), None, False), ("http://bad.org/", None, None, False), ("http://x.org/", D(2024, 2, 1), None, False), ("http://host/p", D(2024, 2, 1), "host", True), ("http://y.org", D(2025, 1, 1), None, False),
     ]
-    captures = spark.createDataFrame([(i, u, d, "clash") for i, (u, d, _, _) in enumerate(cases)] * 2, "page_id long, url string, fetched_on date, key string")
-    out = url_filters.verdicts(captures, spark.createDataFrame(entries, "key string, action string, listed_on date")).collect()
+    captures = spark.createDataFrame([(i, u, d, "clash", "mine", "x", 1) for i, (u, d, _, _) in enumerate(cases)] * 2, "page_id long, url string, fetched_on date, key string, action string, _url string, _best int")
+    judged = url_filters.verdicts(captures, spark.createDataFrame(entries, "key string, action string, listed_on date").withColumn("until", F.lit("clash")))
+    assert judged.columns == ["page_id", "url", "fetched_on", "key", "_url", "_best", "matched_key", "action", "listed_on", "blocked"]
+    out = judged.collect()
+    assert all((r.key, r._url, r._best) == ("clash", "x", 1) and r.action != "mine" for r in out)
     assert len(out) == 2 * len(cases)
     for r in out:
         assert (r.matched_key, r.blocked) == cases[r.page_id][2:], cases[r.page_id]
+    long = spark.createDataFrame([(1, "http://a.b.org/" + "p/" * 2000 + "x" * 100_000, D(2024, 1, 1))], "page_id long, url string, fetched_on date")
+    assert url_filters.verdicts(long, spark.createDataFrame([("b.org/p", "block", D(2023, 1, 1)), ("a.b.org/p/p", "block", D(2023, 1, 1))], "key string, action string, listed_on date")).first().matched_key == "a.b.org/p/p"
     none = url_filters.verdicts(captures.limit(0), spark.createDataFrame(entries, "key string, action string, listed_on date"))
     assert none.collect() == [] and url_filters.verdicts(captures, spark.createDataFrame([], "key string, action string, listed_on date")).where("blocked").count() == 0
 
@@ -165,7 +181,7 @@ def test_image_classes_match_brute_force(spark):
             if image_copies.votes(described[b], described[a]) >= image_copies.VOTES:
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
-    assert out == dict(enumerate(root)) and root == [k - k % 2 for k in range(len(pictures))]
+    assert out == dict(enumerate(root)) and all(root[k] == root[k - k % 2] for k in range(len(pictures)))
     met = image_copies.buckets(df.withColumn("sha", F.lit("")).mapInArrow(image_copies._describe, image_copies._DESCRIBED))
     assert max(r["n"] for r in met.groupBy("key").agg(F.count_distinct("image_id").alias("n")).collect()) >= 12
 

@@ -110,6 +110,13 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[i] == 100 for i in (101, 102, 103))
 
 
+def test_sums_beyond_32_bits():
+    keys, sums = np.arange(3, dtype=np.uint64), np.array([[1], [2**40], [7]])
+    batches = [*lm_score._blobs(np.zeros(3, np.int64), keys, sums), *lm_score._blobs(np.zeros(3, np.int64), keys, np.array([[1], [2], [3]]))]
+    _, merged, total = lm_score._merged(lm_score.pa.Table.from_batches(batches), 1)
+    assert merged.tolist() == [0, 1, 2] and total[:, 0].tolist() == [2, 2**40 + 2, 10]
+
+
 def brute_model(texts):
     tokens = [[*WORD.findall((t or "").translate(LOWER)), "</s>"] for t in texts]
     c, b = Counter(), Counter()
@@ -176,6 +183,18 @@ def test_rule_order_does_not_change_verdicts(docs, monkeypatch):
     assert {(r.doc_id, r.kept) for r in quality_rules.judge(docs).collect()} == a
 
 
+def test_rule_order_is_the_same_in_every_run(spark):
+    words = ["lake", "stone", "river", "Bright", "OLD", "12345", "why!!", "#", "end."]
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, " ".join(rng.choice(words[: 3 + i % 7], 40))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    orders = {tuple(r.name for r in quality_rules.order_rules(df, quality_rules.RULES, sample)) for sample in (10_000, 10_000, 10_000)}
+    assert len(orders) == 1 and sorted(*orders) == sorted(r.name for r in quality_rules.RULES)
+    rejected = lambda r: df.transform(quality_rules.measured).where(f"NOT ({quality_rules.BASE_FAILED})").where(r.rejects).count()
+    first = next(r for r in quality_rules.RULES if r.name == next(iter(orders))[0])
+    assert rejected(first) > 0
+
+
 BRUTE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24)}
 
 
@@ -235,6 +254,29 @@ def test_bpe(docs):
     assert bytes(decoded.decoded).decode() == TEXTS[14]
 
 
+def test_bpe_of_long_words():
+    """Words of many blocks, at random, periodic and in other scripts, against the library, contracted together and apart."""
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(PATH), special_tokens={})
+    rng = np.random.default_rng(6)
+    letters = lambda n, of: bytes(rng.choice(list(of), n).astype(np.uint8))
+    words = [letters(n, b"abcdefghijklmnopqrstuvwxyz") for n in (191, 192, 193, 320, 321, 60_000)]
+    words += [letters(3000, range(256)), letters(4000, b"the"), letters(4000, b"a-"), b"a" * 5000, b"abcdefg" * 1500, ("東京は夜" * 300).encode(), b"=" * 777]
+    ids, sizes = byte_bpe.encode_words(PATH, words)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for word, part in zip(words, parts, strict=True):
+        assert part.tolist() == enc._core_bpe.encode_single_piece(word), word[:20]
+        assert byte_bpe.encode_words(PATH, [word])[0].tolist() == part.tolist()
+
+
+def test_bpe_blocks_without_a_common_token(monkeypatch):
+    """Where blocks share no token they become one, at last the whole word."""
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(PATH), special_tokens={})
+    word = ("".join("thequickbrownfox"[i * 7 % 16] for i in range(900))).encode()
+    monkeypatch.setattr(byte_bpe, "BLOCK", 12)
+    monkeypatch.setattr(byte_bpe, "STEP", 11)
+    assert byte_bpe.encode_words(PATH, [word, word[5:]])[0].tolist() == enc._core_bpe.encode_single_piece(word) + enc._core_bpe.encode_single_piece(word[5:])
+
+
 def test_token_counts(docs):
     import regex
 
@@ -254,6 +296,40 @@ def test_token_counts(docs):
     assert Counter(map(tuple, token_counts.token_counts(docs, PATH, PATTERN).collect())) == expected
 
 
+def test_classifier_matches_brute_force(spark):
+    """Scores against a plain discriminant in NumPy over the same statistics, quality on the tables' own labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    given = {r.doc_id: r.quality for r in labels.collect()}
+    of_doc = {r.doc_id: np.array(r.x) for r in quality_classifier.features(docs).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    x = {c: np.stack([of_doc[i] for i, q in given.items() if q == c and not held(i)]) for c in (0, 1)}
+    n = {c: len(x[c]) for c in x}
+    own = {c: np.cov(x[c].T, bias=True) for c in x}
+    pooled = (n[0] * own[0] + n[1] * own[1]) / (n[0] + n[1])
+    density = {}
+    for c in x:
+        w = min(1.0, n[c] / (n[c] + 2 * len(pooled))) * (1 - quality_classifier.POOLED - quality_classifier.DIAGONAL)
+        cov = w * own[c] + (1 - quality_classifier.DIAGONAL - w) * pooled + quality_classifier.DIAGONAL * np.diag(np.maximum(np.diag(pooled), 1e-4))
+        inverse, log_det, mean = np.linalg.inv(cov), np.linalg.slogdet(cov)[1], x[c].mean(0)
+        density[c] = lambda v, inverse=inverse, log_det=log_det, mean=mean, share=n[c]: math.log(share) - 0.5 * (v - mean) @ inverse @ (v - mean) - 0.5 * log_det
+    out = quality_classifier.classify(docs, labels).collect()
+    for r in out:
+        logit = density[1](of_doc[r.doc_id]) - density[0](of_doc[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, logit)))), abs=1e-6)
+    known = [r for r in out if r.held_out and r.doc_id in given]
+    assert sum(r.predicted == given[r.doc_id] for r in known) >= 0.95 * len(known) > 0
+
+
+def test_classifier_of_long_texts(spark):
+    """A very long text scores as its statistics do; nulls, empty texts and repeated rows have a score each."""
+    rows = [(i, PROSE * (1 + i % 5)) for i in range(40)] + [(40, LONG), (41, PROSE * 20_000), (42, None), (43, ""), (1, PROSE * 2), (1, PROSE * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"label": F.lit(9), "x": F.lit("clash")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    out = quality_classifier.classify(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id == 1}) == 1 and len({r.score for r in out if r.doc_id in (42, 43)}) == 1
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(0)
     words = [f"{a}{b}" for a in ("ta", "mo", "ri", "sel", "ka") for b in ("n", "lo", "rit", "s", "mer")]
