@@ -115,7 +115,7 @@ def winner_lookup(df: DataFrame, dropped: DataFrame) -> DataFrame:
 def audit_sample(events: DataFrame, source: str | None = None, reason: str | None = None, top: int | None = None) -> DataFrame:
     """Events of sources that contain a text and of a reason ('coseno' or 'clave'), the most similar first, those by key last."""
     if source:
-        events = events.where(F.contains(F.lower("fuente"), F.lit(source.lower())))
+        events = events.where(F.contains("fuente", F.lit(source)))
     if reason:
         events = events.where(F.col("motivo") == f"dedup_{reason}")
     events = events.orderBy(F.col("sim").desc_nulls_last(), "fuente", "global_id")

@@ -12,6 +12,7 @@ from quern.functions.text import strip
 from quern.functions.vectors import dot, l2_normalize
 from quern.operators.blocks import block_pairs, nearest, packed
 from quern.operators.retrieval import retrieve
+from quern.sources.tables import with_global_index
 
 PERCENTS = (0.5, 0.9, 0.95, 0.99)
 
@@ -35,12 +36,46 @@ def vector_integrity(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def validate_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row about records(id, embedding, text, source, metadata): rows, missing vectors, different dimensions, repeated ids, and empty fields. n_dims above 1 means that the records can't be used together."""
-    ids = df.groupBy("id").count().agg(F.sum(F.greatest(F.lit(0), F.col("count") - 1)).alias("n_duplicate_ids"))
-    blank = lambda c: F.count_if(F.coalesce(strip(F.col(c)), F.lit("")) == "")
-    has = F.col(vector).isNotNull() & (F.size(vector) > 0)
-    whole = df.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(has, F.lit(False))).alias("n_missing"), F.count_distinct(F.when(has, F.size(vector))).alias("n_dims"), F.count_if(F.coalesce(F.size("metadata"), F.lit(0)) <= 0).alias("n_no_metadata"), blank("source").alias("n_no_source"), blank("text").alias("n_no_text"))
-    return whole.join(ids, how="cross")
+    """One row about records(id, embedding, text, source, metadata): rows, those with and without a vector; then of those with one: the dimension, rows with NaN or infinity, all-zero rows, ids that repeat, empty fields, and the norms' min, mean, max and quartiles. No vector at all, or vectors of different dimensions, are an error."""
+    has, valid = F.col(vector).isNotNull(), lambda c: F.col("has") & c
+    rows = df.select("id", has.alias("has"), F.size(vector).alias("dim"), *(F.col(c) for c in ("text", "source", "metadata")), F.col(vector).cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x * x)))
+    rows = rows.withColumns({"bad": valid(~finite), "norm": F.when(F.col("has"), norm)})
+    blank = lambda c: F.count_if(valid(F.coalesce(c, F.lit("")) == ""))
+    whole = rows.agg(
+        F.count("*").alias("n"), F.count_if("has").alias("n_valid"), F.count_if(~F.col("has")).alias("n_missing"), F.min(F.when(F.col("has"), F.col("dim"))).alias("dim"), F.max(F.when(F.col("has"), F.col("dim"))).alias("_most"),
+        F.count_if("bad").alias("n_bad"), F.count_if(F.col("norm") == 0).alias("n_zero"), F.count_if(valid(F.coalesce(F.size("metadata"), F.lit(0)) <= 0)).alias("n_no_metadata"), blank(F.col("source")).alias("n_no_source"), blank(strip(F.col("text"))).alias("n_no_text"),
+        F.min("norm").alias("norm_min"), F.avg("norm").alias("norm_mean"), F.max("norm").alias("norm_max"),
+    )
+    ids = rows.where("has").groupBy("id").count().agg(F.count_if(F.col("count") > 1).alias("n_duplicate_ids"))
+    wrong = F.when(F.col("n_valid") == 0, F.raise_error(F.lit("no record has a vector"))).when(F.col("dim") != F.col("_most"), F.raise_error(F.lit("vectors of different dimensions"))).cast("int")
+    whole = whole.withColumn("dim", F.coalesce(wrong, F.col("dim"))).drop("_most")
+    cuts = quantiles(rows.where("has"), "norm", {"norm_p25": 0.25, "norm_p50": 0.5, "norm_p75": 0.75})
+    return whole.join(ids, how="cross").join(cuts, how="cross")
+
+
+def dimension_distribution(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(dim, n) of the records that have a vector."""
+    return df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n"))
+
+
+def duplicate_ids(df: DataFrame, vector: str = "embedding", k: int = 20, order: str = "pos") -> DataFrame:
+    """The first k ids that several records with a vector share, in the order in which they first come."""
+    many = df.where(F.col(vector).isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    return many.orderBy("first").limit(k).select("id", "n")
+
+
+def quantiles(df: DataFrame, value: str, cuts: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles, interpolated between neighbours; nulls don't count. Rows are numbered by a range partitioning, so that no task holds all values."""
+    at = with_global_index(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), "_v", name="_i")
+    n = at.agg(F.count("*").alias("_n"))
+    spots = [(name, (F.col("_n") - 1) * F.lit(float(q))) for name, q in cuts.items()]
+    wanted = F.array(*(f(spot).cast("long") for _, spot in spots for f in (F.floor, F.ceil)))
+    found = at.join(F.broadcast(n), how="cross").where(F.array_contains(wanted, F.col("_i").cast("long")))
+    values = found.agg(F.max("_n").alias("_n"), F.map_from_entries(F.collect_set(F.struct(F.col("_i").cast("long"), "_v"))).alias("_m"))
+    low, high = (lambda spot, f=f: F.col("_m")[f(spot).cast("long")] for f in (F.floor, F.ceil))
+    return values.select(*((low(spot) + (high(spot) - low(spot)) * (spot - F.floor(spot))).alias(name) for name, spot in spots))
 
 
 def length_report(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quern.functions.text import ABSTENTION, context_block, question_error, rag_prompt
 from quern.functions.vectors import l2_normalize
 from quern.operators.blocks import packed, top_k
+from quern.sources.tables import materialize
 
 MAX_DISTANCE, MAX_CHUNKS, UNKNOWN = 0.65, 5, "desconocido"
 
@@ -44,15 +45,22 @@ def ordered_sources(hits: DataFrame, query: str = "query_id") -> DataFrame:
     return hits.groupBy(query).agg(F.array_distinct(F.transform(in_order, lambda h: h["source"])).alias("sources"))
 
 
-def rag_batch(questions: DataFrame, index: DataFrame, k: int, system: str = "", most: float = MAX_DISTANCE) -> DataFrame:
-    """A row for each of questions(query_id, question, embedding): error, has_evidence, abstained, n_chunks, sources, context, prompt, answer. Without evidence the answer is the abstention and the context empty; the sources are of all hits."""
+def question_hits(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Hits with content of those questions that have no error."""
+    return with_content(retrieve(questions.where(question_error(F.col("question")).isNull()), index, k), index)
+
+
+def rag_batch(questions: DataFrame, index: DataFrame, k: int, system: str = "", most: float = MAX_DISTANCE, hits: DataFrame | None = None) -> DataFrame:
+    """A row for each of questions(query_id, question, embedding): error, has_evidence, abstained, n_chunks, sources, context, prompt, answer. The sources are of the chunks in the prompt; without evidence the answer is the abstention, the context empty, and the sources are of all hits. hits: question_hits of this k or more."""
     checked = questions.withColumn("error", question_error(F.col("question")))
-    hits = with_content(retrieve(checked.where("error IS NULL"), index, k), index)
+    hits = question_hits(questions, index, k) if hits is None else hits.where(F.col("rank") <= k)
     gated = evidence_gate(checked.drop("embedding"), hits, most)
     top = hits.where(F.col("rank") <= MAX_CHUNKS)
     text = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "text"))).alias("_hits"))
-    out = gated.join(text, "query_id", "left").join(ordered_sources(hits), "query_id", "left")
+    given = ordered_sources(top).withColumnRenamed("sources", "_given")
+    out = gated.join(text, "query_id", "left").join(ordered_sources(hits), "query_id", "left").join(given, "query_id", "left")
     use = F.col("has_evidence")
+    out = out.withColumn("sources", F.when(use, F.col("_given")).otherwise(F.col("sources")))
     out = out.withColumn("context", F.when(use, context_block(F.col("_hits"))).otherwise(""))
     return out.select(
         "query_id", "question", "error", "has_evidence", (F.col("error").isNull() & ~use).alias("abstained"), F.when(use, F.size("_hits")).otherwise(0).alias("n_chunks"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "context",
@@ -61,11 +69,12 @@ def rag_batch(questions: DataFrame, index: DataFrame, k: int, system: str = "",
 
 
 def rag_grid_report(questions: DataFrame, index: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """rag_batch for each top_k; questions also carry fuente_esperada and out_of_corpus. A row for each question and k."""
+    """rag_batch for each top_k over one retrieval of the largest; questions also carry fuente_esperada and out_of_corpus. A row for each question and k."""
+    hits = materialize(question_hits(questions, index, max(ks)), "hits")
     extra = questions.select("query_id", "fuente_esperada", "out_of_corpus")
     out = None
     for k in ks:
-        one = rag_batch(questions.drop("fuente_esperada", "out_of_corpus"), index, k).withColumn("top_k", F.lit(k))
+        one = rag_batch(questions.drop("fuente_esperada", "out_of_corpus"), index, k, hits=hits).withColumn("top_k", F.lit(k))
         out = one if out is None else out.unionByName(one)
     both = out.join(extra, "query_id")
     hit = F.exists("sources", lambda s: s == F.col("fuente_esperada"))

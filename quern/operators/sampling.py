@@ -64,10 +64,9 @@ def pending_texts(texts: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def parse_question_array(raw: Column, limit: int) -> Column:
-    """The (question, answer) pairs of an answer that holds a JSON array, or an object as an array of one; null without either, one blank pair of an empty array."""
+    """The (question, answer) pairs of an answer that holds a JSON array; null without one, as for an object that is in none; one blank pair of an empty array."""
     clean = lambda c: F.when(F.coalesce(strip(c), F.lit("")) == NOT_MADE, "").otherwise(F.coalesce(strip(c), F.lit("")))
-    found = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
-    array = F.when(found != "", found).otherwise(F.concat(F.lit("["), F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), F.lit("]")))
+    array = F.nullif(F.regexp_extract(raw, r"(?s)\[.*\]", 0), F.lit(""))
     items = F.filter(F.from_json(array, "array<string>"), lambda s: F.startswith(strip(s), F.lit("{")))
     pairs = F.transform(items, lambda s: F.from_json(s, "pregunta STRING, respuesta_posible STRING"))
     pairs = F.slice(F.transform(pairs, lambda p: F.struct(clean(p["pregunta"]).alias("question"), clean(p["respuesta_posible"]).alias("answer"))), 1, limit)

@@ -30,9 +30,10 @@ RECORDS = f"""{CHUNKS}, records AS (SELECT pos, 'r' || (pos - CASE WHEN pos % 50
     'd' || pos // 3 AS document_id, doc_category AS category, pos % 7 > 0 AS has_metadata, tags, CASE WHEN pos % 17 > 0 THEN v END AS v FROM chunks)"""
 
 
-@query("a11_validate_vectors", f"WITH {RECORDS} SELECT count(*) AS n, count(*) FILTER (v IS NULL) AS n_missing, count(DISTINCT len(v)) AS n_dims, count(*) FILTER (NOT has_metadata) AS n_no_metadata, count(*) FILTER (source = '') AS n_no_source, count(*) FILTER (trim(text) = '') AS n_no_text, count(*) - count(DISTINCT id) AS n_duplicate_ids FROM records")
+@query("a11_validate_vectors", f"WITH {RECORDS} SELECT (SELECT count(*) FROM records) AS n, count(*) AS n_valid, (SELECT count(*) FROM records WHERE v IS NULL) AS n_missing, max(len(v))::INT AS dim, 0::BIGINT AS n_bad, 0::BIGINT AS n_zero, count(*) FILTER (NOT has_metadata) AS n_no_metadata, count(*) FILTER (source = '') AS n_no_source, count(*) FILTER (trim(text) = '') AS n_no_text, (SELECT count(*) FROM (SELECT id FROM records WHERE v IS NOT NULL GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids, round(min(s), 6) AS norm_min, round(avg(s), 6) AS norm_mean, round(max(s), 6) AS norm_max, round(quantile_cont(s, 0.25), 6) AS norm_p25, round(quantile_cont(s, 0.5), 6) AS norm_p50, round(quantile_cont(s, 0.75), 6) AS norm_p75 FROM (SELECT *, sqrt(list_dot_product(v, v)) AS s FROM records WHERE v IS NOT NULL)")
 def _(t: Tables) -> DataFrame:
-    return E.validate_vectors(records(t))
+    out = E.validate_vectors(records(t))
+    return out.select(*(_r(c) if c.startswith("norm_") else F.col(c) for c in out.columns))
 
 
 @query("a12_length_report", f"""WITH {RECORDS}, l AS (SELECT length(text) AS n, CASE WHEN source = '' THEN '__sin_fuente__' ELSE source END AS s, document_id AS d FROM records), per AS (SELECT count(*) AS c FROM l GROUP BY d)

@@ -60,7 +60,7 @@ gate AS (SELECT query_id, min(distance) <= 0.65 AS ok FROM near GROUP BY query_i
 def _batch(k: int) -> str:
     return f"""SELECT a.query_id, question, CASE WHEN trim(question) = '' THEN 'empty' END AS error, coalesce(ok, false) AS has_evidence, trim(question) <> '' AND NOT coalesce(ok, false) AS abstained,
     CASE WHEN coalesce(ok, false) THEN least(5, {k}, (SELECT count(*) FROM chunks)) ELSE 0 END AS n_chunks, coalesce(s.sources, '') AS sources, CASE WHEN coalesce(ok, false) THEN c.context ELSE '' END AS context
-    FROM asked a LEFT JOIN gate g USING (query_id) LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM near WHERE rank <= {k} GROUP BY query_id, source) GROUP BY query_id) s USING (query_id)
+    FROM asked a LEFT JOIN gate g USING (query_id) LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM near JOIN gate USING (query_id) WHERE rank <= CASE WHEN ok THEN least(5, {k}) ELSE {k} END GROUP BY query_id, source) GROUP BY query_id) s USING (query_id)
     LEFT JOIN (SELECT query_id, string_agg('--- Fragmento ' || rank || ' (fuente: ' || source || ') ---' || chr(10) || trim(text, chr(10) || ' '), chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= least(5, {k}) GROUP BY query_id) c USING (query_id)"""
 
 

@@ -59,7 +59,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _raw(t: Tables) -> DataFrame:
-    """Answers of a model: an array of three with an odd item, an object, an empty array, and no JSON."""
+    """Answers of a model: an array of three with an odd item, an object in no array, an empty array, and no JSON."""
     q = F.concat(F.lit('"¿'), "source", F.lit('?"'))
     three = F.concat(F.lit('x [{"pregunta": '), q, F.lit(', "respuesta_posible": "a"}, 5, {"pregunta": "p2", "respuesta_posible": "NO GENERADA"}, {"pregunta": "p3", "respuesta_posible": "c"}] y'))
     one = F.concat(F.lit('{"pregunta": '), q, F.lit(', "respuesta_posible": "b"}'))
@@ -68,10 +68,10 @@ def _raw(t: Tables) -> DataFrame:
 
 
 _PAIRS = """SELECT pos, '¿' || source || '?' AS question, 'a' AS answer FROM docs WHERE pos % 4 = 0 UNION ALL SELECT pos, 'p2', '' FROM docs WHERE pos % 4 = 0
-UNION ALL SELECT pos, '¿' || source || '?', 'b' FROM docs WHERE pos % 4 = 1 UNION ALL SELECT pos, '', '' FROM docs WHERE pos % 4 = 2"""
+UNION ALL SELECT pos, '', '' FROM docs WHERE pos % 4 = 2"""
 
 
-@query("g4_parse_question_array", f"WITH {_DOCS} {_PAIRS} UNION ALL SELECT pos, NULL, NULL FROM docs WHERE pos % 4 = 3")
+@query("g4_parse_question_array", f"WITH {_DOCS} {_PAIRS} UNION ALL SELECT pos, NULL, NULL FROM docs WHERE pos % 4 IN (1, 3)")
 def _(t: Tables) -> DataFrame:
     pairs = _raw(t).select("pos", S.parse_question_array(F.col("raw"), 2).alias("p"))
     return pairs.select("pos", F.explode_outer("p").alias("p")).select("pos", "p.question", "p.answer")

@@ -166,22 +166,38 @@ def _(t: Tables) -> DataFrame:
     return files.read_audit(t.spark, path, dedup.EVENT).select("motivo", "fuente", "global_id")
 
 
-@query("s11_index_table", f"WITH {CHUNKS} SELECT count(*) AS alive, count(*) AS total FROM chunks")
+@query("s11_index_table", f"WITH {CHUNKS} SELECT count(*) FILTER (pos % 2 = 1) AS alive, count(*) AS total FROM chunks")
 def _(t: Tables) -> DataFrame:
-    rows = chunks(t).select(files.chunk_id(F.col("source"), F.col("pos")).alias("id"), "embedding", F.col("page_content").alias("document"), "doc_category", "dedup_policy")
+    """Rows of even places, then those of odd places appended."""
+    rows = chunks(t).select(files.chunk_id(F.col("source"), F.col("pos")).alias("id"), "embedding", F.col("page_content").alias("document"), "doc_category", "dedup_policy", "pos")
     name = f"index_{uuid.uuid4().hex}"
-    counts = files.index_table(rows, name)
+    files.index_table(rows.where("pos % 2 = 0"), name)
+    counts = files.index_table(rows.where("pos % 2 = 1"), name, recreate=False)
     t.spark.sql(f"DROP TABLE {name}")
     return t.spark.createDataFrame([counts], "alive long, total long")
 
 
 @query("s12_load_records", """
-SELECT doc_id AS pos, CASE doc_id % 3 WHEN 0 THEN source || doc_id WHEN 1 THEN lang || doc_id ELSE 'row_' || lpad(doc_id::VARCHAR, 8, '0') END AS id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS text FROM documents""")
+SELECT doc_id AS pos, CASE doc_id % 4 WHEN 0 THEN source || doc_id WHEN 1 THEN lang || doc_id WHEN 2 THEN '' ELSE 'row_' || lpad(doc_id::VARCHAR, 8, '0') END AS id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN lang ELSE source END AS text,
+    CASE doc_id % 2 WHEN 0 THEN doc_id::DOUBLE ELSE n_chars::DOUBLE END AS first, CASE WHEN doc_id % 4 = 1 THEN lang ELSE '' END AS source FROM documents""")
 def _(t: Tables) -> DataFrame:
     i = F.col("doc_id")
     key = lambda c: F.concat(c, i.cast("string"))
-    raw = t.documents.select(i.alias("pos"), F.when(i % 3 == 0, key(F.col("source"))).alias("chunk_id"), F.when(i % 3 == 1, F.create_map(F.lit("id"), key(F.col("lang")))).alias("metadata"), F.when(i % 2 == 0, F.col("text")).alias("text"), F.col("lang").alias("content"))
-    return files.load_records(raw).select("pos", "id", "text")
+    raw = t.documents.select(
+        i.alias("pos"), F.when(i % 4 == 0, key(F.col("source"))).when(i % 4 == 2, "").alias("chunk_id"), F.when(i % 4 == 1, F.create_map(F.lit("uid"), key(F.col("lang")), F.lit("fuente"), F.col("lang"))).alias("meta"),
+        F.when(i % 3 == 0, F.col("text")).alias("document"), F.when(i % 3 < 2, F.col("lang")).alias("page_content"), F.col("source").alias("texto"),
+        F.when(i % 2 == 0, F.array(i.cast("double"))).alias("values"), F.struct(F.array(F.col("n_chars").cast("double")).alias("vector")).alias("data"),
+    )
+    return files.load_records(raw).select("pos", "id", "text", F.col("embedding")[0].alias("first"), "source")
+
+
+@query("s12_read_records", "SELECT doc_id AS pos, source || doc_id AS id, text FROM documents")
+def _(t: Tables) -> DataFrame:
+    """The table as lines of JSON in one folder, in order, read back with each row's place."""
+    path = materialize(t.region, "records").inputFiles()[0].rsplit("/", 1)[0] + "-jsonl"
+    rows = t.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.select(F.concat("source", F.col("doc_id").cast("string")).alias("uid"), F.col("text").alias("texto")).write.json(path)
+    return files.load_records(files.read_records(t.spark, path)).select("pos", "id", "text")
 
 
 @query("s13_long_form", "WITH s AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT source)::DOUBLE AS sources, max(length(text))::DOUBLE AS longest FROM documents) SELECT 'lengths' AS section, unnest(['n', 'sources', 'longest']) AS metric, unnest([n, sources, longest]) AS value FROM s")
@@ -198,7 +214,7 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(t.benchmark.schema).json(path)
 
 
-@query("t17_chunk_id", f"WITH {CHUNKS} SELECT source || '::' || (row_number() OVER (ORDER BY source, pos) - 1) AS id, pos FROM chunks WHERE pos % 3 > 0")
+@query("t17_chunk_id", f"WITH {CHUNKS} SELECT source || '::' || (row_number() OVER (ORDER BY source, pos) - 1) AS id, pos FROM chunks")
 def _(t: Tables) -> DataFrame:
-    rows = with_global_index(chunks(t).where("pos % 3 > 0").select("source", "pos"), "source", "pos", name="place")
+    rows = with_global_index(chunks(t).select("source", "pos"), "source", "pos", name="place")
     return rows.select(files.chunk_id(F.col("source"), F.col("place")).alias("id"), "pos")

@@ -53,12 +53,13 @@ def _(t: Tables) -> DataFrame:
 
 
 _ANSWER = """CASE doc_id % 5 WHEN 0 THEN 'no json here' WHEN 1 THEN '```json {"categoria": "agenda", "tags": ["piscina", "otra", "abono"], "relevancia": 0.8} ```'
-    WHEN 2 THEN 'x {"categoria": "otra", "tags": [], "relevancia": 1} y' WHEN 3 THEN '{"categoria": "tarifas", "tags": ["precio"]}' ELSE '{"categoria": "abonos", broken' END"""
+    WHEN 2 THEN 'x {"categoria": "otra", "tags": [], "relevancia": 1} y' WHEN 3 THEN '{"categoria": "tarifas", "tags": ["precio"]}' ELSE CASE WHEN doc_id % 2 = 0 THEN '{"note": "' || lang || '"}' ELSE '{"categoria": "abonos", broken' END END"""
 
 
 def _answers(t: Tables) -> DataFrame:
-    said = ["no json here", '```json {"categoria": "agenda", "tags": ["piscina", "otra", "abono"], "relevancia": 0.8} ```', 'x {"categoria": "otra", "tags": [], "relevancia": 1} y', '{"categoria": "tarifas", "tags": ["precio"]}', '{"categoria": "abonos", broken']
-    return t.documents.select("doc_id", "source", F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 5 + 1).cast("int")).alias("answer"))
+    other = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"note": "'), "lang", F.lit('"}'))).otherwise('{"categoria": "abonos", broken')
+    said = ["no json here", '```json {"categoria": "agenda", "tags": ["piscina", "otra", "abono"], "relevancia": 0.8} ```', 'x {"categoria": "otra", "tags": [], "relevancia": 1} y', '{"categoria": "tarifas", "tags": ["precio"]}']
+    return t.documents.select("doc_id", "source", F.element_at(F.array(*map(F.lit, said), other), (F.col("doc_id") % 5 + 1).cast("int")).alias("answer"))
 
 
 @query("t10_extract_json_object", f"SELECT doc_id, nullif(regexp_extract({_ANSWER}, '(?s)\\{{.*\\}}', 0), '') AS object FROM documents")
@@ -66,9 +67,12 @@ def _(t: Tables) -> DataFrame:
     return _answers(t).select("doc_id", T.extract_json_object(F.col("answer")).alias("object"))
 
 
-@query("t11_normalize_verdict", """
-SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'agenda' WHEN 3 THEN 'tarifas' ELSE 'instalaciones' END AS doc_category, CASE doc_id % 5 WHEN 1 THEN 'piscina;abono' WHEN 3 THEN 'precio' ELSE '' END AS tags,
-    CASE doc_id % 5 WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.5 END AS relevancia_llm, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n_flags FROM documents""")
+@query("t11_normalize_verdict", f"""
+WITH answers AS (SELECT doc_id, regexp_extract({_ANSWER}, '(?s)\\{{.*\\}}', 0) AS o FROM documents),
+said AS (SELECT doc_id, CASE WHEN json_valid(o) AND o <> '' THEN o END AS o FROM answers),
+parts AS (SELECT doc_id, o, o->>'$.categoria' AS category, list_filter(coalesce(from_json(o->'$.tags', '["VARCHAR"]'), []), lambda t: t IN ('abono', 'piscina', 'reserva', 'tarifa', 'precio')) AS tags, (o->>'$.relevancia')::DOUBLE AS relevance FROM said)
+SELECT doc_id, CASE WHEN category IN ('tarifas', 'normativa', 'reservas', 'abonos', 'instalaciones', 'agenda') THEN category ELSE 'instalaciones' END AS doc_category, coalesce(array_to_string(tags, ';'), '') AS tags,
+    CASE WHEN o IS NULL THEN 0.5 ELSE coalesce(relevance, 0) END AS relevancia_llm, coalesce(len(list_distinct(tags)), 0)::INT AS n_flags FROM parts""")
 def _(t: Tables) -> DataFrame:
     v = _answers(t).select("doc_id", tagging.normalize_verdict(F.col("answer")).alias("v"))
     return v.select("doc_id", "v.doc_category", "v.tags", "v.relevancia_llm", F.size("v.tag_flags").alias("n_flags"))
@@ -125,10 +129,19 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(recursive_chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query("g2_chunk_documents", f"WITH {CHUNKS} SELECT pos, 0 AS chunk_index, page_content, length(page_content) AS chunk_size FROM chunks WHERE chunking_hint = 'no_chunk'")
+@query("g2_chunk_documents")
 def _(t: Tables) -> DataFrame:
     rows = chunks(t).select("pos", "page_content", "chunking_hint")
-    return chunk_documents(rows).where("chunking_hint = 'no_chunk'").select("pos", "chunk_index", "page_content", F.col("chunk_size").cast("long").alias("chunk_size"))
+    return chunk_documents(rows).select("pos", "chunk_index", "page_content", F.col("chunk_size").cast("long").alias("chunk_size"))
+
+
+@query("g2_chunk_passed", f"""
+WITH {CHUNKS} SELECT pos, coalesce(chunking_hint = 'no_chunk', false) OR length(page_content) <= 1000 AS whole FROM chunks""")
+def _(t: Tables) -> DataFrame:
+    """Which rows stay as they are: those not to be cut, and those that one chunk holds."""
+    rows = chunks(t).select("pos", F.col("page_content").alias("all"), "chunking_hint")
+    cut = chunk_documents(rows.withColumn("page_content", F.col("all"))).groupBy("pos").agg(F.count("*").alias("n"), F.max(F.col("page_content") == F.col("all")).alias("same"), F.max(F.length("all")).alias("size"))
+    return cut.select("pos", ((F.col("n") == 1) & (F.col("same") | (F.col("size") <= 1000))).alias("whole"))
 
 
 @query("g2_chunk_routing", f"""

@@ -10,12 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions.text import sanitize
+from quern.sources.tables import materialize, with_global_index
 
 EXTENSIONS = (".pdf", ".txt", ".md", ".csv")
 #: A text file is a table with at least so many columns and rows among its first ones.
 TABLE_COLUMNS, TABLE_ROWS = 2, 50
-#: Keys of record files that mean the same, the first that is there wins.
-TEXT_KEYS, VECTOR_KEYS, ID_KEYS, LIST_KEYS = ("text", "page_content", "document", "content"), ("embedding", "vector", "embeddings"), ("id", "chunk_id", "_id"), ("chunks", "documents", "records", "data", "items")
+#: Keys of record files that mean the same, the first that isn't null wins.
+TEXT_KEYS = ("text", "document", "page_content", "content", "texto")
+VECTOR_KEYS = ("embedding", "vector", "values", "embedding_vector")
+ID_KEYS = ("id", "chunk_id", "document_id", "uid")
+LIST_KEYS = ("chunks", "documents", "records", "data", "items")
+SOURCE_KEYS, DOCUMENT_KEYS, CATEGORY_KEYS = ("source", "fuente"), ("document_id", "doc_id"), ("doc_category", "category", "categoria")
 
 
 def _extension(path: Column) -> Column:
@@ -143,7 +148,8 @@ def sanitized(df: DataFrame) -> DataFrame:
 
 
 def index_table(df: DataFrame, name: str, recreate: bool = True) -> tuple[int, int]:
-    """Write rows(id, embedding, document, metadata columns) to a table, and count how many of them it holds afterwards and how many there were. Ids must be unique."""
+    """Write rows(id, embedding, document, metadata columns) to a table; (how many of these rows it holds afterwards, how many rows it has). Ids must be unique, and a row that the table doesn't hold is an error."""
+    df = materialize(df, "rows-to-index")
     if not df.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("ids are not unique")
     spark, kept = df.sparkSession, [c for c in df.columns if c not in ("id", "embedding", "document")]
@@ -152,26 +158,54 @@ def index_table(df: DataFrame, name: str, recreate: bool = True) -> tuple[int, i
     if recreate:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     clean.write.mode("overwrite" if recreate else "append").saveAsTable(name)
-    return spark.table(name).join(df.select("id"), "id", "left_semi").select("id").distinct().count(), df.count()
+    alive, given = spark.table(name).join(df.select("id"), "id", "left_semi").select("id").distinct().count(), df.count()
+    if alive != given:
+        raise ValueError(f"{name} holds {alive} of {given} rows")
+    return alive, spark.table(name).count()
+
+
+def _metadata(df: DataFrame) -> Column:
+    """A record's metadata, or meta, as a map of texts; what is no object is kept under metadata_raw."""
+    kinds, none = dict(df.dtypes), F.create_map().cast("map<string,string>")
+
+    def of(name: str) -> Column:
+        value = F.col(name)
+        if kinds[name].startswith("map"):
+            return value.cast("map<string,string>")
+        if kinds[name].startswith("struct"):
+            pairs = [F.struct(F.lit(f.name), value[f.name].cast("string")) for f in df.schema[name].dataType]
+            return F.when(value.isNotNull(), F.map_filter(F.map_from_entries(F.array(*pairs)), lambda _, v: v.isNotNull())) if pairs else none
+        return F.when(value.isNotNull(), F.create_map(F.lit("metadata_raw"), value.cast("string")))
+
+    return F.coalesce(*(of(c) for c in ("metadata", "meta") if c in kinds), none)
 
 
 def load_records(df: DataFrame) -> DataFrame:
-    """(pos, id, text, embedding, metadata) from raw records: aliases are tried in order, an id falls back to metadata's and then to the row's number. df has pos and any of the aliases; metadata is a map."""
-    have = set(df.columns)
-    first = lambda names, kind: F.coalesce(*(F.nullif(F.col(n).cast("string"), F.lit("")) if kind == "string" else F.col(n).cast(kind) for n in names if n in have), F.lit(None).cast(kind))
-    metadata = F.col("metadata") if "metadata" in have else F.create_map().cast("map<string,string>")
-    own = F.coalesce(first(ID_KEYS, "string"), F.nullif(metadata["id"], F.lit("")), F.format_string("row_%08d", "pos"))
-    return df.select("pos", own.alias("id"), F.coalesce(first(TEXT_KEYS, "string"), F.lit("")).alias("text"), first((*VECTOR_KEYS, "data"), "array<double>").alias("embedding"), metadata.alias("metadata"))
+    """(pos, id, text, embedding, metadata, source, document_id, category) from raw records: of aliases the first that isn't null counts, of a record's own before its metadata's; an id falls back to the row's number. df has pos and any of the aliases; vectors may lie in data."""
+    kinds, metadata = dict(df.dtypes), _metadata(df)
+    own = lambda names: [F.col(n).cast("string") for n in names if n in kinds and not kinds[n].startswith(("struct", "array", "map"))]
+    held = lambda names: [F.col("_meta")[n] for n in names]
+    vectors = [F.col(n).cast("array<double>") for n in VECTOR_KEYS if kinds.get(n, "").startswith("array")]
+    if kinds.get("data", "").startswith("struct"):
+        vectors += [F.col("data")[f.name].cast("array<double>") for n in VECTOR_KEYS for f in df.schema["data"].dataType if f.name == n]
+    first = lambda parts, other, kind="string": F.coalesce(*parts, F.lit(other).cast(kind))
+    return df.withColumn("_meta", metadata).select(
+        "pos", F.coalesce(*own(ID_KEYS), *held(ID_KEYS), F.format_string("row_%08d", "pos")).alias("id"), first(own(TEXT_KEYS), "").alias("text"), first(vectors, None, "array<double>").alias("embedding"),
+        F.col("_meta").alias("metadata"), first(held(SOURCE_KEYS), "").alias("source"), first(held(DOCUMENT_KEYS), "").alias("document_id"), first(held(CATEGORY_KEYS), "").alias("category"),
+    )
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records of a JSON file: a list, an object that wraps one, a single object, or a line for each."""
-    whole = spark.read.text(path, wholetext=True).first()
-    text = (whole.value if whole else "").lstrip()
-    raw = spark.read.json(path, multiLine=text.startswith(("[", "{\n")) or text.count("\n{") == 0)
-    wrapped = next((k for k in LIST_KEYS if dict(raw.dtypes).get(k, "").startswith("array<struct")), None)
-    rows = raw.select(F.inline(wrapped)) if wrapped else raw
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """Raw records of a .jsonl file (or a folder of such), a line for each; of another, a JSON list, an object that wraps one, or a single object. pos is the place in the file."""
+    lines = not path.rstrip("/").lower().endswith(".json")
+    raw = spark.read.json(path, multiLine=not lines)
+    wrapped = None if lines else next((k for k in LIST_KEYS if dict(raw.dtypes).get(k, "").startswith("array<struct")), None)
+    at = {"_file": F.col("_metadata.file_path"), "_begin": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    rows = raw.withColumns(at)
+    if wrapped:
+        rows = rows.select(*at, F.posexplode(wrapped).alias("_at", "_record")).select(*at, "_at", "_record.*")
+    order = (*at, *(["_at"] if wrapped else []))
+    return with_global_index(rows, *order, name="pos").drop(*order)
 
 
 def long_form(df: DataFrame, section: str) -> DataFrame:

@@ -79,6 +79,8 @@ def test_index_table(spark):
     assert {r.meta for r in spark.table("ix_test").collect()} == {"null", "m"}
     with pytest.raises(ValueError, match="unique"):
         files.index_table(df.union(df), "ix_test")
+    more = spark.createDataFrame([("c", [1.0], "t", None)], df.schema)
+    assert files.index_table(more, "ix_test", recreate=False) == (1, 3)
     spark.sql("DROP TABLE ix_test")
 
 
@@ -88,7 +90,46 @@ def test_sample_needs_rows(spark):
         balanced_sample(df, 2, "s")
 
 
-@pytest.mark.parametrize(("raw", "pairs"), [('[{"pregunta": "p", "respuesta_posible": "NO GENERADA"}, 3]', [("p", "")]), ('{"pregunta": "q", "respuesta_posible": "r"}', [("q", "r")]), ("[]", [("", "")]), ("none", None)])
+@pytest.mark.parametrize(("raw", "pairs"), [('[{"pregunta": "p", "respuesta_posible": "NO GENERADA"}, 3]', [("p", "")]), ('{"pregunta": "q", "respuesta_posible": "r"}', None), ('{"preguntas": [{"pregunta": "q"}]}', [("q", "")]), ("[]", [("", "")]), ("none", None)])
 def test_question_array(spark, raw, pairs):
     out = spark.createDataFrame([(raw,)], "r string").select(parse_question_array(F.col("r"), 5).alias("p")).first().p
     assert (out and [tuple(p) for p in out]) == pairs
+
+
+def test_records(spark, tmp_path):
+    """Lists, wrapped lists, single objects and lines of JSON; aliases in their order, and values that are no text, no object or not there."""
+    import json
+
+    rows = [{"id": "a", "content": "low", "text": "high", "embedding": [1, 2]}, {"uid": 7, "texto": "t", "data": {"values": [3, 4]}, "meta": {"fuente": "f", "doc_id": "d"}}, {"text": "", "content": "not this", "metadata": {"chunk_id": "m", "source": "s", "categoria": "k"}}, {"page_content": None}]
+    expected = [(0, "a", "high", [1.0, 2.0], "", "", ""), (1, "7", "t", [3.0, 4.0], "f", "d", ""), (2, "m", "", None, "s", "", "k"), (3, "row_00000003", "", None, "", "", "")]
+    (tmp_path / "list.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"n": 4, "records": rows}))
+    (tmp_path / "lines.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    for name in ("list.json", "wrapped.json", "lines.jsonl"):
+        out = files.load_records(files.read_records(spark, f"file://{tmp_path}/{name}")).orderBy("pos").collect()
+        assert [(r.pos, r.id, r.text, r.embedding, r.source, r.document_id, r.category) for r in out] == expected, name
+    (tmp_path / "one.json").write_text(json.dumps(rows[0]))
+    assert files.load_records(files.read_records(spark, f"file://{tmp_path}/one.json")).first().id == "a"
+
+
+def test_vector_checks(spark):
+    from quern.operators import evaluation as E
+
+    rows = [("a", [3.0, 4.0], "t", "s", {"k": "v"}, 0), ("a", [0.0, 0.0], " ", "", None, 1), ("b", None, "", "", None, 2), ("b", [float("nan"), 1.0], "t", "s", {}, 3), ("c", [0.0, 2.0], "t", "s", {"k": "v"}, 4)]
+    schema = "id string, embedding array<double>, text string, source string, metadata map<string,string>, pos long"
+    df = spark.createDataFrame(rows, schema)
+    r = E.validate_vectors(df).first()
+    assert (r.n, r.n_valid, r.n_missing, r.dim, r.n_bad, r.n_zero, r.n_no_metadata, r.n_no_source, r.n_no_text, r.n_duplicate_ids) == (5, 4, 1, 2, 1, 1, 2, 1, 1, 1)
+    assert (r.norm_min, r.norm_mean, r.norm_max, r.norm_p25, r.norm_p50, r.norm_p75) == (0.0, 2.0, 5.0, 0.75, 1.5, 2.75)
+    assert [tuple(x) for x in E.dimension_distribution(df).collect()] == [(2, 4)] and [tuple(x) for x in E.duplicate_ids(df).collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="different dimensions"):
+        E.validate_vectors(df.union(spark.createDataFrame([("d", [1.0], "t", "s", None, 5)], schema))).collect()
+    with pytest.raises(Exception, match="no record has a vector"):
+        E.validate_vectors(df.where("embedding IS NULL")).collect()
+
+
+def test_audit_of_a_source_minds_case(spark):
+    from quern.operators.dedup import audit_sample
+
+    df = spark.createDataFrame([("Source1", "dedup_coseno", 0.9, 1), ("source1", "dedup_coseno", 0.8, 2), ("source1", "dedup_clave", None, 3)], "fuente string, motivo string, sim double, global_id long")
+    assert [r.global_id for r in audit_sample(df, "sour").collect()] == [2, 3] and [r.global_id for r in audit_sample(df, "Sour", "coseno", 5).collect()] == [1]

@@ -33,7 +33,7 @@ def test_authority_takes_the_first_hit(spark):
 
 @pytest.mark.parametrize(
     ("answer", "expected"),
-    [("nothing", ("instalaciones", "", 0.5)), ('{"categoria": "agenda", "tags": ["abono", "x"], "relevancia": 0.9}', ("agenda", "abono", 0.9)), ('{"categoria": "tarifas"}', ("tarifas", "", 0.0)), ('{"categoria": "z", "relevancia": "high"}', ("instalaciones", "", 0.0)), ("{broken", ("instalaciones", "", 0.5)), (None, ("instalaciones", "", 0.5))],
+    [("nothing", ("instalaciones", "", 0.5)), ('{"categoria": "agenda", "tags": ["abono", "x"], "relevancia": 0.9}', ("agenda", "abono", 0.9)), ('{"categoria": "tarifas"}', ("tarifas", "", 0.0)), ('{"categoria": "z", "relevancia": "high"}', ("instalaciones", "", 0.0)), ("{broken", ("instalaciones", "", 0.5)), ("{}", ("instalaciones", "", 0.0)), ('{"note": 1}', ("instalaciones", "", 0.0)), (None, ("instalaciones", "", 0.5))],
 )
 def test_verdict(spark, answer, expected):
     v = one(spark, answer, normalize_verdict)
