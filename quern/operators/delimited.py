@@ -23,6 +23,7 @@ KINDS = {
     "time_series": ("grouped_doc", "group_only", "light_chunk"),
     "textual_table": ("row_as_doc", "semantic_optional", "normal_chunk"),
     "unknown_csv": ("row_as_doc", "exact_only", "normal_chunk"),
+    "tabular_txt": ("row_as_doc", "exact_only", "normal_chunk"),
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from quern.operators import delimited as D, dedup
 from quern.queries.base import CHUNKS, Tables, chunks, query
 from quern.sources import files
+from quern.sources.loader import load_files
 from quern.sources.tables import materialize, with_global_index
 
 #: The first 2000 parts by key as text, as a profile sees them.
@@ -98,21 +99,27 @@ def _(t: Tables) -> DataFrame:
 # ---- files and sinks: data of the tables written out and read back ------------------------------------------------------------
 
 
-def _written(t: Tables) -> DataFrame:
-    """Suppliers as a few delimited files and documents' heads as text, read as raw files."""
-    raw = t.supplier.repartition(2, "s_suppkey").select(F.concat_ws(";", F.col("s_suppkey").cast("string"), F.concat(F.lit(" "), "s_name"), F.col("s_nationkey").cast("string")).alias("line"))
+def _written(t: Tables) -> str:
+    """A folder with the suppliers as delimited files, as many as Spark has partitions of them."""
     path = materialize(t.supplier.select("s_suppkey"), "suppliers").inputFiles()[0].rsplit("/", 1)[0] + "-csv"
-    lines = raw.select(F.col("line"))
-    lines.mapInPandas(lambda frames: (f.assign(line="Clave;NOMBRE ;Nación\n" + "\n".join(f.line)).head(1) for f in frames if len(f)), "line string").write.text(path)
-    return files.with_file_hash(t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "content"))
+    rows = t.supplier.select(F.col("s_suppkey").alias("Clave"), F.concat(F.lit(" "), "s_name").alias("NOMBRE "), F.col("s_nationkey").alias("Nación"))
+    rows.write.csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
 
 
 @query("s6_read_delimited", "SELECT s_suppkey::VARCHAR AS clave, trim(s_name) AS nombre, s_nationkey::VARCHAR AS nacion FROM supplier")
 def _(t: Tables) -> DataFrame:
-    rows = files.read_delimited(_written(t))
+    rows = files.read_delimited(files.scan_files(t.spark, _written(t))[0])
     return rows.select(*(F.col("cells")[k].alias(name) for k, name in (("clave", "clave"), ("nombre", "nombre"), ("nación", "nacion"))))
 
 
+@query("load_files", """
+SELECT 'clave: ' || s_suppkey || ' | nombre: ' || trim(s_name) || ' | nación: ' || s_nationkey AS content, 'unknown_csv' AS kind, 'exact_only' AS policy FROM supplier""")
+def _(t: Tables) -> DataFrame:
+    out = load_files(t.spark, _written(t))
+    return out.select(F.col("page_content").alias("content"), F.col("csv_kind").alias("kind"), F.col("dedup_policy").alias("policy"))
+
+
 @query("s1_scan_files")
 def _(t: Tables) -> DataFrame:
     found, _ = files.scan_files(t.spark, t.sf_dir, (".parquet",))

@@ -15,6 +15,8 @@ from quern.sources.tables import materialize, with_global_index
 EXTENSIONS = (".pdf", ".txt", ".md", ".csv")
 #: A text file is a table with at least so many columns and rows among its first ones.
 TABLE_COLUMNS, TABLE_ROWS = 2, 50
+#: Lines that are looked at to tell.
+HEAD_LINES = 200
 #: Keys of record files that mean the same, the first that isn't null wins.
 TEXT_KEYS = ("text", "document", "page_content", "content", "texto")
 VECTOR_KEYS = ("embedding", "vector", "values", "embedding_vector")
@@ -23,14 +25,19 @@ LIST_KEYS = ("chunks", "documents", "records", "data", "items")
 SOURCE_KEYS, DOCUMENT_KEYS, CATEGORY_KEYS = ("source", "fuente"), ("document_id", "doc_id"), ("doc_category", "category", "categoria")
 
 
-def _extension(path: Column) -> Column:
+#: The bytes from 80 to 9F that cp1252 has a character for, as latin-1 and as cp1252 read them.
+_HIGH = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_CP1252 = (_HIGH.decode("latin-1"), _HIGH.decode("cp1252"))
+
+
+def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
 def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """(files, ignored): path, source and content of the files with these extensions, and the paths of the others."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    known = _extension(F.col("path")).isin(*extensions)
+    known = extension(F.col("path")).isin(*extensions)
     return with_file_hash(listed.where(known).select("path", "content")), listed.where(~known).select("path")
 
 
@@ -40,26 +47,15 @@ def with_file_hash(df: DataFrame) -> DataFrame:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8, its byte-order mark eaten; else cp1252; else latin-1."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        def one(raw: bytes | None) -> str | None:
-            for name in ("utf-8-sig", "cp1252"):
-                try:
-                    return None if raw is None else bytes(raw).decode(name)
-                except UnicodeDecodeError:
-                    continue
-            return bytes(raw).decode("latin-1")
-
-        return values.map(one)
-
-    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(decode(content))
+    """UTF-8, its byte-order mark eaten; else cp1252; else latin-1. The five bytes that cp1252 has no character for tell the last two apart."""
+    text, latin = content.cast("string"), F.decode(content, "ISO-8859-1")
+    undefined = F.regexp_like(latin, F.lit(r"[\x81\x8D\x8F\x90\x9D]"))
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(F.when(undefined, latin).otherwise(F.translate(latin, *_CP1252)))
 
 
 def read_plain_text(files: DataFrame) -> DataFrame:
     """A document for each .txt or .md file that isn't a table."""
-    text = files.where(_extension(F.col("path")).isin(".txt", ".md")).withColumn("page_content", decode_text(F.col("content")))
+    text = files.where(extension(F.col("path")).isin(".txt", ".md")).withColumn("page_content", decode_text(F.col("content")))
     return text.where(~is_tabular(F.col("page_content"))).select("path", "source", "file_hash", "page_content")
 
 
@@ -85,7 +81,7 @@ def is_tabular(text: Column) -> Column:
     def check(texts: pd.Series) -> pd.Series:
         return texts.map(_is_table)
 
-    return check(text)
+    return check(F.substring_index(text, "\n", HEAD_LINES))
 
 
 def column_name(raw: str) -> str:
@@ -93,7 +89,7 @@ def column_name(raw: str) -> str:
 
 
 def read_delimited(files: DataFrame) -> DataFrame:
-    """(source, file_hash, row, cells) for each row of delimited files: cells is a map of normalised header to trimmed text. Of equal headers the last counts, missing cells are empty, a longer row has its first extra cell under 'col'. One file is read by one task."""
+    """(source, file_hash, row, header, cells) for each row of delimited files: cells is a map of normalised header to trimmed text, in the header's order; the header itself is with row 0. Of equal headers the last counts, missing cells are empty, a longer row has its first extra cell under 'col'. One file is read by one task, since quoted cells may hold line ends."""
     text = files.select("source", "file_hash", decode_text(F.col("content")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,9 +102,9 @@ def read_delimited(files: DataFrame) -> DataFrame:
                     if cells:
                         padded = [c.strip() for c in cells] + [""] * (len(header) - len(cells))
                         out.append(dict(zip([*header, "col"], padded, strict=False)))
-                yield pd.DataFrame({"source": source, "file_hash": digest, "row": range(len(out)), "cells": out})
+                yield pd.DataFrame({"source": source, "file_hash": digest, "row": range(len(out)), "header": pd.Series([header, *[None] * (len(out) - 1)][: len(out)], dtype=object), "cells": pd.Series(out, dtype=object)})
 
-    return text.mapInPandas(run, "source string, file_hash string, row int, cells map<string,string>")
+    return text.mapInPandas(run, "source string, file_hash string, row int, header array<string>, cells map<string,string>")
 
 
 def cells_table(rows: DataFrame, columns: list[str]) -> DataFrame:

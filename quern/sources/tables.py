@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+def _root(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if root := context.getConf().get("spark.checkpoint.dir"):
+        return root
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context._quern_tables = getattr(context, "_quern_tables", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    return context._quern_tables
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (where that is unset, as in tests, under a temporary folder) and read again: computed once, and it survives lost executors."""
+    """df written as Parquet under spark.checkpoint.dir and read again: computed once, and it survives lost executors. Where the setting is unset, a temporary folder serves on one machine, as in tests; on a cluster that is an error."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_quern_tables", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext._quern_tables = root
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -133,3 +133,29 @@ def test_audit_of_a_source_minds_case(spark):
 
     df = spark.createDataFrame([("Source1", "dedup_coseno", 0.9, 1), ("source1", "dedup_coseno", 0.8, 2), ("source1", "dedup_clave", None, 3)], "fuente string, motivo string, sim double, global_id long")
     assert [r.global_id for r in audit_sample(df, "sour").collect()] == [2, 3] and [r.global_id for r in audit_sample(df, "Sour", "coseno", 5).collect()] == [1]
+
+
+def test_load_files(spark, tmp_path):
+    from quern.sources.loader import DOCUMENT, load_files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "note.md").write_bytes(b"caf\xe9 with \x93quotes\x94\nsecond line")
+    (tmp_path / "sub" / "table.txt").write_text("Codigo_temporada,b,b\n" + "".join(f"1,x{i}, y{i} \n" for i in range(60)))
+    (tmp_path / "short.txt").write_text("a;b\n1;2\n")
+    (tmp_path / "areas.csv").write_text("\ufeffID-NOMBRE;Direccion;Tipo\n" + "".join(f"n{i};street {i};t{i % 2}\n" for i in range(12)))
+    (tmp_path / "facts.csv").write_text("mes;centro;clase;precio\n" + "".join(f"m{i % 2};c{i % 3};k;{i}\n" for i in range(12)) + "m0;c0;k;1;extra\n")
+    (tmp_path / "empty.csv").write_text("a;b\n")
+    (tmp_path / "other.bin").write_bytes(b"x")
+    out = load_files(spark, f"file://{tmp_path}")
+    assert out.columns == [c.split()[0] for c in DOCUMENT.split(", ")]
+    by = {}
+    for r in out.orderBy("source", "doc_id").collect():
+        by.setdefault(r.source, []).append(r)
+    assert set(by) == {"note.md", "table.txt", "short.txt", "areas.csv", "facts.csv"}
+    assert all([r.doc_id for r in rows] == list(range(len(rows))) and len({r.file_hash for r in rows}) == 1 for rows in by.values())
+    assert by["note.md"][0].page_content == "café with “quotes”\nsecond line" and by["short.txt"][0].page_content == "a;b\n1;2\n"
+    assert len(by["table.txt"]) == 60 and by["table.txt"][3].page_content == "codigo_temporada: 1 | b: y3" and (by["table.txt"][3].csv_kind, by["table.txt"][3].dedup_policy) == ("tabular_txt", "exact_only")
+    assert len(by["areas.csv"]) == 12 and by["areas.csv"][5].page_content == "id-nombre: n5 | direccion: street 5 | tipo: t1"
+    assert {r.csv_kind for r in by["areas.csv"]} == {"entity_table"} and by["areas.csv"][5].entity_key == "n5"
+    assert {r.csv_kind for r in by["facts.csv"]} <= {"fact_table", "time_series"} and sum(r.group_size for r in by["facts.csv"]) == 13 and all(r.is_aggregated for r in by["facts.csv"])
+    assert load_files(spark, f"file://{tmp_path}/sub").count() == 60
