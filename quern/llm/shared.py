@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; where that is unset (tests on one machine), under a temporary one."""
+    """A new folder's URI under spark.checkpoint.dir; where that is unset, on one machine (as in tests) under a temporary one, on a cluster an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _own_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark.sparkContext, "_quern_shared", None):
         spark.sparkContext._quern_shared = "file://" + tempfile.mkdtemp(prefix="quern-")
     return spark.sparkContext._quern_shared
