@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. Every
 stage but the last returns the columns of docs; the last returns (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
-The classifier can't be expressed in SQL, so there is no ORACLE_SQL; tests/llm hold run() against a brute-force version.
+The classifier can't be expressed in SQL, so there is no ORACLE_SQL; tests/llm hold the stages against brute-force versions.
+
+Defined results: rows without a doc_id are judged by no one and pass the first two stages; rows that repeat a doc_id stay or go together;
+a null or empty text scores as its statistics say, is near to nothing, holds no secret, has size 0 in the mix, so that none is taken in a
+part but some in a whole pass, and encodes to no ids; other columns, whatever their names, pass through all stages but the last; an empty
+table gives empty results.
 """
 
 from __future__ import annotations
