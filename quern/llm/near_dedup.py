@@ -29,8 +29,6 @@ PERCENT = 85
 #: Stars per bucket: each round compares what a bucket has unlinked with a centre not used so far, in the first half of
 #: the rounds the best, then one drawn by hash, which differs from bucket to bucket.
 STARS = 4
-#: A shingle in so many prefixes is dealt out to one more part of the exact join.
-SALT = 1000
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
@@ -194,12 +192,13 @@ def _prefix_pairs(held: DataFrame) -> DataFrame:
     at = one.join(shared.hint("merge"), "shingle").withColumn("place", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("rest", F.col("n") - (F.col("n") - F.count("*").over(own) + F.col("place") - 1))
     prefix = materialize(at.where(100 * F.col("rest") >= PERCENT * F.col("n")).select("shingle", "held", "doc_id", "component", "n", "rest"), "prefixes")
     sided = other_sides(prefix, "shingle")
+    # a shingle that many prefixes hold is split by adaptive execution, as any skewed key of a merge join: no row is copied for it here
     # a pair's smaller text has its first common shingle in a shorter prefix: its own half of the common ones is more of it
     short = (100 + PERCENT) * F.col("rest") >= 2 * PERCENT * F.col("n")
-    sided = sided.select("shingle", "level", "group", "side", "doc_id", "n", "rest", F.floor(F.col("held") / SALT).cast("int").alias("salts"))
-    a = sided.where(short).select("shingle", "level", "group", "side", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).cast("int").alias("salt"), F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"))
-    b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.col("doc_id").alias("centre"), "n", "rest")
-    both = a.join(b.hint("merge"), ["shingle", "level", "group", "side", "salt"])
+    sided = sided.select("shingle", "level", "group", "side", "doc_id", "n", "rest")
+    a = sided.where(short).select("shingle", "level", "group", "side", F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"))
+    b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.col("doc_id").alias("centre"), "n", "rest")
+    both = a.join(b.hint("merge"), ["shingle", "level", "group", "side"])
     both = both.where((F.col("rep_n") < F.col("n")) | (F.col("rep_n") == F.col("n")) & (F.col("rep") < F.col("centre"))).where(100 * F.col("rep_n") >= PERCENT * F.col("n"))
     # of n + rep_n shingles so many must be common, and no more than what is left of either from here on can be
     both = both.where((100 + PERCENT) * F.least("rest", "rep_rest") >= PERCENT * (F.col("n") + F.col("rep_n")))
