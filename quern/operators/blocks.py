@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.sources.tables import materialize
 
 BLOCK_ROWS = 2048
+#: Queries that one task may hold whole: rows, and bytes of their vectors.
+FEW, FEW_BYTES = 4096, 32 << 20
 _PACKED = "block long, ids binary, vectors binary"
 
 
@@ -48,6 +50,7 @@ def _matrix(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
 def block_pairs(left: tuple[DataFrame, int], right: tuple[DataFrame, int] | None, kernel: Callable, schema: str) -> DataFrame:
     """kernel(ids, matrix, ids, matrix, same) over every block of left with every one of right, or, without right, over each unordered pair of left's blocks; rows by schema."""
     (a, n), (b, m) = left, right or left
+    own = right is None
     if right is None:
         both = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("other"))
         both = both.select(F.least("number", "other").alias("i"), F.greatest("number", "other").alias("j"), (F.col("number") > F.col("other")).cast("int").alias("side"), "ids", "vectors")
@@ -58,7 +61,9 @@ def block_pairs(left: tuple[DataFrame, int], right: tuple[DataFrame, int] | None
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("side")
         first, last = _matrix(table, 0), _matrix(table, table.num_rows - 1)
-        return kernel(*first, *last, table.num_rows == 1)
+        found = kernel(*first, *last, table.num_rows == 1)
+        # a block that is alone between two tables meets an empty one
+        return found if own or table.num_rows > 1 else found.slice(0, 0)
 
     return both.groupBy("i", "j").applyInArrow(run, schema)
 
@@ -95,16 +100,41 @@ def nearest(blocks: tuple[DataFrame, int]) -> DataFrame:
     return best.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("m"))).alias("b")).select("id", "b.sim", (-F.col("b.m")).alias("other"))
 
 
+def top_k_near(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """top_k of (id, vector) rows where the queries are at most FEW rows of at most FEW_BYTES: they go to the index, whose rows stay where they are; each of its partitions passes on k rows a query at most."""
+    held = queries.toArrow()
+    iq, q = np.array(held["id"], np.int64), np.array(held["vector"].combine_chunks().flatten(), np.float64)
+    if len(iq) > FEW or q.nbytes > FEW_BYTES:
+        raise ValueError("too many queries for one block")
+    shared = queries.sparkSession.sparkContext.broadcast((iq, q.reshape(len(iq), -1 if len(iq) else 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        iq, q = shared.value
+        ids, best = np.zeros((len(iq), 0), np.int64), np.zeros((len(iq), 0))
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(iq) else 0, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                x = np.array(part.column("vector").flatten(), np.float64).reshape(part.num_rows, -1)
+                ids = np.hstack([ids, np.broadcast_to(np.array(part.column("id"), np.int64), (len(iq), part.num_rows))])
+                best = np.hstack([best, q @ x.T])
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(iq, ids.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["query", "id", "sim"])
+
+    return _ranked(index.mapInArrow(run, "query long, id long, sim double"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(queries: tuple[DataFrame, int], index: tuple[DataFrame, int], k: int) -> DataFrame:
     """(query, id, sim, rank) of each query's k rows of the largest dot product; of equals the smaller id comes first. Each pair of blocks passes on k rows a query at most."""
-    from pyspark.sql import Window
-
     def kernel(iq: np.ndarray, q: np.ndarray, ix: np.ndarray, x: np.ndarray, same: bool) -> pa.Table:
         order = np.argsort(ix, kind="stable")
         sims = (q @ x.T)[:, order]
         best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         return pa.table({"query": np.repeat(iq, best.shape[1]), "id": ix[order][best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
 
-    found = block_pairs(queries, index, kernel, "query long, id long, sim double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(block_pairs(queries, index, kernel, "query long, id long, sim double"), k)

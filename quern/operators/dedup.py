@@ -27,11 +27,9 @@ def exact_key(policy: Column) -> Column:
 
 
 def exact_key_dedup(df: DataFrame) -> DataFrame:
-    """df with `kept`: whether the row is the first, by pos, of its source and key. Only digests and positions are shuffled."""
-    keyed = df.withColumn("_key", exact_key(F.col("dedup_policy")))
-    first = keyed.groupBy(F.col("source").alias("_source"), "_key").agg(F.min("pos").alias("_first"))
-    joined = keyed.alias("k").join(first.alias("f"), F.col("k.source").eqNullSafe(F.col("f._source")) & (F.col("k._key") == F.col("f._key")))
-    return joined.select("k.*", (F.col("k.pos") == F.col("f._first")).alias("kept")).drop("_key")
+    """df with `kept`: whether the row is the first, by pos, of its source and key. Digests and positions are grouped; rows meet the firsts by pos, which is unique, so no key is hot."""
+    first = df.groupBy("source", exact_key(F.col("dedup_policy")).alias("_key")).agg(F.min("pos").alias("_first")).select("_first")
+    return df.join(first, F.col("pos") == F.col("_first"), "left").withColumn("kept", F.col("_first").isNotNull()).drop("_first")
 
 
 @dataclass(frozen=True)

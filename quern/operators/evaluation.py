@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.functions.text import strip
 from quern.functions.vectors import dot, l2_normalize
 from quern.operators.blocks import block_pairs, nearest, packed
+from quern.operators.metrics import quantiles
 from quern.operators.retrieval import retrieve
-from quern.sources.tables import with_global_index
+from quern.sources.tables import materialize
 
 PERCENTS = (0.5, 0.9, 0.95, 0.99)
 
@@ -66,18 +67,6 @@ def duplicate_ids(df: DataFrame, vector: str = "embedding", k: int = 20, order:
     return many.orderBy("first").limit(k).select("id", "n")
 
 
-def quantiles(df: DataFrame, value: str, cuts: dict[str, float]) -> DataFrame:
-    """One row of exact quantiles, interpolated between neighbours; nulls don't count. Rows are numbered by a range partitioning, so that no task holds all values."""
-    at = with_global_index(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), "_v", name="_i")
-    n = at.agg(F.count("*").alias("_n"))
-    spots = [(name, (F.col("_n") - 1) * F.lit(float(q))) for name, q in cuts.items()]
-    wanted = F.array(*(f(spot).cast("long") for _, spot in spots for f in (F.floor, F.ceil)))
-    found = at.join(F.broadcast(n), how="cross").where(F.array_contains(wanted, F.col("_i").cast("long")))
-    values = found.agg(F.max("_n").alias("_n"), F.map_from_entries(F.collect_set(F.struct(F.col("_i").cast("long"), "_v"))).alias("_m"))
-    low, high = (lambda spot, f=f: F.col("_m")[f(spot).cast("long")] for f in (F.floor, F.ceil))
-    return values.select(*((low(spot) + (high(spot) - low(spot)) * (spot - F.floor(spot))).alias(name) for name, spot in spots))
-
-
 def length_report(df: DataFrame) -> DataFrame:
     """One row about records(text, source, document_id): length percentiles, short and long counts (raw lengths), distinct keys, and chunks per document."""
     key = lambda c, name: F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit(name))
@@ -113,9 +102,11 @@ def nearest_neighbor(df: DataFrame, threshold: float, id: str = "pos", vector: s
 
 
 def neighbor_summary(neighbors: DataFrame) -> DataFrame:
-    cuts = {f"p{round(100 * p)}": F.percentile("sim", F.lit(p)) for p in PERCENTS}
+    """One row: the similarities' mean, min, max and quantiles, and the duplicates with their share."""
+    neighbors = materialize(neighbors.select("sim", "is_duplicate"), "neighbors")
     dup = F.count_if("is_duplicate")
-    return neighbors.agg(F.avg("sim").alias("mean"), F.min("sim").alias("min"), F.max("sim").alias("max"), *(c.alias(k) for k, c in cuts.items()), dup.alias("n_duplicates"), (100 * dup / F.count("*")).alias("pct_duplicates"))
+    whole = neighbors.agg(F.avg("sim").alias("mean"), F.min("sim").alias("min"), F.max("sim").alias("max"), dup.alias("n_duplicates"), (100 * dup / F.count("*")).alias("pct_duplicates"))
+    return whole.join(quantiles(neighbors, "sim", {f"p{round(100 * p)}": p for p in PERCENTS}), how="cross")
 
 
 def duplicate_pairs_sample(neighbors: DataFrame, records: DataFrame, k: int = 100) -> DataFrame:

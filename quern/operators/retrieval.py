@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.functions.text import ABSTENTION, context_block, question_error, rag_prompt
 from quern.functions.vectors import l2_normalize
-from quern.operators.blocks import packed, top_k
+from quern.operators.blocks import FEW, FEW_BYTES, packed, top_k, top_k_near
 from quern.sources.tables import materialize
 
 MAX_DISTANCE, MAX_CHUNKS, UNKNOWN = 0.65, 5, "desconocido"
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int, query: str = "query_id", id: str = "pos", vector: str = "embedding") -> DataFrame:
-    """(query_id, pos, distance, rank): the k rows of the smallest cosine distance; k beyond the index gives all, an empty index nothing."""
+    """(query_id, pos, distance, rank): the k rows of the smallest cosine distance; k beyond the index gives all, an empty index nothing. A batch of queries of a checked size goes to the index's partitions; more of them meet it in blocks."""
     if k <= 0:
         raise ValueError(f"top_k must be positive, not {k}")
-    unit = lambda df, key: packed(df.select(F.col(key), l2_normalize(F.col(vector)).alias("v")), key, "v")
-    found = top_k(unit(queries, query), unit(index, id), k)
+    unit = lambda df, key: df.select(F.col(key).cast("long").alias("id"), l2_normalize(F.col(vector)).cast("array<double>").alias("vector"))
+    asked = materialize(unit(queries, query), "asked")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("vector")), F.lit(0)).alias("bytes")).first()
+    if size.n <= FEW and size.bytes <= FEW_BYTES:
+        found = top_k_near(asked, unit(index, id), k)
+    else:
+        found = top_k(packed(asked, "id", "vector"), packed(unit(index, id), "id", "vector"), k)
     return found.select(F.col("query").alias(query), F.col("id").alias(id), (1 - F.col("sim")).alias("distance"), "rank")
 
 

@@ -29,6 +29,11 @@ def test_corpus_job(spark, tmp_path):
     assert files.read_audit(spark, str(tmp_path / "audit"), EVENT).count() == d.total
     total = job.metrics["sources"].where("source IS NULL").first()
     assert (total.docs, total.chunks_pre, total.chunks_post) == (40, 40, d.post)
+    assert job.metrics["integrity"].first().n == 40 and job.indexed is None
+    emptied = {r.fuente for r in job.metrics["emptied"].collect()}
+    assert emptied == {r.source for r in job.metrics["sources"].where("emptied AND source IS NOT NULL").collect()}
+    told = {(r.signal, r.subject) for r in job.metrics["signals"].collect()}
+    assert {s for n, s in told if n == "emptied_source"} == emptied and any(n == "short_chunks" for n, _ in told)
     plain = run_corpus_job(docs.withColumn("source", F.lit("one")), hash_embedder, keyword_tagger, 16, tsd=False)
     assert plain.index.count() == 40 and plain.events is None
 

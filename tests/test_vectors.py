@@ -6,7 +6,8 @@ from quern.functions import vectors as V
 from quern.operators.blocks import nearest, packed, similarity_edges, top_k
 from quern.operators.dedup import deduplicate, emptied_sources, greedy_semantic_dedup
 from quern.operators.evaluation import chunk_coherence, nearest_neighbor
-from quern.operators.metrics import chunk_length_stats
+from quern.operators.metrics import chunk_length_stats, quantiles, redundancy_by_policy
+from quern.operators.retrieval import retrieve
 
 
 def clones(seed, n=300, dim=16):
@@ -104,6 +105,38 @@ def test_policies_and_events(spark):
     assert set(gone) == {"u"} and gone["u"].motivo == "dedup_coseno"
 
 
+@pytest.mark.parametrize("few", [4096, 5])
+def test_retrieve_both_ways(spark, monkeypatch, few):
+    monkeypatch.setattr("quern.operators.retrieval.FEW", few)
+    v, _ = clones(9)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    asked = frame(spark, v[:20]).withColumnRenamed("pos", "query_id")
+    got = {}
+    for r in retrieve(asked, frame(spark, v).repartition(7), 6).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.distance))
+    for i in range(20):
+        sims = np.round(unit @ unit[i], 9)
+        assert {p for p, _ in got[i]} == set(np.lexsort((np.arange(300), -sims))[:6].tolist()) or len(set(sims[[p for p, _ in got[i]]])) < 6
+        assert [d for _, d in got[i]] == pytest.approx(sorted(1 - unit @ unit[i])[:6], abs=1e-9)
+    assert len(retrieve(asked, frame(spark, v).limit(2), 6).collect()) == 40
+    assert retrieve(asked, frame(spark, v).limit(0), 6).count() == retrieve(asked.limit(0), frame(spark, v), 6).count() == 0
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=101), "b": rng.normal(size=4), "": rng.normal(size=1)}
+    rows = [(p or None, float(x)) for p, xs in values.items() for x in xs] + [("b", None), ("none", None)]
+    df = spark.createDataFrame(rows, "dedup_policy string, redundancy double").repartition(5)
+    out = {r.policy: r for r in redundancy_by_policy(df, 0.0).collect()}
+    assert set(out) == {"a", "b", "semantica", "none"} and out["none"].p50 is None and out["b"].n == 5
+    for p, xs in values.items():
+        r = out[p or "semantica"]
+        assert (r.p50, r.p90) == pytest.approx(tuple(np.quantile(xs, [0.5, 0.9])))
+    whole = quantiles(df, "redundancy", {"p25": 0.25, "p75": 0.75}).first()
+    assert tuple(whole) == pytest.approx(tuple(np.quantile(np.concatenate(list(values.values())), [0.25, 0.75])))
+    assert quantiles(df.limit(0), "redundancy", {"p50": 0.5}).first().p50 is None
+
+
 def test_quartiles(spark):
     import statistics
 
