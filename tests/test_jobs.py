@@ -34,8 +34,10 @@ def test_corpus_job(spark, tmp_path):
     assert emptied == {r.source for r in job.metrics["sources"].where("emptied AND source IS NOT NULL").collect()}
     told = {(r.signal, r.subject) for r in job.metrics["signals"].collect()}
     assert {s for n, s in told if n == "emptied_source"} == emptied and any(n == "short_chunks" for n, _ in told)
-    plain = run_corpus_job(docs.withColumn("source", F.lit("one")), hash_embedder, keyword_tagger, 16, tsd=False)
-    assert plain.index.count() == 40 and plain.events is None
+    plain = run_corpus_job(docs.withColumn("source", F.lit("one")), hash_embedder, keyword_tagger, 16, tsd=False, table="corpus_job_index")
+    assert plain.index.count() == 40 and plain.events is None and plain.indexed == (40, 40)
+    assert {r.id for r in spark.table("corpus_job_index").select("id").collect()} == {f"one::{i}" for i in range(40)}
+    spark.sql("DROP TABLE corpus_job_index")
 
 
 def _value(v):
