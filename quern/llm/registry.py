@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.byte_bpe import round_trip
+from quern.llm.centroids import cluster_vectors
+from quern.llm.hard_negatives import mine, prepared
 from quern.llm.image_copies import image_copies, rendered
 from quern.llm.lm_score import train_and_score
 from quern.llm.mixing import mix_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.quality_classifier import classify
 from quern.llm.quality_rules import judge
+from quern.llm.repeats import without_repeats
 from quern.llm.secret_scan import scan
 from quern.llm.token_counts import token_counts
 from quern.llm.url_filters import derived_captures, derived_entries, verdicts
@@ -65,6 +68,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = mine(prepared(vectors, "vec_id", label, "embedding"), F.col("id") % 100 == 0).negatives
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_image_copies": op2_image_copies,
@@ -76,6 +97,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mix_to_weights": op9_mix_to_weights,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 #: Pieces between matches and the matches give the places of op5's findings; patterns as in secret_scan.RULES.
@@ -138,7 +162,32 @@ SELECT r.page_id, strftime(day, '%Y-%m-%d') AS fetched_on, key AS matched_key, a
 FROM raw r LEFT JOIN hits h ON h.page_id = r.page_id AND n = 1
 """
 
+_ROUND = """a{n} AS (SELECT vec_id, any_value(k.v) AS v, arg_min(c, struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i])))::BIGINT, c := c)) AS cluster,
+    min(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i])))::BIGINT) AS distance FROM kept k, m{n} m GROUP BY vec_id)"""
+_MOVE = """s{n} AS (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS k FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+x{n} AS (SELECT cluster, list((s - ((s % k) + k) % k) // k ORDER BY i) AS v FROM s{n} GROUP BY cluster), m{to} AS (SELECT c, coalesce(x.v, m.v) AS v FROM m{n} m LEFT JOIN x{n} x ON x.cluster = c)"""
+_CENTROIDS = f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 16),
+{", ".join(part for n in range(3) for part in (_ROUND.format(n=n), _MOVE.format(n=n, to=n + 1)))}, {_ROUND.format(n=3)},
+totals AS (SELECT cluster, sum(distance)::BIGINT AS t FROM a3 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, t AS cluster_inertia, (SELECT sum(t) FROM totals)::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a3 JOIN totals USING (cluster) JOIN m3 m ON m.c = cluster
+"""
+
+_NEGATIVES = """
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor, id, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+neg AS (SELECT p.anchor, p.id AS positive, p.score AS ps, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+    FROM pos p JOIN scores s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM neg WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clusters": _CENTROIDS,
+    "op12_hard_negatives": _NEGATIVES,
     "op1_url_filters": _URLS,
     "op4_quality_rules": _RULES,
     "op5_secret_scans": _SECRETS,

@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     global _powers
     if len(_powers[0]) <= n:
@@ -67,7 +67,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of every word; A-Z count as a-z when lower."""
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts])
