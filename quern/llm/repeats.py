@@ -2,7 +2,7 @@
 
 1. Every window of `least` bytes is owned by the least hash among its substrings of ANCHOR bytes. Consecutive windows with one owner make a
    piece; equal windows have equal owners, so they lie in pieces of one bucket. Buckets of one piece that can't repeat itself end here.
-2. The pieces of a bucket are collapsed by content; what several places share comes twice, that suffices. A bucket with more than LARGE
+2. The pieces of a bucket are collapsed by content and counted. A bucket with more than LARGE
    bytes of different contents is cut anew by longer substrings around the least one, by half of what is missing to the whole window in
    each turn; a window's own bytes are the last of them, so every bucket gets small.
 3. Whole buckets are gathered into texts of about TEXT bytes. Each gets a suffix array sorted to depth `least` and its Burrows-Wheeler
@@ -46,6 +46,15 @@ class Hashes:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts])
 
+    def each(self, size: int) -> np.ndarray:
+        """Hashes of all substrings of one size, mixed more briefly."""
+        out = self.prefix[size:] - self.prefix[:-size]
+        out *= self.down[: len(out)]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        return out
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every w values in a row."""
@@ -64,14 +73,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) -> tu
     if len(data) < least:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     hashes = Hashes(data)
-    at = np.arange(len(data) - anchor + 1)
-    subs = hashes.of(at, at + anchor)
+    subs = hashes.each(anchor)
     owner = sliding_min(subs, w)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    valid = np.arange(len(owner)) + least <= offsets[text[: len(owner)] + 1]
-    place = np.arange(len(owner)) - offsets[text[: len(owner)]]
+    # windows that reach beyond their text have no owner; runs of one owner end there and where it changes
+    last = np.maximum(offsets[1:] - least + 1, offsets[:-1])
+    valid = np.zeros(len(data) + 1, np.int8)
+    np.add.at(valid, offsets[:-1], 1)
+    np.add.at(valid, last, -1)
+    valid = np.cumsum(valid[: len(owner)], dtype=np.int8).astype(bool)
     new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (text[1 : len(owner)] != text[: len(owner) - 1])
+    np.not_equal(owner[1:], owner[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < len(owner)]] = True
     starts = np.flatnonzero(new & valid)
     if not len(starts):
         return pieces(data[:0], offsets, least, anchor)
@@ -83,9 +95,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) -> tu
     lo = np.repeat(starts, cut) + turn * MOST
     hi = np.minimum(lo + MOST, np.repeat(ends, cut))
     # windows with the owner at one place differ in where it lies; another place of it before the last window's start tells of a second
-    hit = np.concatenate([[0], np.cumsum(subs[: len(owner)] == owner)])
-    twice = hit[hi - 1] > hit[lo]
-    return text[lo], place[lo], hi - lo, owner[lo], hashes.of(lo, hi - 1 + least), twice
+    place = np.flatnonzero(subs[: len(owner)] == owner)
+    twice = np.searchsorted(place, hi - 1) > np.searchsorted(place, lo)
+    text = np.searchsorted(offsets, lo, "right") - 1
+    return text, lo - offsets[text], hi - lo, owner[lo], hashes.of(lo, hi - 1 + least), twice
 
 
 def _slices(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,8 +149,7 @@ def _fetched(least: int) -> Callable:
 def recut(content: np.ndarray, least: int, anchor: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, key, content's hash) of a piece's runs of windows that agree in the substring which lies around the least one and lacks a 2**turn-th of what that lacks of the window."""
     hashes = Hashes(content)
-    at = np.arange(len(content) - anchor + 1)
-    subs = hashes.of(at, at + anchor)
+    subs = hashes.each(anchor)
     windows, w = len(content) - least + 1, least - anchor + 1
     owner = sliding_min(subs, w)
     # the first place of the owner in each window: the next place, from the right, where a substring is the owner of a window that begins there or before
@@ -169,49 +181,62 @@ def _recut(least: int, anchor: int, turn: int) -> Callable:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of text (numbers of 0 to 256) in the order of what begins there, to the given depth; what lies beyond the end is 0."""
+    """Places of text (numbers of 0 to 256) in the order of what begins there, to the given depth at least; what lies beyond the end is less than all. The places that agree so far are sorted anew by what follows, three times as deep in each turn."""
     n = len(text)
-    word = np.zeros(n + 8, np.int64)
-    word[:n] = text
-    first = word[:n].copy()
-    for k in range(1, 7):
-        first = first * 257 + word[k : n + k]
-    order, held = np.argsort(first, kind="stable"), 7
+    symbols = np.zeros(257, np.int64)
+    symbols[text] = 1
+    base = int(symbols.sum()) + 1
+    code = np.cumsum(symbols)[text]
+    held = max(1, min(depth, int(62 / np.log2(base))))
+    word = np.zeros(n + held, np.int64)
+    word[:n] = code
+    key = code.copy()
+    for k in range(1, held):
+        key *= base
+        key += word[k : n + k]
+    order = np.argsort(key)
+    key, slots = key[order], np.arange(n)
+    rank = np.zeros(n + 2 * depth, np.int64)
     while True:
-        value = first[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]]))
-        if held >= depth or rank[order[-1]] == n - 1:
+        first = np.ones(len(slots), bool)
+        first[1:] = key[1:] != key[:-1]
+        # a place's rank is the slot of the first that agrees with it, from 1
+        rank[order[slots]] = np.maximum.accumulate(np.where(first, slots, 0)) + 1
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        slots = slots[~alone]
+        if held >= depth or not len(slots):
             return order
-        step = min(held, depth - held)
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        first = rank * (n + 1) + second
-        order, held = np.argsort(first, kind="stable"), held + step
+        at, near, bits = order[slots], min(held, depth - held), n.bit_length()
+        key, far = (rank[at] << bits) | rank[at + near], near
+        if 3 * bits < 64 and near == held:
+            far = min(2 * held, depth - held)
+            key = (key << bits) | rank[at + far]
+        by = np.argsort(key)
+        order[slots], key, held = at[by], key[by], held + far
 
 
 def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
     """Whether the `least` numbers from each place on also start elsewhere. 0 separates texts: strings with it don't count, the caller leaves them out."""
     n = len(text)
     order = suffix_array(text, least)
-    before = text[order - 1]  # the transform; the first place is preceded by the last, a separator
-    lf = np.empty(n, np.int64)
-    by_symbol = np.argsort(before, kind="stable")
-    lf[by_symbol] = np.arange(n)
+    before = text[order - 1].astype(np.uint16)  # the transform; the first place is preceded by the last, a separator
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[by_symbol] = np.arange(n, dtype=np.int32)
     # the next and the previous row with the same symbol
     same = before[by_symbol][1:] == before[by_symbol][:-1]
-    after, prior = np.full(n, n), np.full(n, -1)
+    after, prior = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     after[by_symbol[:-1][same]], prior[by_symbol[1:][same]] = by_symbol[1:][same], by_symbol[:-1][same]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for turn in range(least):
         if not len(lo):
             break
         size = hi - lo
-        begin = np.repeat(lo, size)
-        rows = begin + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        end = np.repeat(hi, size)
+        begin, end = np.repeat(lo, size), np.repeat(hi, size)
+        rows = np.arange(len(begin), dtype=np.int32) + np.repeat(lo - (np.cumsum(size) - size).astype(np.int32), size)
         if turn:  # a separator only ends a string
             keep = before[rows] != 0
             rows, begin, end = rows[keep], begin[keep], end[keep]
@@ -228,19 +253,19 @@ def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
 
 def _marked(rows: list[dict], least: int) -> pa.RecordBatch:
     """(key, h, n, runs) of pieces of whole buckets: runs of windows that are repeated."""
-    held = [r for r in rows for _ in range(1 + r["many"])]
-    sizes = np.array([len(r["content"]) for r in held])
+    sizes, windows = np.array([len(r["content"]) for r in rows]), np.array([r["n"] for r in rows])
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int(sizes.sum()) + len(held), np.int64)
-    text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(held)), sizes)] = np.frombuffer(b"".join(r["content"] for r in held), np.uint8).astype(np.int64) + 1
+    text = np.zeros(int(sizes.sum()) + len(rows), np.int64)
+    text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(rows)), sizes)] = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8).astype(np.int64) + 1
     found = repeated_starts(text, least)
-    out = []
-    for r, a in zip(held, starts, strict=True):
-        hit = np.concatenate([[False], found[a : a + r["n"]], [False]]).astype(np.int8)
-        edges = np.flatnonzero(np.diff(hit))
-        if len(edges):
-            out.append((r["key"], r["h"], r["n"], [{"lo": int(x), "hi": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]))
-    out = list({x[:3]: x for x in out}.values())
+    # of a content with copies every window is; what follows a piece's windows is no window
+    piece, place = np.repeat(np.arange(len(rows)), sizes + 1), np.arange(len(text)) - np.repeat(starts, sizes + 1)
+    found = (found | np.array([r["many"] for r in rows])[piece]) & (place < windows[piece])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
+    out: dict[int, list[dict]] = {}
+    for p, x, y in zip(piece[edges[::2]].tolist(), place[edges[::2]].tolist(), (edges[1::2] - starts[piece[edges[::2]]]).tolist(), strict=True):
+        out.setdefault(p, []).append({"lo": x, "hi": y})
+    out = [(rows[p]["key"], rows[p]["h"], rows[p]["n"], runs) for p, runs in out.items()]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["key", "h", "n", "runs"])
 
@@ -257,7 +282,7 @@ def _expanded(least: int) -> Callable:
                     yield _marked(held, least)
                     held, size = [], 0
                 held.append(row)
-                size += len(row["content"]) * (1 + row["many"])
+                size += len(row["content"])
         if held:
             yield _marked(held, least)
 
@@ -268,18 +293,24 @@ _ID = ["key", "h", "n"]
 _RUNS = f"{_PIECE}, runs array<struct<lo:int,hi:int>>"
 
 
-def _contents(docs: DataFrame, scanned: DataFrame, least: int) -> DataFrame:
-    """(key, h, n, many, content) of the different contents among the pieces: the text of one place of each is fetched."""
-    first = F.struct("doc", "t", "start")
-    one = scanned.groupBy(*_ID).agg(F.count("*").alias("c"), F.min(first).alias("at")).select(*_ID, (F.col("c") > 1).alias("many"), "at.*")
-    asked = one.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "key", "h", "n", "many")).alias("asked"))
+def _fetch(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(key, h, n, many, content): the content of wanted pieces, each from one of its places."""
+    asked = wanted.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "key", "h", "n", "many")).alias("asked"))
     both = docs.join(asked.hint("merge"), ["doc", "t"]).select("doc", "t", "text", "asked")
     return both.mapInArrow(_fetched(least), f"{_PIECE}, many boolean, content binary")
 
 
 def repeated_pieces(docs: DataFrame, scanned: DataFrame, least: int, anchor: int, large: int) -> DataFrame:
-    """(key, h, n, runs) of the pieces that hold repeated windows, over docs(doc, t, text) and their pieces that may repeat."""
-    left = materialize(_contents(docs, scanned, least), "contents")
+    """(key, h, n, runs) of the pieces that hold repeated windows, over docs(doc, t, text) and their pieces that may repeat.
+
+    A content at several places is one text with that many copies, so that each of its intervals is at least as wide. A bucket of one
+    content that can't repeat itself has no other intervals: there is nothing to sort.
+    """
+    one = scanned.groupBy(*_ID).agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.min(F.struct("doc", "t", "start")).alias("at"))
+    one = materialize(one.select(*_ID, (F.col("c") > 1).alias("many"), "twice", "at.*"), "piece-contents")
+    lone = one.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), F.min("h").alias("h"), F.min("n").alias("n")).where("c = 1 AND NOT twice")
+    lone = materialize(lone.select(*_ID), "lone-pieces")
+    left = materialize(_fetch(docs, one.join(lone.select("key").hint("merge"), "key", "left_anti"), least), "contents")
     links, small, turn, missing = [], [], 0, least - anchor
     while True:
         sizes = left.groupBy("key").agg(F.sum(F.octet_length("content")).alias("bytes"), F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("c"), F.max("n").alias("d"))
@@ -302,7 +333,8 @@ def repeated_pieces(docs: DataFrame, scanned: DataFrame, least: int, anchor: int
         back = out.join(links.pop().hint("merge"), _ID)
         back = back.select(F.col("of_key").alias("key"), F.col("of_h").alias("h"), F.col("of_n").alias("n"), F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"), (r["hi"] + F.col("at")).alias("hi"))).alias("runs"))
         out = found.pop().unionByName(back.groupBy(*_ID).agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    return out
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    return out.unionByName(lone.select(*_ID, whole.alias("runs")))
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +366,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, l
     texts = keyed.select("doc", "t", "row.text").where(F.octet_length("text") >= least)
     scanned = materialize(texts.mapInArrow(_scanned(least, anchor), f"{_PIECE}, doc long, t long, start long, twice boolean"), "pieces")
     buckets = scanned.groupBy("key").agg(F.sum(F.col("twice").cast("long") + 1).alias("c")).where("c > 1").select("key")
-    shared = materialize(scanned.join(buckets.hint("merge"), "key", "left_semi").drop("twice"), "shared-pieces")
+    shared = materialize(scanned.join(buckets.hint("merge"), "key", "left_semi"), "shared-pieces")
     runs = repeated_pieces(texts, shared, least, anchor, large)
     spans = shared.join(runs.hint("merge"), _ID).select("doc", "t", "start", F.explode("runs").alias("r"))
     span = F.struct((F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (least - 1)).alias("hi"))
