@@ -1,103 +1,321 @@
-"""All-pairs vector products in blocks: packed matrices meet by an equi-join on the pair of their numbers, and NumPy multiplies them.
+"""All-pairs vector products in a grid of tiles: packed matrices meet strip by strip, and NumPy multiplies them.
 
-A task holds two blocks at a time; a block's matrix is copied once for each block that it meets.
+Rows are dealt to strips in the order of a coarse direction, and a strip is packed into blocks. A task holds two strips and multiplies their
+blocks pair by pair, so a block is copied once for each strip of the other side, not for each block. Blocks know their angles to a few
+pivots: where only products of at least a threshold count, tiles and pairs of blocks are left out whose angles to some pivot
+are too far apart, which by the triangle inequality no such product can come from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.sources.tables import materialize
 
 BLOCK_ROWS = 2048
+#: A strip's vectors in bytes, about, and strips at least where there are blocks enough: their pairs are the tasks.
+STRIP_BYTES, STRIPS = 32 << 20, 8
+#: Pivots, chosen among a sample of rows, the only ones that come to the driver.
+PIVOTS, SAMPLE = 12, 256
+#: For the rounding of angles and products.
+SLACK = 1e-6
 #: Queries that one task may hold whole: rows, and bytes of their vectors.
 FEW, FEW_BYTES = 4096, 32 << 20
-_PACKED = "block long, ids binary, vectors binary"
+_PACKED = "strip int, block int, ids binary, vectors binary, scores binary, lo array<double>, hi array<double>, norm double"
 
 
-def _packer(rows: int) -> Callable:
+class Blocks(NamedTuple):
+    """Packed blocks, the number of their strips, and the pivots of their angles."""
+
+    frame: DataFrame
+    strips: int
+    pivots: np.ndarray
+
+
+class Block:
+    """Rows of a block: ids, vectors, and scores by which they are ordered; angles to the pivots and the longest vector."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.scores = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["scores"], np.float64)
+        self.m = np.frombuffer(row["vectors"], np.float64).reshape(len(self.ids), -1)
+        self.lo, self.hi, self.norm, self.place = np.array(row["lo"]), np.array(row["hi"]), row["norm"], (row["strip"], row["block"])
+
+    def may_reach(self, other: Block, threshold: float) -> bool:
+        gap = np.maximum(self.lo - other.hi, other.lo - self.hi).max(initial=0) - SLACK
+        return threshold <= 0 or gap < np.pi / 2 and self.norm * other.norm * np.cos(max(0, gap)) + SLACK >= threshold
+
+    def in_order(self) -> Block:
+        """The same rows, the highest score first, of equals the smallest id."""
+        by = np.lexsort((self.ids, -self.scores))
+        self.ids, self.scores, self.m = self.ids[by], self.scores[by], self.m[by]
+        return self
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.arccos(np.clip(m @ pivots.T / np.where(size > 0, size, 1), -1, 1))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _pivots(rows: DataFrame) -> np.ndarray:
+    """Unit vectors far from each other, of a bounded sample of rows."""
+    held = [r.vector for r in rows.select("vector", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()]
+    x = np.array(held, float).reshape(len(held), -1 if held else 0)
+    size = np.linalg.norm(x, axis=1)
+    x = x[size > 0] / size[size > 0, None]
+    chosen = x[:1]
+    while 0 < len(chosen) < min(PIVOTS, len(x)):
+        chosen = np.vstack([chosen, x[(x @ chosen.T).max(axis=1).argmin()]])
+    return chosen
+
+
+def packed(df: DataFrame, id: str, vector: str, rows: int = BLOCK_ROWS, score: str | None = None, pivots: np.ndarray | None = None) -> Blocks:
+    """df's rows in blocks of at most `rows`, in strips of about STRIP_BYTES. Vectors must be of one width. score: a column by which rows are ordered. pivots: those of the blocks that these will meet under a threshold."""
+    order = F.col(score).cast("double") if score else F.lit(0.0)
+    typed = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), order.alias("score"))
+    typed = materialize(typed, "vectors")
+    n, width = typed.agg(F.count("*"), F.max(F.size("vector"))).first()
+    pivots = _pivots(typed) if pivots is None else pivots
+    strips = max(1, ceil(n * (width or 0) * 8 / STRIP_BYTES), min(STRIPS, ceil(n / rows)))
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = _angles(_matrix(batch.column("vector")), pivots) if len(pivots) else np.zeros((batch.num_rows, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles.argmin(axis=1).astype(np.int32)), pa.array(angles.min(axis=1))], [*batch.schema.names, "pivot", "angle"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
+        strip, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                ids, vectors = np.array(part.column("id"), np.int64), np.array(part.column("vector").flatten(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["block", "ids", "vectors"])
+                m = _matrix(part.column("vector"))
+                angles = _angles(m, pivots) if len(pivots) else np.zeros((len(m), 0))
+                held = (np.asarray(part.column("id"), np.int64), m, np.asarray(part.column("score"), np.float64))
+                span = ([f(angles, axis=0).tolist()] for f in (np.min, np.max))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([strip], pa.int32()), pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in held), *(pa.array(x, pa.list_(pa.float64())) for x in span), pa.array([float(np.linalg.norm(m, axis=1).max())])],
+                    ["strip", "block", "ids", "vectors", "scores", "lo", "hi", "norm"],
+                )
                 n += 1
 
-    return run
+    by = ("pivot", "angle", "id")
+    dealt = typed.mapInArrow(directed, "id long, vector array<double>, score double, pivot int, angle double").repartitionByRange(strips, *by).sortWithinPartitions(*by)
+    frame = materialize(dealt.mapInArrow(run, _PACKED), "blocks")
+    last = frame.agg(F.max("strip")).first()[0]
+    return Blocks(frame, 0 if last is None else last + 1, pivots)
+
+
+def _spans(blocks: Blocks) -> DataFrame:
+    """(strip, lo, hi, norm) of each strip."""
+    ends = (F.array(*(f(F.get(name, F.lit(i))) for i in range(PIVOTS))).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi")))
+    return blocks.frame.groupBy("strip").agg(*ends, F.max("norm").alias("norm"))
+
+
+def _reach(a: str, b: str, threshold: float) -> Column:
+    """Whether two strips may hold vectors whose product is at least threshold."""
+    if threshold <= 0:
+        return F.lit(True)
+    apart = F.zip_with(F.zip_with(f"{a}.lo", f"{b}.hi", lambda x, y: x - y), F.zip_with(f"{b}.lo", f"{a}.hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    gap = F.greatest(F.lit(0.0), F.coalesce(F.array_max(apart), F.lit(0.0)) - SLACK)
+    return (gap < np.pi / 2) & (F.col(f"{a}.norm") * F.col(f"{b}.norm") * F.cos(gap) + SLACK >= threshold)
+
+
+def tile_pairs(left: Blocks, right: Blocks | None, threshold: float | None = None) -> DataFrame:
+    """(i, j) strips that meet: all of left with all of right, or, without right, each unordered pair of left's; with a threshold those that may reach it. Only strips' angles are paired here, by an equi-join on their numbers."""
+    a, b = _spans(left), _spans(right or left)
+    first = F.col("strip") if right is None else F.lit(0)
+    made = a.select(F.struct("strip", "lo", "hi", "norm").alias("x"), F.explode(F.sequence(first, F.lit(max((right or left).strips - 1, 0)))).alias("strip"))
+    both = made.join(b.select("strip", F.struct("lo", "hi", "norm").alias("y")), "strip")
+    return (both if threshold is None else both.where(_reach("x", "y", threshold))).select(F.col("x.strip").alias("i"), F.col("strip").alias("j"))
+
+
+def tiles(left: Blocks, right: Blocks | None, kernel: Callable, schema: str, threshold: float | None = None) -> DataFrame:
+    """kernel(a's blocks, b's blocks, own) over the tiles of tile_pairs; own: both are the same strip."""
+    pairs = tile_pairs(left, right, threshold)
+    if threshold is not None:
+        if right is not None and not np.array_equal(left.pivots, right.pivots):
+            raise ValueError("blocks that meet under a threshold need the same pivots")
+        pairs = materialize(pairs, "tiles")
+    side = lambda blocks, at, n, only: blocks.frame.join(pairs.where(only).withColumnRenamed(at, "strip").hint("merge"), "strip").withColumn("side", F.lit(n)).withColumn(at, F.col("strip"))
+    both = side(left, "i", 0, "true").unionByName(side(right or left, "j", 1, "true" if right else "i <> j"))
+    own = right is None
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        sides = [[Block(r) for r in sorted((r for r in rows if r["side"] == n), key=lambda r: r["block"])] for n in (0, 1)]
+        same = own and not sides[1]
+        return kernel(sides[0], sides[0] if same else sides[1], same)
 
-def packed(df: DataFrame, id: str, vector: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """(number, ids, vectors) blocks of df's rows and how many there are. Vectors must be of one width."""
-    typed = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    blocks = materialize(typed.repartition(F.pmod(F.xxhash64("id"), F.lit(1 << 16))).mapInArrow(_packer(rows), _PACKED), "blocks")
-    names = sorted(r.block for r in blocks.select("block").collect())
-    numbers = df.sparkSession.createDataFrame([(b, i) for i, b in enumerate(names)], "block long, number int")
-    return blocks.join(F.broadcast(numbers), "block").select("number", "ids", "vectors"), len(names)
+    return both.groupBy("i", "j").applyInArrow(run, schema)
 
 
-def _matrix(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(table.column("ids")[i].as_buffer(), np.int64)
-    return ids, np.frombuffer(table.column("vectors")[i].as_buffer(), np.float64).reshape(len(ids), -1)
+def met(a: list[Block], b: list[Block], own: bool, threshold: float | None = None) -> Iterator[tuple[Block, Block]]:
+    """The pairs of blocks of a tile; of one strip with itself each unordered pair, a block with itself among them."""
+    for n, x in enumerate(a):
+        for y in b[n:] if own else b:
+            if threshold is None or x.may_reach(y, threshold):
+                yield x, y
 
 
-def block_pairs(left: tuple[DataFrame, int], right: tuple[DataFrame, int] | None, kernel: Callable, schema: str) -> DataFrame:
-    """kernel(ids, matrix, ids, matrix, same) over every block of left with every one of right, or, without right, over each unordered pair of left's blocks; rows by schema."""
-    (a, n), (b, m) = left, right or left
-    own = right is None
-    if right is None:
-        both = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("other"))
-        both = both.select(F.least("number", "other").alias("i"), F.greatest("number", "other").alias("j"), (F.col("number") > F.col("other")).cast("int").alias("side"), "ids", "vectors")
-    else:
-        both = a.select(F.col("number").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)))).alias("j"), F.lit(0).alias("side"), "ids", "vectors")
-        both = both.unionByName(b.select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"), F.col("number").alias("j"), F.lit(1).alias("side"), "ids", "vectors"))
+def block_pairs(left: Blocks, right: Blocks, kernel: Callable, schema: str) -> DataFrame:
+    """kernel(ids, matrix, ids, matrix) over every block of left with every one of right; rows by schema."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    kinds = pa.schema([(name, pa.float64() if "double" in part else pa.int64()) for name, part in zip(names, schema.split(","), strict=True)])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("side")
-        first, last = _matrix(table, 0), _matrix(table, table.num_rows - 1)
-        found = kernel(*first, *last, table.num_rows == 1)
-        # a block that is alone between two tables meets an empty one
-        return found if own or table.num_rows > 1 else found.slice(0, 0)
+    def run(a: list[Block], b: list[Block], own: bool) -> pa.Table:
+        return pa.concat_tables([kinds.empty_table(), *(kernel(x.ids, x.m, y.ids, y.m).cast(kinds) for x, y in met(a, b, own))])
 
-    return both.groupBy("i", "j").applyInArrow(run, schema)
+    return tiles(left, right, run, schema)
 
 
-def similarity_edges(blocks: tuple[DataFrame, int], threshold: float) -> DataFrame:
+def similarity_edges(blocks: Blocks, threshold: float) -> DataFrame:
     """(a, b, sim) of the unordered pairs of rows whose dot product is at least threshold."""
 
-    def kernel(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same: bool) -> pa.Table:
-        sims = a @ b.T
-        if same:
-            sims[np.tril_indices(len(ia))] = -np.inf
-        x, y = np.nonzero(sims >= threshold)
-        return pa.table({"a": ia[x], "b": ib[y], "sim": sims[x, y]})
+    def run(left: list[Block], right: list[Block], own: bool) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for x, y in met(left, right, own, threshold):
+            sims = x.m @ y.m.T
+            if x is y:
+                sims[np.tril_indices(len(sims))] = -np.inf
+            i, j = np.nonzero(sims >= threshold)
+            out.append((x.ids[i], y.ids[j], sims[i, j]))
+        return pa.table({name: np.concatenate([o[n] for o in out]) for n, name in enumerate(("a", "b", "sim"))})
 
-    return block_pairs(blocks, None, kernel, "a long, b long, sim double")
+    return tiles(blocks, None, run, "a long, b long, sim double", threshold)
 
 
-def nearest(blocks: tuple[DataFrame, int]) -> DataFrame:
-    """(id, sim, other): each row's largest dot product with another row, and which; of equals the smallest id. A single row has none."""
+class _Best:
+    """The largest product of each row so far, and with which id; of equals the smallest."""
+
+    def __init__(self, block: Block) -> None:
+        self.ids, self.sim, self.other = block.ids, np.full(len(block.ids), -np.inf), np.zeros(len(block.ids), np.int64)
+
+    def add(self, others: np.ndarray, sims: np.ndarray) -> None:
+        by = np.argsort(others, kind="stable")
+        sims = sims[:, by]
+        at = sims.argmax(axis=1)
+        sim, other = sims[np.arange(len(at)), at], others[by[at]]
+        new = (sim > self.sim) | (sim == self.sim) & (other < self.other)
+        self.sim, self.other = np.where(new, sim, self.sim), np.where(new, other, self.other)
 
-    def kernel(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same: bool) -> pa.Table:
-        sims = a @ b.T
-        if same:
-            np.fill_diagonal(sims, -np.inf)
-        out = []
-        for rows, others, s in ((ia, ib, sims),) if same else ((ia, ib, sims), (ib, ia, sims.T)):
-            order = np.argsort(others, kind="stable")
-            at = s[:, order].argmax(axis=1)
-            out.append(pa.table({"id": rows, "sim": s[np.arange(len(rows)), order[at]], "other": others[order[at]]}))
-        found = pa.concat_tables(out)
-        return found.filter(pa.array(np.isfinite(np.array(found["sim"]))))
 
-    best = block_pairs(blocks, None, kernel, "id long, sim double, other long")
-    return best.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("m"))).alias("b")).select("id", "b.sim", (-F.col("b.m")).alias("other"))
+_NEAR = "array<struct<minus_score:double,other:bigint,sim:double>>"
+
+
+class _Listed:
+    """The rows near to those of a block: how many, and the first `most` of them by score and id."""
+
+    def __init__(self, block: Block, most: int) -> None:
+        self.ids, self.most, self.count, self.found = block.ids, most, np.zeros(len(block.ids), np.int64), []
+
+    def add(self, others: Block, hit: np.ndarray, sims: np.ndarray) -> None:
+        """others are in order."""
+        self.count += hit.sum(axis=1)
+        rows = np.flatnonzero(hit.any(axis=1))
+        if len(rows):
+            hit = hit[rows]
+            x, y = np.nonzero(hit & (np.cumsum(hit, axis=1, dtype=np.int32) <= self.most))
+            self.found.append((rows[x], -others.scores[y], others.ids[y], sims[rows[x], y]))
+
+    def lists(self) -> tuple[np.ndarray, pa.Array]:
+        """The rows with any, and their lists."""
+        row, minus, other, sim = (np.concatenate(c) for c in zip(*self.found, strict=True)) if self.found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+        by = np.lexsort((other, minus, row))
+        row, minus, other, sim = row[by], minus[by], other[by], sim[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.most
+        row, minus, other, sim = row[keep], minus[keep], other[keep], sim[keep]
+        some = np.unique(row)
+        offsets = np.append(np.searchsorted(row, some), len(row)).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(minus), pa.array(other), pa.array(sim)], ["minus_score", "other", "sim"])
+        return some, pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def nearest(blocks: Blocks) -> DataFrame:
+    """(id, sim, other): each row's largest dot product with another row, and which; of equals the smallest id. A single row has none."""
+    return neighbors(blocks, None, 0).select("id", "sim", "other")
+
+
+def neighbors(blocks: Blocks, threshold: float | None, most: int) -> DataFrame:
+    """nearest(), and of the rows whose product with a row is at least threshold n_near, their number, and near, the first `most` of them by score and id. One product gives both; a tile passes on a row for each of its rows."""
+
+    def run(left: list[Block], right: list[Block], own: bool) -> pa.Table:
+        blocks = [b.in_order() for b in left] + ([] if own else [b.in_order() for b in right])
+        best, listed = {b.place: _Best(b) for b in blocks}, {b.place: _Listed(b, most) for b in blocks}
+        for x, y in met(left, right, own):
+            sims = x.m @ y.m.T
+            if x is y:
+                np.fill_diagonal(sims, -np.inf)
+            for a, b, s in ((x, y, sims),) if x is y else ((x, y, sims), (y, x, sims.T)):
+                best[a.place].add(b.ids, s)
+                if most:
+                    listed[a.place].add(b, s >= threshold, s)
+        out = []
+        for b in blocks:
+            found, (some, lists) = best[b.place], listed[b.place].lists()
+            at = np.full(len(b.ids), -1)
+            at[some] = np.arange(len(some))
+            table = pa.table({"id": b.ids, "sim": found.sim, "other": found.other, "n_near": listed[b.place].count, "near": lists.take(pa.array(at, mask=at < 0))})
+            out.append(table.filter(pa.array(np.isfinite(found.sim))))
+        return pa.concat_tables(out)
+
+    found = tiles(blocks, None, run, f"id long, sim double, other long, n_near long, near {_NEAR}")
+    best = F.max(F.struct("sim", (-F.col("other")).alias("m"))).alias("b")
+    whole = found.groupBy("id").agg(best, *_merged(most))
+    return whole.select("id", "b.sim", (-F.col("b.m")).alias("other"), "n_near", "near")
+
+
+def _merged(most: int) -> tuple[Column, Column]:
+    return F.sum("n_near").alias("n_near"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, max(most, 1)).alias("near")
+
+
+def earlier_neighbors(rows: Blocks, others: Blocks, threshold: float, most: int) -> DataFrame:
+    """(id, n_near, near) of the rows that have any of the others near and before them in the order of score and id: how many, and the first `most` of them."""
+
+    def run(left: list[Block], right: list[Block], own: bool) -> pa.Table:
+        right, out = [b.in_order() for b in right], []
+        for x in left:
+            listed = _Listed(x, most)
+            for y in right:
+                if x.may_reach(y, threshold):
+                    sims = x.m @ y.m.T
+                    hit = sims >= threshold
+                    if hit.any():
+                        before = (y.scores[None, :] > x.scores[:, None]) | (y.scores[None, :] == x.scores[:, None]) & (y.ids[None, :] < x.ids[:, None])
+                        listed.add(y, hit & before, sims)
+            some, lists = listed.lists()
+            out.append(pa.table({"id": x.ids[some], "n_near": listed.count[some], "near": lists}))
+        return pa.concat_tables(out)
+
+    found = tiles(rows, others, run, f"id long, n_near long, near {_NEAR}", threshold)
+    return found.groupBy("id").agg(*_merged(most))
+
+
+def rising_neighbors(rows: Blocks, others: Blocks, threshold: float) -> DataFrame:
+    """(id, other, score, sim) of the others near to a row, in the order of score and id, that are nearer than all before them in their strip: the nearest among the first so and so many is one of these."""
+
+    def run(left: list[Block], right: list[Block], own: bool) -> pa.Table:
+        right, out = [b.in_order() for b in right], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for x, y in ((x, y) for x in left for y in right if x.may_reach(y, threshold)):
+            sims = x.m @ y.m.T
+            sims[sims < threshold] = -np.inf
+            before = np.full(sims.shape, -np.inf)
+            before[:, 1:] = np.maximum.accumulate(sims, axis=1)[:, :-1]
+            i, j = np.nonzero(sims > before)
+            out.append((x.ids[i], y.ids[j], y.scores[j], sims[i, j]))
+        return pa.table({name: np.concatenate([o[n] for o in out]) for n, name in enumerate(("id", "other", "score", "sim"))})
+
+    return tiles(rows, others, run, "id long, other long, score double, sim double", threshold)
 
 
 def top_k_near(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -129,9 +347,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k(queries: tuple[DataFrame, int], index: tuple[DataFrame, int], k: int) -> DataFrame:
+def top_k(queries: Blocks, index: Blocks, k: int) -> DataFrame:
     """(query, id, sim, rank) of each query's k rows of the largest dot product; of equals the smaller id comes first. Each pair of blocks passes on k rows a query at most."""
-    def kernel(iq: np.ndarray, q: np.ndarray, ix: np.ndarray, x: np.ndarray, same: bool) -> pa.Table:
+    def kernel(iq: np.ndarray, q: np.ndarray, ix: np.ndarray, x: np.ndarray) -> pa.Table:
         order = np.argsort(ix, kind="stable")
         sims = (q @ x.T)[:, order]
         best = np.argsort(-sims, axis=1, kind="stable")[:, :k]

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import snippet
-from quern.operators.blocks import packed, similarity_edges
+from quern.operators.blocks import earlier_neighbors, packed, rising_neighbors
 from quern.sources.tables import materialize
 
 THRESHOLD = 0.93
+#: Near rows that are listed for a row at once; and edges of lists that one task may settle.
+LISTED, FEW_EDGES = 16, 100_000
 #: Policies whose rows are compared by key only.
 EXACT_POLICIES = ("exact_only", "exact_key", "group_only")
 EVENT = (
@@ -40,44 +44,110 @@ class Greedy:
     dropped: DataFrame
 
 
-def greedy_semantic_dedup(df: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", score: str = "semantic_score") -> Greedy:
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes in their order, each with the earlier ones in its list: lost if one of these is kept; else to wait, if one of them must be asked about or waits; else to be asked about, if the list was cut."""
+    state: dict[int, str] = {}
+    for frame in frames:
+        for node, firsts, cut in zip(frame["last"], frame["firsts"], frame["cut"], strict=True):
+            of = {state.get(f, "kept") for f in firsts}
+            state[node] = "lost" if "kept" in of else "wait" if of & {"ask", "wait"} else "ask" if cut else "kept"
+    yield pd.DataFrame({"node": pd.Series(list(state), dtype="int64"), "state": pd.Series(list(state.values()), dtype="str")})
+
+
+def _settled(edges: DataFrame, cut: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What edges(last, first) tell: the nodes lost, those to ask about since all in their lists are lost and these were cut, and the edges of nodes that wait for these.
+
+    In a round the nodes that no edge ends in are kept, unless they are to be asked about, and what is near them is lost. So few edges as one task may hold are settled there in order.
+    """
+    none = edges.select(F.col("last").alias("node")).limit(0)
+    lost = ask = none
+    while not edges.isEmpty():
+        lasts, firsts = edges.select(F.col("last").alias("node")).distinct(), edges.select(F.col("first").alias("node")).distinct()
+        if edges.count() <= FEW_EDGES:
+            listed = edges.groupBy(F.col("last").alias("node")).agg(F.collect_set("first").alias("firsts")).unionByName(ask.withColumn("firsts", F.array().cast("array<long>")))
+            marked = listed.join(cut.withColumn("cut", F.lit(True)), "node", "left").join(scores, "node")
+            marked = marked.select(F.col("node").alias("last"), "firsts", F.coalesce("cut", F.lit(False)).alias("cut"), "score").repartition(1).sortWithinPartitions(F.col("score").desc(), "last")
+            state = materialize(marked.drop("score").mapInPandas(_in_order, "node long, state string"), "states")
+            gone, ask, waiting = (state.where(F.col("state") == name).select("node") for name in ("lost", "ask", "wait"))
+            rest = edges.join(waiting.toDF("last"), "last", "left_semi").join(gone.toDF("first"), "first", "left_anti")
+            return materialize(lost.unionByName(gone), "lost"), ask, materialize(rest.select("last", "first"), "near-pairs")
+        heads = firsts.join(lasts, "node", "left_anti").join(ask, "node", "left_anti")
+        gone = materialize(edges.join(heads.toDF("first"), "first", "left_semi").select(F.col("last").alias("node")).distinct(), "lost")
+        rest = edges.join(gone.toDF("last"), "last", "left_anti").join(gone.toDF("first"), "first", "left_anti")
+        rest = materialize(rest.select("last", "first"), "near-pairs")
+        freed = lasts.join(gone, "node", "left_anti").join(rest.select(F.col("last").alias("node")), "node", "left_anti")
+        again = materialize(freed.join(cut, "node", "left_semi"), "ask")
+        lost, ask, moved = lost.unionByName(gone), ask.unionByName(again), edges.count() > rest.count()
+        edges = rest
+        if not moved:
+            break
+    return materialize(lost, "lost"), materialize(ask, "ask"), edges
+
+
+def _lost(nodes: DataFrame, threshold: float, known: DataFrame | None) -> DataFrame:
+    """(node) of the nodes(node, score, v) that are dropped.
+
+    Each node lists the first LISTED of the earlier ones near to it. A node is lost if one in its list is kept, and kept if all are lost and the list was whole; if
+    it was cut, the node is asked about again, among the nodes that are not lost. So LISTED pairs of a node are written at most, however many are near to each
+    other, and what is lost meets nothing again. known(node, first): whole lists that are there already, with null for an empty one.
+    """
+    whole = packed(nodes, "node", "v", score="score")
+    some = lambda of: packed(of, "node", "v", score="score", pivots=whole.pivots)
+    lost = cut = nodes.select("node").limit(0)
+    if known is None:
+        ask, edges = nodes.select("node"), None
+    else:
+        ask = materialize(nodes.select("node").join(known.select("node"), "node", "left_anti"), "ask")
+        edges = materialize(known.where("first IS NOT NULL").select(F.col("node").alias("last"), "first").distinct(), "near-pairs")
+    while True:
+        if edges is None or not ask.isEmpty():
+            rows = whole if edges is None else some(nodes.join(ask, "node", "left_semi"))
+            others = whole if edges is None else some(nodes.join(lost, "node", "left_anti"))
+            found = materialize(earlier_neighbors(rows, others, threshold, LISTED), "near-lists")
+            new = found.select(F.col("id").alias("last"), F.explode("near.other").alias("first"))
+            edges = new if edges is None else materialize(edges.unionByName(new), "near-pairs")
+            longer = found.where(F.col("n_near") > F.size("near")).select(F.col("id").alias("node"))
+            cut = materialize(cut.join(ask, "node", "left_anti").unionByName(longer), "cut-lists")
+        gone, ask, edges = _settled(edges, cut, nodes.select("node", "score"))
+        lost = materialize(lost.unionByName(gone), "lost")
+        if ask.isEmpty():
+            return lost
+
+
+def _whole_lists(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """known of _lost() from near(pos, n_near, near) of neighbors(): for each node whose list is whole its earlier near nodes."""
+    listed = nodes.select("node", "rank").join(near.select(F.col("pos").alias("node"), "n_near", "near"), "node").where(F.coalesce("n_near", F.lit(0)) <= F.coalesce(F.size("near"), F.lit(0)))
+    listed = listed.select("node", "rank", F.explode_outer("near.other").alias("pos"))
+    of = rows.select("pos", "node_key").join(nodes.select("node_key", F.col("node").alias("first"), F.col("rank").alias("first_rank")), "node_key").drop("node_key")
+    both = listed.join(of, "pos", "left")
+    return both.select("node", F.when(F.col("first_rank") < F.col("rank"), F.col("first")).alias("first"))
+
+
+def greedy_semantic_dedup(df: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", score: str = "semantic_score", near: DataFrame | None = None) -> Greedy:
     """Visit rows by score, highest first, equals by pos; drop a row if a kept one is at least threshold near.
 
-    The kept rows are the lexicographically first independent set of the graph of near pairs in that order. In each round the rows with no undecided row before
-    them are kept and their neighbours dropped, until no edge is left. Equal vectors are one node, so copies make no clique of edges.
+    The kept rows are the lexicographically first independent set of the graph of near pairs in that order. Equal vectors are one node. No table of
+    near pairs is made: see _lost(). near(pos, n_near, near): what neighbors() has found with this threshold among these rows and others.
     """
     rows = df.select("pos", F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"), F.col(vector).cast("array<double>").alias("v"))
     own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     rows = rows.withColumn("node_key", F.when(own >= threshold, F.md5(F.to_json("v"))).otherwise(F.concat(F.lit("row"), F.col("pos").cast("string")))).withColumn("own", own)
     rows = materialize(rows.withColumn("rank", F.struct((-F.col("score")).alias("s"), F.col("pos").alias("p"))), "dedup-rows")
-    nodes = rows.groupBy("node_key").agg(F.min(F.struct("rank", "v")).alias("m")).select("node_key", "m.rank", F.col("m.rank.p").alias("node"), "m.v")
+    nodes = rows.groupBy("node_key").agg(F.min(F.struct("rank", "v")).alias("m")).select("node_key", "m.rank", F.col("m.rank.p").alias("node"), (-F.col("m.rank.s")).alias("score"), "m.v")
     nodes = materialize(nodes, "dedup-nodes")
-    near = similarity_edges(packed(nodes, "node", "v"), threshold)
-    ranks = nodes.select("node", "rank")
-    near = near.join(ranks.toDF("a", "rank_a"), "a").join(ranks.toDF("b", "rank_b"), "b")
-    swap = F.col("rank_a") > F.col("rank_b")
-    pair = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    edges = materialize(near.select(pair("a", "b").alias("first"), pair("b", "a").alias("last"), "sim"), "near-pairs")
-
-    left, out = edges.select("first", "last"), None
-    while not left.isEmpty():
-        heads = left.select("first").distinct().join(left.select(F.col("last").alias("first")), "first", "left_anti")
-        heads = materialize(heads, "heads")
-        lost = materialize(left.join(heads, "first", "left_semi").select("last").distinct(), "lost")
-        out = lost if out is None else out.unionByName(lost)
-        rest = left.join(heads, "first", "left_anti").join(lost, "last", "left_anti")
-        left = materialize(rest.join(lost.select(F.col("last").alias("first")), "first", "left_anti"), "near-pairs")
-
-    lost = (out if out is not None else edges.select("last").limit(0)).withColumn("lost", F.lit(True))
-    state = nodes.join(lost, F.col("node") == F.col("last"), "left").select("node_key", "node", F.coalesce("lost", F.lit(False)).alias("lost"))
-    rows = rows.join(state, "node_key")
-    kept = rows.where(~F.col("lost") & (F.col("pos") == F.col("node"))).select("pos", "rank")
-    dropped = rows.join(kept.select("pos"), "pos", "left_anti").select("pos", "node", "rank", "own", "lost")
-    both = edges.select(F.col("first").alias("winner"), F.col("last").alias("node"), "sim").unionByName(edges.select(F.col("last").alias("winner"), F.col("first").alias("node"), "sim"))
-    rivals = dropped.join(both, "node").unionByName(dropped.where(~F.col("lost")).withColumns({"winner": F.col("node"), "sim": F.col("own")}))
-    rivals = rivals.join(kept.select(F.col("pos").alias("winner"), F.col("rank").alias("winner_rank")), "winner").where("winner_rank < rank")
+    lost = _lost(nodes, threshold, None if near is None else _whole_lists(rows, nodes, near))
+    # the nearest kept rows of what was dropped; the slack is for products that are summed in another order here
+    kept_nodes, lost_nodes = nodes.join(lost, "node", "left_anti"), nodes.join(lost, "node", "left_semi")
+    kept_blocks = packed(kept_nodes, "node", "v", score="score")
+    rising = rising_neighbors(packed(lost_nodes, "node", "v", score="score", pivots=kept_blocks.pivots), kept_blocks, threshold - 1e-9)
+    state = nodes.join(lost.withColumn("lost", F.lit(True)), "node", "left").select("node_key", "node", F.coalesce("lost", F.lit(False)).alias("lost"))
+    rows = rows.select("pos", "node_key", "own", "rank").join(state, "node_key")
+    kept = rows.where(~F.col("lost") & (F.col("pos") == F.col("node"))).select("pos")
     best = F.max_by(F.struct("winner", "sim"), F.struct("sim", (-F.col("winner_rank.s")).alias("s"), (-F.col("winner_rank.p")).alias("p"))).alias("b")
-    return Greedy(kept.select("pos"), rivals.groupBy("pos").agg(best).select("pos", "b.winner", "b.sim"))
+    rivals = rows.where("lost").join(rising.select(F.col("id").alias("node"), F.col("other").alias("winner"), F.struct((-F.col("score")).alias("s"), F.col("other").alias("p")).alias("winner_rank"), "sim"), "node").where("winner_rank < rank")
+    dropped = rivals.groupBy("pos").agg(best).select("pos", "b.winner", "b.sim")
+    copies = rows.where(~F.col("lost") & (F.col("pos") != F.col("node"))).select("pos", F.col("node").alias("winner"), F.col("own").alias("sim"))
+    return Greedy(kept, dropped.unionByName(copies))
 
 
 @dataclass(frozen=True)
@@ -88,12 +158,12 @@ class Dedup:
     events: DataFrame
 
 
-def deduplicate(df: DataFrame, threshold: float = THRESHOLD) -> Dedup:
-    """Rows of an exact policy go through their keys, all others (null, semantic_optional) through greedy similarity."""
+def deduplicate(df: DataFrame, threshold: float = THRESHOLD, near: DataFrame | None = None) -> Dedup:
+    """Rows of an exact policy go through their keys, all others (null, semantic_optional) through greedy similarity, which may be given the near rows that are known."""
     is_exact = F.coalesce(F.col("dedup_policy").isin(*EXACT_POLICIES), F.lit(False))
     exact = exact_key_dedup(df.where(is_exact))
     semantic = df.where(~is_exact)
-    greedy = greedy_semantic_dedup(semantic, threshold)
+    greedy = greedy_semantic_dedup(semantic, threshold, near=near)
     kept = exact.where("kept").drop("kept").unionByName(semantic.join(greedy.kept, "pos", "left_semi").select(*df.columns))
     base = dict(fuente=F.col("source"), doc_id=F.col("doc_id").cast("int"), chunk_index=F.col("chunk_index").cast("int"), global_id=F.col("pos"), policy=F.col("dedup_policy"), snip=snippet(F.col("page_content")))
     keys = F.struct("entity_key", "group_key", F.col("row").cast("int").alias("row"))

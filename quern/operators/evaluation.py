@@ -137,7 +137,7 @@ def _gain_sum(gains: Column) -> Column:
 def _rows_before(asked: DataFrame, unit: DataFrame, id: str) -> DataFrame:
     """(case_id, first_rank): one more than the rows that come before a given score and id, which q holds after its vector."""
 
-    def kernel(iq: np.ndarray, q: np.ndarray, ix: np.ndarray, x: np.ndarray, same: bool) -> pa.Table:
+    def kernel(iq: np.ndarray, q: np.ndarray, ix: np.ndarray, x: np.ndarray) -> pa.Table:
         score, row = q[:, -2:-1], q[:, -1:]
         sims = np.round(q[:, :-2] @ x.T, 12)
         return pa.table({"case_id": iq, "n": ((sims > score) | (sims == score) & (ix[None, :] < row)).sum(axis=1)})

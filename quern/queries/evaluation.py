@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.operators import evaluation as E
 from quern.operators.retrieval import retrieve
@@ -11,6 +11,7 @@ from quern.plans.corpus_job import run_corpus_job
 from quern.plans.quality_report import run_quality_report
 from quern.queries.base import CHUNKS, PAIRS, VECTORS, Tables, chunks, query, vectors
 from quern.queries.texts import hash_embedder
+from quern.queries.vectors import greedy_sql
 
 _r = lambda c: F.round(F.col(c), 6).alias(c)
 _KS = (1, 5)
@@ -140,11 +141,37 @@ def tagger(prompts: list[str]) -> list[str]:
     return [f'{{"categoria": "{CATEGORIES[len(p) % 6]}", "tags": ["abono"], "relevancia": 0.5}}' for p in prompts]
 
 
+def _job(t: Tables, hint: Column) -> DataFrame:
+    i = F.col("doc_id")
+    docs = t.documents.select(
+        "source", i.cast("int").alias("doc_id"), F.col("text").alias("page_content"), i.cast("int").alias("row"), hint.alias("chunking_hint"), F.concat(F.lit("E"), (i % 500).cast("string")).alias("entity_key"),
+        F.lit(None).cast("string").alias("group_key"), F.when(i % 4 < 3, "exact_key").alias("dedup_policy"),
+    )
+    return run_corpus_job(docs, hash_embedder, tagger, 16).index
+
+
 @query("p1_run_corpus_job")
 def _(t: Tables) -> DataFrame:
-    docs = t.documents.select("source", F.col("doc_id").cast("int").alias("doc_id"), F.col("text").alias("page_content"), F.col("doc_id").cast("int").alias("row"), F.lit("no_chunk").alias("chunking_hint"), F.concat(F.lit("E"), (F.col("doc_id") % 500).cast("string")).alias("entity_key"), F.lit(None).cast("string").alias("group_key"), F.when(F.col("doc_id") % 4 < 3, "exact_key").alias("dedup_policy"))
-    job = run_corpus_job(docs, hash_embedder, tagger, 16)
-    return job.index.select("id", "source", "doc_id", "doc_category", "semantic_score")
+    """Documents of all three ways of splitting; tests hold the job against a plain version, since SQL has no splitter."""
+    index = _job(t, F.when(F.col("doc_id") % 8 == 0, "no_chunk").when(F.col("doc_id") % 8 == 1, "light_chunk"))
+    return index.select("id", "source", "doc_id", "chunk_index", "chunk_size", "doc_category", "semantic_score")
+
+
+@query("p1_corpus_job_whole", rf"""WITH RECURSIVE b AS (SELECT doc_id, source, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)) AS t FROM documents),
+clean AS (SELECT doc_id, source, regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g') AS page_content FROM b),
+placed AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM clean), heads AS (SELECT source, arg_min(page_content, doc_id) AS f FROM placed GROUP BY source),
+tags AS (SELECT source, ['tarifas', 'normativa', 'reservas', 'abonos', 'instalaciones', 'agenda'][1 + (2 + least(8000, length(f))) % 6] AS doc_category FROM heads),
+words AS (SELECT pos, length(w) % 16 AS slot, count(*) AS n FROM (SELECT pos, unnest(string_split_regex(page_content, '\s+')) AS w FROM placed) WHERE w <> '' GROUP BY ALL),
+cells AS (SELECT pos, slot, coalesce(n, 0) AS n FROM placed CROSS JOIN (SELECT unnest(range(0, 16)) AS slot) LEFT JOIN words USING (pos, slot)),
+vectors AS (SELECT pos, list((n / greatest(s, 1e-12))::DOUBLE ORDER BY slot) AS v FROM cells JOIN (SELECT pos, sqrt(sum(n * n)) AS s FROM cells GROUP BY pos) USING (pos) GROUP BY pos),
+means AS (SELECT i, avg(v[i]) AS m FROM vectors, (SELECT unnest(range(1, 17)) AS i) GROUP BY i), centroid AS (SELECT list(m / n ORDER BY i) AS c FROM means, (SELECT sqrt(sum(m * m)) AS n FROM means)),
+{PAIRS.format(of='vectors')}, near AS (SELECT a AS pos, greatest(0, max(sim)) AS redundancy FROM pairs GROUP BY a),
+scored AS (SELECT r.*, v, doc_category, round(least(1, greatest(0, 0.45::DOUBLE * 0.5 + 0.2::DOUBLE * list_dot_product(v, c) + 0.2::DOUBLE * (1 - coalesce(redundancy, 0)) + 0.15::DOUBLE * 0.7)), 4) AS score FROM placed r JOIN vectors USING (pos) JOIN tags USING (source) LEFT JOIN near USING (pos), centroid),
+exact AS (SELECT pos FROM scored WHERE doc_id % 4 < 3 QUALIFY row_number() OVER (PARTITION BY source, doc_id % 500 ORDER BY pos) = 1), own AS (SELECT pos, v, score FROM scored WHERE doc_id % 4 = 3),
+{greedy_sql('own', 'score', 0.93)}, stays AS (SELECT pos FROM exact UNION ALL SELECT pos FROM kept)
+SELECT source || '::' || (row_number() OVER (ORDER BY pos) - 1) AS id, source, doc_id::INT AS doc_id, doc_category, score AS semantic_score FROM scored JOIN stays USING (pos)""")
+def _(t: Tables) -> DataFrame:
+    return _job(t, F.lit("no_chunk")).select("id", "source", "doc_id", "doc_category", "semantic_score")
 
 
 @query("p2_run_quality_report", f"""WITH {RECORDS.replace('CASE WHEN pos % 17 > 0 THEN v END AS v', 'v')}, l AS (SELECT length(text) AS n FROM records), {PAIRS.format(of='records')}, n AS (SELECT a, max(sim) AS sim FROM pairs GROUP BY a)

@@ -85,17 +85,17 @@ def _(t: Tables) -> DataFrame:
     return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _r(F.col("sim")).alias("sim"))
 
 
-def _greedy(of: str, score: str) -> str:
+def greedy_sql(of: str, score: str, threshold: float = THRESHOLD) -> str:
     """CTEs of the sequential definition: rows in order of score, each kept unless a kept one is near."""
     return f"""ranks AS (SELECT pos, v, row_number() OVER (ORDER BY {score} DESC, pos) AS rk FROM {of}),
-edges AS (SELECT a.pos AS a, b.pos AS b, a.rk AS ra, b.rk AS rb, list_dot_product(a.v, b.v) AS sim FROM ranks a JOIN ranks b ON a.rk < b.rk WHERE list_dot_product(a.v, b.v) >= 0.35),
+edges AS (SELECT a.pos AS a, b.pos AS b, a.rk AS ra, b.rk AS rb, list_dot_product(a.v, b.v) AS sim FROM ranks a JOIN ranks b ON a.rk < b.rk WHERE list_dot_product(a.v, b.v) >= {threshold}),
 steps AS (SELECT r.rk, r.pos, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM ranks r LEFT JOIN edges e ON e.b = r.pos GROUP BY r.rk, r.pos),
 walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT i + 1, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, s.pos) END FROM walk JOIN steps s ON s.rk = i + 1),
 kept AS (SELECT unnest(kept) AS pos FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
 winners AS (SELECT b AS pos, arg_max(a, sim) AS winner, max(sim) AS sim FROM edges WHERE a IN (SELECT pos FROM kept) AND b NOT IN (SELECT pos FROM kept) GROUP BY b)"""
 
 
-@query("v6_greedy_semantic_dedup", f"WITH RECURSIVE {VECTORS}, {_greedy('vectors', 'pos * 7919 % 1000')} SELECT r.pos, k.pos IS NOT NULL AS kept, winner, round(sim, 6) AS sim FROM ranks r LEFT JOIN kept k ON k.pos = r.pos LEFT JOIN winners w ON w.pos = r.pos")
+@query("v6_greedy_semantic_dedup", f"WITH RECURSIVE {VECTORS}, {greedy_sql('vectors', 'pos * 7919 % 1000')} SELECT r.pos, k.pos IS NOT NULL AS kept, winner, round(sim, 6) AS sim FROM ranks r LEFT JOIN kept k ON k.pos = r.pos LEFT JOIN winners w ON w.pos = r.pos")
 def _(t: Tables) -> DataFrame:
     rows = vectors(t).withColumn("semantic_score", F.col("pos") * 7919 % 1000)
     g = dedup.greedy_semantic_dedup(rows, THRESHOLD)
@@ -105,7 +105,7 @@ def _(t: Tables) -> DataFrame:
 
 _EXACT = """keyed AS (SELECT *, CASE dedup_policy WHEN 'exact_key' THEN entity_key WHEN 'group_only' THEN group_key || '/' || chunk_index ELSE row || '/' || page_content END AS k FROM chunks WHERE dedup_policy IS NOT NULL),
 exact AS (SELECT *, row_number() OVER (PARTITION BY source, dedup_policy, k ORDER BY pos) = 1 AS kept FROM keyed)"""
-_DEDUP = f"WITH RECURSIVE {CHUNKS}, {_EXACT}, sem AS (SELECT * FROM chunks WHERE dedup_policy IS NULL), {_greedy('sem', 'semantic_score')}, stays AS (SELECT pos FROM exact WHERE kept UNION ALL SELECT pos FROM kept), events AS (SELECT 'dedup_clave' AS motivo, NULL::DOUBLE AS sim, source AS fuente, pos AS global_id, NULL::BIGINT AS winner FROM exact WHERE NOT kept UNION ALL SELECT 'dedup_coseno', round(sim, 4), source, w.pos, winner FROM winners w JOIN chunks USING (pos))"
+_DEDUP = f"WITH RECURSIVE {CHUNKS}, {_EXACT}, sem AS (SELECT * FROM chunks WHERE dedup_policy IS NULL), {greedy_sql('sem', 'semantic_score')}, stays AS (SELECT pos FROM exact WHERE kept UNION ALL SELECT pos FROM kept), events AS (SELECT 'dedup_clave' AS motivo, NULL::DOUBLE AS sim, source AS fuente, pos AS global_id, NULL::BIGINT AS winner FROM exact WHERE NOT kept UNION ALL SELECT 'dedup_coseno', round(sim, 4), source, w.pos, winner FROM winners w JOIN chunks USING (pos))"
 
 
 def _both(t: Tables) -> tuple[DataFrame, dedup.Dedup]:
@@ -218,7 +218,7 @@ def _(t: Tables) -> DataFrame:
 _OWN = "own AS (SELECT k.pos, k.v, s.score FROM chunks k JOIN scored s USING (pos) WHERE k.dedup_policy IS NULL)"
 
 
-@query("flagship", f"WITH RECURSIVE {CHUNKS}, {_SCORED}, {_EXACT}, {_OWN}, {_greedy('own', 'score')} SELECT pre, pre - exact - semantic AS post, exact, semantic, exact + semantic AS total, round(100.0 * (exact + semantic) / pre, 1)::DOUBLE AS pct FROM (SELECT (SELECT count(*) FROM chunks) AS pre, (SELECT count(*) FROM exact WHERE NOT kept) AS exact, (SELECT count(*) FROM winners) AS semantic)")
+@query("flagship", f"WITH RECURSIVE {CHUNKS}, {_SCORED}, {_EXACT}, {_OWN}, {greedy_sql('own', 'score')} SELECT pre, pre - exact - semantic AS post, exact, semantic, exact + semantic AS total, round(100.0 * (exact + semantic) / pre, 1)::DOUBLE AS pct FROM (SELECT (SELECT count(*) FROM chunks) AS pre, (SELECT count(*) FROM exact WHERE NOT kept) AS exact, (SELECT count(*) FROM winners) AS semantic)")
 def _(t: Tables) -> DataFrame:
     """Documents with vectors and labels, scored, deduplicated, and summed up."""
     rows = scoring.score(chunks(t).drop("semantic_score"))

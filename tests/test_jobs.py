@@ -1,13 +1,16 @@
 """Both jobs end to end, and the registered queries against their SQL on the smallest tables."""
 
 import glob
+import json
 import os
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators.chunking import split_text
 from quern.operators.dedup import EVENT
 from quern.plans.corpus_job import run_corpus_job
 from quern.queries import base, evaluation, retrieval, samples, tables, texts, vectors  # noqa: F401
@@ -40,12 +43,50 @@ def test_corpus_job(spark, tmp_path):
     spark.sql("DROP TABLE corpus_job_index")
 
 
+def plain_job(docs, size, overlap, threshold):
+    """The job over rows(source, doc_id, text, hint, entity) with a loop for each step; one policy by doc_id."""
+    chunks = []
+    for source, doc, text, hint, entity in sorted(docs):
+        whole = hint == "no_chunk" or hint == "light_chunk" and len(text) <= size
+        chunks += [(source, doc, n, part, entity) for n, part in enumerate([text] if whole else split_text(text, size, overlap))]
+    v = np.array(hash_embedder([c[3] for c in chunks]))
+    centre = v.mean(axis=0)
+    sims = v @ v.T
+    np.fill_diagonal(sims, -1)
+    said = json.loads(keyword_tagger(["x"])[0])
+    score = np.round(0.45 * said["relevancia"] + 0.2 * v @ (centre / np.linalg.norm(centre)) + 0.2 * (1 - np.maximum(0, sims.max(axis=1))) + 0.15 * 0.7, 4)
+    seen, kept = set(), []
+    for n, (source, doc, _, _, entity) in enumerate(chunks):
+        if doc % 4 == 0 and (source, entity) not in seen:
+            seen.add((source, entity))
+            kept.append(n)
+    near = []
+    for n in sorted((n for n in range(len(chunks)) if chunks[n][1] % 4), key=lambda n: (-score[n], n)):
+        if not any(sims[n, k] >= threshold for k in near):
+            near.append(n)
+    return [(f"{chunks[n][0]}::{i}", chunks[n][1], chunks[n][2], chunks[n][3], pytest.approx(score[n], abs=1e-4)) for i, n in enumerate(sorted(kept + near))]
+
+
+def test_job_with_splitting_equals_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    words = ["a", "de", "uno", "casa", "plaza", "piscina", "entradas", "deportivo", "municipales", "instalación"]
+    text = lambda n: ". ".join(" ".join(words[i] for i in rng.integers(0, 10, 8)) for _ in range(n))
+    docs = [(f"f{i % 3}", i, text(int(rng.integers(1, 30))), (None, "no_chunk", "light_chunk")[i % 3], f"E{i % 5}") for i in range(60)]
+    docs += [("f9", 60 + i, docs[2 * i][2], None, "E0") for i in range(9)]
+    rows = [(s, d, t, d, h, e, None, "exact_key" if d % 4 == 0 else None) for s, d, t, h, e in docs]
+    df = spark.createDataFrame(rows, "source string, doc_id int, page_content string, row int, chunking_hint string, entity_key string, group_key string, dedup_policy string")
+    job = run_corpus_job(df.repartition(5), hash_embedder, lambda prompts: keyword_tagger(["x"] * len(prompts)), 16, size=200, overlap=30, threshold=0.97)
+    got = [(r.id, r.doc_id, r.chunk_index, r.document, r.semantic_score) for r in job.index.collect()]
+    expected = plain_job(docs, 200, 30, 0.97)
+    assert sorted(got, key=lambda r: int(r[0].split("::")[1])) == expected and 150 < len(expected) < 400
+
+
 def _value(v):
     return str(float(v)) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["t1_clean_text", "t11_normalize_verdict", "g2_chunk_routing", "c6_grouped_docs", "s6_read_delimited", "v6_greedy_semantic_dedup", "v7_deduplicate", "v10_evaluate_retrieval", "o2_rag_batch", "a1_chunk_length_stats", "w4_question_types", "flagship"])
+@pytest.mark.parametrize("name", ["t1_clean_text", "t11_normalize_verdict", "g2_chunk_routing", "c6_grouped_docs", "s6_read_delimited", "v6_greedy_semantic_dedup", "v7_deduplicate", "v10_evaluate_retrieval", "p1_corpus_job_whole", "j5_similarity_join", "o2_rag_batch", "a1_chunk_length_stats", "w4_question_types", "flagship"])
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):

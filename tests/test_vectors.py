@@ -156,3 +156,75 @@ def test_coherence(spark):
     r = chunk_coherence(df).first()
     assert r.adjacent == pytest.approx(np.mean([u[i] @ u[i + 1] for i in range(5)]))
     assert r.others == pytest.approx(np.mean([u[i] @ u[j] for i in range(6) for j in range(i + 2, 6)]))
+
+
+def test_one_large_cluster_writes_few_rows(spark, monkeypatch):
+    """20,000 rows that are all near to each other, and some that are not."""
+    from quern.operators import blocks, dedup
+
+    written = []
+    for module in (blocks, dedup):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, keep=keep: written.append((name, out := keep(df, name))) or out)
+    rng = np.random.default_rng(4)
+    v = np.ones((20_000, 8)) / np.sqrt(8) + rng.normal(size=(20_000, 8)) * 0.01
+    v = np.vstack([v, rng.normal(size=(50, 8))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(rng.uniform(size=len(v)), 3)
+    kept, winners = sequential(v, score, 0.93)
+    out = greedy_semantic_dedup(frame(spark, v, score).repartition(8), 0.93)
+    assert {r.pos for r in out.kept.collect()} == kept
+    assert {r.pos: r.winner for r in out.dropped.collect()} == winners
+    rows = {name: df.count() for name, df in written}
+    assert max(rows.values()) <= dedup.LISTED * len(v) and sum(rows.values()) < 30 * len(v), rows
+
+
+@pytest.mark.parametrize(("few_edges", "listed"), [(0, 2), (100_000, 1)])
+def test_greedy_with_short_lists_and_known_neighbors(spark, monkeypatch, few_edges, listed):
+    from quern.operators import blocks, dedup
+
+    monkeypatch.setattr(dedup, "FEW_EDGES", few_edges)
+    monkeypatch.setattr(dedup, "LISTED", listed)
+    v, score = clones(21, n=300, dim=6)
+    kept, winners = sequential(v, score, 0.6)
+    rows = frame(spark, v, score).repartition(3)
+    near = None
+    if few_edges:
+        found = blocks.neighbors(packed(rows, "pos", "embedding", 40), 0.6, 5)
+        near = rows.select("pos").join(found.withColumnRenamed("id", "pos"), "pos", "left")
+    out = greedy_semantic_dedup(rows, 0.6, near=near)
+    assert {r.pos for r in out.kept.collect()} == kept
+    assert {r.pos: r.winner for r in out.dropped.collect()} == winners
+
+
+def test_pruned_tiles_lose_no_pair(spark, monkeypatch):
+    from quern.operators import blocks as B
+
+    monkeypatch.setattr(B, "STRIPS", 24)
+    tile_pairs = B.tile_pairs
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 12))
+    v = centres[rng.integers(0, 8, 900)] + rng.normal(size=(900, 12)) * 0.1
+    v *= rng.uniform(0.2, 1.3, size=(900, 1)) / np.linalg.norm(v, axis=1, keepdims=True)
+    v[5] = 0
+    blocks = packed(frame(spark, v).repartition(4), "pos", "embedding", 30)
+    sims = v @ v.T
+    for threshold in (0.93, 0.0):
+        got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in similarity_edges(blocks, threshold).collect())
+        assert got == [(i, j) for i in range(900) for j in range(i + 1, 900) if sims[i, j] >= threshold]
+    assert tile_pairs(blocks, None, 0.93).count() < tile_pairs(blocks, None).count() == blocks.strips * (blocks.strips + 1) // 2
+    assert tile_pairs(blocks, None, -0.5).count() == tile_pairs(blocks, None).count()
+
+
+def test_neighbors_list_what_is_near(spark):
+    from quern.operators.blocks import neighbors
+
+    v, score = clones(8, n=200 + 100)
+    blocks = packed(frame(spark, v, score).repartition(4), "pos", "embedding", 33, score="semantic_score")
+    sims = v @ v.T
+    np.fill_diagonal(sims, -np.inf)
+    got = {r.id: r for r in neighbors(blocks, 0.5, 3).collect()}
+    for i in range(300):
+        near = sorted((-score[j], j) for j in np.flatnonzero(sims[i] >= 0.5))
+        assert got[i].n_near == len(near) and [x.other for x in got[i].near] == [j for _, j in near[:3]]
+        assert got[i].sim == pytest.approx(sims[i].max(), abs=1e-12)
