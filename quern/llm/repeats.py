@@ -30,7 +30,7 @@ from quern.llm.textops import mix, power_tables, text_slices
 
 LEAST, ANCHOR = 200, 64
 #: Bytes of a task's text, of a bucket's different contents before it is cut anew, of a slice of a long document, and windows of a piece.
-TEXT, LARGE, SLICE, MOST = 1 << 19, 1 << 19, 1 << 20, 2048
+TEXT, LARGE, SLICE, MOST = 1 << 19, 1 << 21, 1 << 20, 2048
 _TABLE = np.random.default_rng(20251103).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _PIECE = "key long, h long, n int"
 
