@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import snippet
-from quern.operators.blocks import earlier_neighbors, packed, rising_neighbors
+from quern.operators.blocks import Blocks, earlier_neighbors, packed, rising_neighbors
 from quern.sources.tables import materialize
 
 THRESHOLD = 0.93
-#: Near rows that are listed for a row at once; and edges of lists that one task may settle.
-LISTED, FEW_EDGES = 16, 100_000
+#: Near rows that are listed for a row at once; edges of lists, and rows (and bytes of their vectors), that one task may settle.
+LISTED, FEW_EDGES, FEW_ROWS, FEW_BYTES = 16, 400_000, 4096, 64 << 20
 #: Policies whose rows are compared by key only.
 EXACT_POLICIES = ("exact_only", "exact_key", "group_only")
 EVENT = (
@@ -84,16 +85,37 @@ def _settled(edges: DataFrame, cut: DataFrame, scores: DataFrame) -> tuple[DataF
     return materialize(lost, "lost"), materialize(ask, "ask"), edges
 
 
+def _finished(undecided: DataFrame, decided: Blocks, threshold: float) -> DataFrame:
+    """(node) lost of FEW_ROWS undecided nodes at most: those near to an earlier one of the decided, which are kept, and, in one task in order, those near to one of their own that is kept."""
+    mine = packed(undecided, "node", "v", score="score", pivots=decided.pivots)
+    gone = materialize(earlier_neighbors(mine, decided, threshold, 1).select(F.col("id").alias("node")), "lost")
+    rest = undecided.join(gone, "node", "left_anti").select("node", "score", "v").repartition(1).sortWithinPartitions(F.col("score").desc(), "node")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"node": pd.Series(dtype="int64"), "v": pd.Series(dtype=object)}), *frames])
+        kept: list[int] = []
+        lost = []
+        if len(rows):
+            m = np.stack(rows["v"].to_numpy())
+            near = m @ m.T >= threshold
+            for i in range(len(m)):
+                (lost if near[i, kept].any() else kept).append(i)
+        yield pd.DataFrame({"node": rows["node"].to_numpy("int64")[lost]})
+
+    return gone.unionByName(materialize(rest.mapInPandas(run, "node long"), "lost"))
+
+
 def _lost(nodes: DataFrame, threshold: float, known: DataFrame | None) -> DataFrame:
     """(node) of the nodes(node, score, v) that are dropped.
 
     Each node lists the first LISTED of the earlier ones near to it. A node is lost if one in its list is kept, and kept if all are lost and the list was whole; if
-    it was cut, the node is asked about again, among the nodes that are not lost. So LISTED pairs of a node are written at most, however many are near to each
-    other, and what is lost meets nothing again. known(node, first): whole lists that are there already, with null for an empty one.
+    it was cut, the node is asked about again, among the nodes that are not lost. The fewer are asked about, the longer their lists may be: LISTED pairs for each of
+    all nodes are written at most in a turn, however many are near to each other, and what is lost meets nothing again. known(node, first): whole lists that are there already, with null for an empty one.
     """
     whole = packed(nodes, "node", "v", score="score")
     some = lambda of: packed(of, "node", "v", score="score", pivots=whole.pivots)
     lost = cut = nodes.select("node").limit(0)
+    n = nodes.count()
     if known is None:
         ask, edges = nodes.select("node"), None
     else:
@@ -103,7 +125,7 @@ def _lost(nodes: DataFrame, threshold: float, known: DataFrame | None) -> DataFr
         if edges is None or not ask.isEmpty():
             rows = whole if edges is None else some(nodes.join(ask, "node", "left_semi"))
             others = whole if edges is None else some(nodes.join(lost, "node", "left_anti"))
-            found = materialize(earlier_neighbors(rows, others, threshold, LISTED), "near-lists")
+            found = materialize(earlier_neighbors(rows, others, threshold, LISTED if edges is None else LISTED * max(1, n // ask.count())), "near-lists")
             new = found.select(F.col("id").alias("last"), F.explode("near.other").alias("first"))
             edges = new if edges is None else materialize(edges.unionByName(new), "near-pairs")
             longer = found.where(F.col("n_near") > F.size("near")).select(F.col("id").alias("node"))
@@ -112,6 +134,11 @@ def _lost(nodes: DataFrame, threshold: float, known: DataFrame | None) -> DataFr
         lost = materialize(lost.unionByName(gone), "lost")
         if ask.isEmpty():
             return lost
+        waiting = materialize(ask.unionByName(edges.select(F.col("last").alias("node")).distinct()), "undecided")
+        undecided = nodes.join(waiting, "node", "left_semi")
+        size = undecided.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("v")), F.lit(0)).alias("bytes")).first()
+        if size.n <= FEW_ROWS and size.bytes <= FEW_BYTES:
+            return lost.unionByName(_finished(undecided, some(nodes.join(lost, "node", "left_anti").join(waiting, "node", "left_anti")), threshold))
 
 
 def _whole_lists(rows: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:

@@ -179,10 +179,11 @@ def test_one_large_cluster_writes_few_rows(spark, monkeypatch):
     assert max(rows.values()) <= dedup.LISTED * len(v) and sum(rows.values()) < 30 * len(v), rows
 
 
-@pytest.mark.parametrize(("few_edges", "listed"), [(0, 2), (100_000, 1)])
-def test_greedy_with_short_lists_and_known_neighbors(spark, monkeypatch, few_edges, listed):
+@pytest.mark.parametrize(("few_edges", "listed", "few_rows"), [(0, 2, 0), (100_000, 1, 4096)])
+def test_greedy_with_short_lists_and_known_neighbors(spark, monkeypatch, few_edges, listed, few_rows):
     from quern.operators import blocks, dedup
 
+    monkeypatch.setattr(dedup, "FEW_ROWS", few_rows)
     monkeypatch.setattr(dedup, "FEW_EDGES", few_edges)
     monkeypatch.setattr(dedup, "LISTED", listed)
     v, score = clones(21, n=300, dim=6)
