@@ -102,3 +102,20 @@ def rag_prompt(system: str, context: Column, question: Column) -> Column:
 def filled(template: str, **values: Column) -> Column:
     """The template with each {name} replaced by a column."""
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1].cast("string")), values.items(), F.lit(template))
+
+
+#: How much of a seed's and of a candidate's text an evaluation prompt shows, and the head of a candidate.
+SEED_CHARS, CANDIDATE_CHARS, CANDIDATE = 5000, 2500, "ID: {} | cosine: {}\n"
+
+
+def candidate_contexts(candidates: Column) -> Column:
+    """The texts of an ordered array of (id, score, text), each under its id and cosine and cut to CANDIDATE_CHARS."""
+    before, between, after = CANDIDATE.split("{}")
+    item = lambda c: F.concat(F.lit(before), c["id"].cast("string"), F.lit(between), F.format_string("%.4f", c["score"]), F.lit(after), F.substring(F.coalesce(c["text"], F.lit("")), 1, CANDIDATE_CHARS))
+    return F.array_join(F.transform(candidates, item), "\n\n")
+
+
+def eval_prompt(template: str, seed_id: Column, seed_text: Column, question_type: Column, candidates: Column) -> Column:
+    """A template with {chunk_id}, {context}, {question_type} and {candidates} filled in: the seed's text cut to SEED_CHARS, and its neighbours'."""
+    context = F.substring(F.coalesce(seed_text, F.lit("")), 1, SEED_CHARS)
+    return filled(template, chunk_id=seed_id, question_type=question_type, context=context, candidates=candidate_contexts(candidates))

@@ -67,20 +67,41 @@ def duplicate_ids(df: DataFrame, vector: str = "embedding", k: int = 20, order:
     return many.orderBy("first").limit(k).select("id", "n")
 
 
+#: The names of records without a source, document or category.
+NO_SOURCE, NO_DOCUMENT, NO_CATEGORY = "__sin_fuente__", "__sin_documento__", "__sin_categoria__"
+
+
+def _named(column: str, other: str) -> Column:
+    return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(other))
+
+
 def length_report(df: DataFrame) -> DataFrame:
-    """One row about records(text, source, document_id): length percentiles, short and long counts (raw lengths), distinct keys, and chunks per document."""
-    key = lambda c, name: F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit(name))
-    rows = df.select(F.length(F.coalesce("text", F.lit(""))).alias("n"), key("source", "__sin_fuente__").alias("s"), key("document_id", "__sin_documento__").alias("d"))
+    """One row about records(text, source, document_id): their number, lengths' min, mean, max and percentiles, blank, short and long ones (raw lengths), distinct keys, and chunks per document."""
+    rows = df.select(F.length(F.coalesce("text", F.lit(""))).alias("n"), (F.coalesce(strip(F.col("text")), F.lit("")) == "").alias("blank"), _named("source", NO_SOURCE).alias("s"), _named("document_id", NO_DOCUMENT).alias("d"))
     per = rows.groupBy("d").agg(F.count("*").alias("c")).agg(F.avg("c").alias("per_document_mean"), F.percentile("c", F.lit(0.5)).alias("per_document_median"), F.max("c").alias("per_document_max"))
     cuts = {f"p{round(100 * p)}": F.percentile("n", F.lit(p)) for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
-    counts = {"below_10": F.col("n") < 10, "below_50": F.col("n") < 50, "above_2000": F.col("n") > 2000, "above_3000": F.col("n") > 3000}
-    whole = rows.agg(*(c.alias(k) for k, c in cuts.items()), *(F.count_if(c).alias(k) for k, c in counts.items()), F.count_distinct("s").alias("n_sources"), F.count_distinct("d").alias("n_documents"))
+    counts = {"below_10": F.col("n") < 10, "below_50": F.col("n") < 50, "above_2000": F.col("n") > 2000, "above_3000": F.col("n") > 3000, "empty": F.col("blank")}
+    ends = (F.count("*").alias("n_records"), F.min("n").alias("length_min"), F.avg("n").alias("length_mean"), F.max("n").alias("length_max"))
+    whole = rows.agg(*ends, *(c.alias(k) for k, c in cuts.items()), *(F.count_if(c).alias(k) for k, c in counts.items()), F.count_distinct("s").alias("n_sources"), F.count_distinct("d").alias("n_documents"))
     return whole.join(per, how="cross")
 
 
+def length_flags(df: DataFrame) -> DataFrame:
+    """(id, length, empty, short_10, short_50, long_2000, long_3000, source, document_id, category) of each record; empty and short go by the text without space around it."""
+    raw, bare = F.length(F.coalesce("text", F.lit(""))), F.length(F.coalesce(strip(F.col("text")), F.lit("")))
+    return df.select("id", raw.alias("length"), (bare == 0).alias("empty"), (bare < 10).alias("short_10"), (bare < 50).alias("short_50"), (raw > 2000).alias("long_2000"), (raw > 3000).alias("long_3000"), "source", "document_id", "category")
+
+
+def chunks_by(df: DataFrame) -> DataFrame:
+    """(kind, name, n): records by source and by category."""
+    by = lambda kind, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return by("source", _named("source", NO_SOURCE)).unionByName(by("category", _named("category", NO_CATEGORY)))
+
+
 def category_report(df: DataFrame) -> DataFrame:
     """(category, n, share, n_sources, n_documents, mean_length) of each category."""
-    by = df.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct("document_id").alias("n_documents"), F.avg(F.length("text")).alias("mean_length"))
+    rows = df.select(_named("category", NO_CATEGORY).alias("category"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("document_id", F.lit("")).alias("document_id"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
+    by = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct("document_id").alias("n_documents"), F.avg("length").alias("mean_length"))
     return by.withColumn("share", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -88,6 +109,16 @@ def metadata_keys(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.map_keys("metadata")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def tag_counts(df: DataFrame) -> DataFrame:
+    """(tag, n) of all tags of records(tags array)."""
+    return df.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def records_without(df: DataFrame) -> DataFrame:
+    """One row: records without category, source and document_id."""
+    return df.agg(*(F.count_if(F.coalesce(c, F.lit("")) == "").alias(f"without_{c}") for c in ("category", "source", "document_id")))
+
+
 def top_tags_first_seen(df: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent tags of records(pos, tags array); of equals the one seen first."""
     seen = df.select("pos", F.posexplode("tags").alias("at", "tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first"))
@@ -130,10 +161,6 @@ def chunk_coherence(df: DataFrame, document: str = "document_id", order: str = "
     return out.withColumn("margin", F.col("adjacent") - F.col("others"))
 
 
-def _gain_sum(gains: Column) -> Column:
-    return F.aggregate(F.transform(gains, lambda g, i: g / F.log2((i + 2).cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def _rows_before(asked: DataFrame, unit: DataFrame, id: str) -> DataFrame:
     """(case_id, first_rank): one more than the rows that come before a given score and id, which q holds after its vector."""
 
@@ -146,33 +173,73 @@ def _rows_before(asked: DataFrame, unit: DataFrame, id: str) -> DataFrame:
     return counts.groupBy("case_id").agg((1 + F.sum("n")).alias("first_rank"))
 
 
-def evaluate_retrieval(cases: DataFrame, index: DataFrame, ks: Sequence[int], id: str = "pos", vector: str = "embedding") -> DataFrame:
-    """Metrics of each of cases(case_id, embedding, relevance map of id to gain): rr over the whole ranking, and hits, recall, precision, ndcg and top_score at each k.
+def relevance_rows(cases: DataFrame) -> DataFrame:
+    """(case_id, id, listed, gain) of cases(case_id, relevant_ids array, relevance map of id to gain), either of which may be null: what a case lists as relevant, and its grades."""
+    listed = cases.select("case_id", F.explode("relevant_ids").alias("id")).distinct().withColumns({"listed": F.lit(True), "gain": F.lit(None).cast("double")})
+    graded = cases.select("case_id", F.explode("relevance").alias("id", "gain")).withColumn("gain", F.col("gain").cast("double")).withColumn("listed", F.lit(False))
+    return listed.unionByName(graded).groupBy("case_id", "id").agg(F.bool_or("listed").alias("listed"), F.max("gain").alias("gain"))
+
+
+def _judged(relevance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """relevance with `relevant` and the gain that counts, and (case_id, n, n_graded): what is listed is relevant or, where a case lists nothing, what is graded; what has no grade counts 1 if relevant."""
+    of = relevance.groupBy("case_id").agg(F.count_if("listed").alias("n_listed"), F.count("gain").alias("n_graded"))
+    rows = relevance.join(of, "case_id").withColumn("relevant", F.when(F.col("n_listed") > 0, F.col("listed")).otherwise(F.col("gain").isNotNull()))
+    rows = rows.select("case_id", "id", "relevant", F.coalesce("gain", F.col("relevant").cast("double")).alias("gain"))
+    return rows, of.select("case_id", F.when(F.col("n_listed") > 0, F.col("n_listed")).otherwise(F.col("n_graded")).alias("n"), "n_graded")
+
+
+def _ideal(relevance: DataFrame, sizes: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """(case_id, ideal_k ...): the gains in falling order, discounted, from how many rows have each grade: a grade's rows take a run of places, whose discounts are a difference of two sums. Without grades each relevant row counts 1."""
+    most = max(ks)
+    sums = F.array(*(F.lit(float(x)) for x in np.concatenate([[0], np.cumsum(1 / np.log2(np.arange(2, most + 2)))])))
+    upto = lambda place, k: F.element_at(sums, F.least(place, F.lit(k)).cast("int") + 1)
+    grades = relevance.where("gain IS NOT NULL").groupBy("case_id", "gain").agg(F.count("*").alias("c"))
+    falling = Window.partitionBy("case_id").orderBy(F.col("gain").desc())
+    top = grades.withColumn("r", F.row_number().over(falling)).where(F.col("r") <= most)
+    top = top.withColumn("end", F.sum("c").over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+    graded = top.groupBy("case_id").agg(*(F.sum(F.col("gain") * (upto(F.col("end"), k) - upto(F.col("end") - F.col("c"), k))).alias(f"g_{k}") for k in ks))
+    out = sizes.join(graded, "case_id", "left")
+    return out.select("case_id", "n", *(F.when(F.col("n_graded") > 0, F.col(f"g_{k}")).otherwise(upto(F.col("n"), k)).alias(f"ideal_{k}") for k in ks))
+
+
+def _first_ranks(asked: DataFrame, unit: DataFrame, rows: DataFrame, hits: DataFrame, id: str) -> DataFrame:
+    """(case_id, first_rank) of the first relevant row in the whole ranking: among the hits, or else one more than the rows before the best relevant one, which is a count, not a sort."""
+    near = materialize(hits.where("relevant").groupBy("case_id").agg(F.min("rank").cast("long").alias("first_rank")), "first-hits")
+    rest = asked.join(near, "case_id", "left_anti")
+    relevant = rows.where("relevant").select("case_id", F.col("id").alias("rel")).join(rest, "case_id").join(unit.select(F.col(id).alias("rel"), "u"), "rel")
+    best = relevant.groupBy("case_id").agg(F.max(F.struct(F.round(dot(F.col("q"), F.col("u")), 12).alias("s"), (-F.col("rel")).alias("m"))).alias("b"))
+    sought = rest.join(best, "case_id").select("case_id", F.concat("q", F.array(F.col("b.s"), -F.col("b.m").cast("double"))).alias("q"))
+    return near.unionByName(_rows_before(sought, unit, id))
+
 
-    The rank of the first relevant row is one more than the number of rows before it, which is a count, not a sort.
+def evaluate_retrieval(cases: DataFrame, relevance: DataFrame, index: DataFrame, ks: Sequence[int], id: str = "pos", vector: str = "embedding") -> DataFrame:
+    """Metrics of each of cases(case_id, embedding), given relevance(case_id, id, listed, gain) as relevance_rows() makes it: n relevant, rr over the whole ranking, hits, recall, precision, ndcg and top_score at each k, and top_ids, the ids at the largest k in order.
+
+    Relevance stays in rows that meet the hits by case and id, so a case may have any number of them. A case without a vector, or of another width than the index, is an error.
     """
+    width = index.agg(F.max(F.size(vector))).first()[0]
+    if not cases.where(F.col(vector).isNull() | (F.size(vector) != F.lit(width))).isEmpty():
+        raise ValueError(f"a case has no vector of {width} values")
+    rows, sizes = _judged(relevance)
+    rows = materialize(rows, "relevance")
     unit = index.select(F.col(id), l2_normalize(F.col(vector)).alias("u"))
-    asked = cases.select("case_id", F.col("relevance"), l2_normalize(F.col(vector)).alias("q"))
-    relevant = asked.select("case_id", "q", F.explode("relevance").alias("rel", "gain")).join(unit.select(F.col(id).alias("rel"), "u"), "rel")
-    best = relevant.groupBy("case_id").agg(F.max(F.struct(F.round(dot(F.col("q"), F.col("u")), 12).alias("s"), (-F.col("rel")).alias("m"))).alias("b"))
-    rank = _rows_before(asked.join(best, "case_id").select("case_id", F.concat("q", F.array(F.col("b.s"), -F.col("b.m").cast("double"))).alias("q")), unit, id)
-    hits = retrieve(cases.select("case_id", vector), index, max(ks), "case_id", id, vector)
-    top = hits.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(id).alias("id"), (1 - F.col("distance")).alias("score")))).alias("top"))
-    out = cases.select("case_id", "relevance").join(top, "case_id", "left").join(rank, "case_id", "left")
-    none = F.array().cast("array<struct<rank:int,id:bigint,score:double>>")
-    out = out.withColumns({"top": F.coalesce("top", none), "n": F.size("relevance"), "rr": F.coalesce(1 / F.col("first_rank"), F.lit(0.0))})
-    ideal = F.sort_array(F.map_values("relevance"), asc=False)
+    asked = cases.select("case_id", l2_normalize(F.col(vector)).alias("q"))
+    hits = retrieve(cases.select("case_id", vector), index, max(ks), "case_id", id, vector).withColumnRenamed(id, "id")
+    hits = materialize(hits.join(rows, ["case_id", "id"], "left").select("case_id", "id", "rank", (1 - F.col("distance")).alias("score"), F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("gain", F.lit(0.0)).alias("gain")), "judged-hits")
+    gained = F.col("gain") / F.log2(F.col("rank") + 1.0)
+    at = lambda c, k: F.when(F.col("rank") <= k, c)
+    per = [f(at(c, k)).alias(f"{name}_{k}") for k in ks for name, f, c in (("hits", F.count, F.when(F.col("relevant"), 1)), ("dcg", F.sum, gained), ("top_score", F.max, F.col("score")))]
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"])
+    out = cases.select("case_id").join(hits.groupBy("case_id").agg(*per, in_order.alias("top_ids")), "case_id", "left")
+    out = out.join(_ideal(relevance, sizes, ks), "case_id", "left").join(_first_ranks(asked, unit, rows, hits, id), "case_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     columns = []
     for k in ks:
-        first = F.slice("top", 1, k)
-        gains = F.transform(first, lambda h: F.coalesce(F.col("relevance")[h["id"]], F.lit(0.0)))
-        n_hits = F.size(F.filter(first, lambda h: F.map_contains_key("relevance", h["id"])))
-        full = _gain_sum(F.slice(ideal, 1, k))
+        hit, full = F.coalesce(f"hits_{k}", F.lit(0)), F.col(f"ideal_{k}")
         columns += [
-            n_hits.alias(f"hits_{k}"), F.when(F.col("n") > 0, n_hits / F.col("n")).otherwise(0.0).alias(f"recall_{k}"), (n_hits / k).alias(f"precision_{k}"),
-            F.when(full > 0, _gain_sum(gains) / F.when(full > 0, full)).otherwise(0.0).alias(f"ndcg_{k}"), F.array_max(F.transform(first, lambda h: h["score"])).alias(f"top_score_{k}"),
+            hit.alias(f"hits_{k}"), F.when(F.col("n") > 0, hit / F.col("n")).otherwise(0.0).alias(f"recall_{k}"), (hit / k).alias(f"precision_{k}"),
+            F.when(full > 0, F.coalesce(f"dcg_{k}", F.lit(0.0)) / F.when(full > 0, full)).otherwise(0.0).alias(f"ndcg_{k}"), F.col(f"top_score_{k}"),
         ]
-    return out.select("case_id", "n", "rr", *columns)
+    return out.select("case_id", "n", F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("rr"), *columns, F.coalesce("top_ids", F.array().cast("array<bigint>")).alias("top_ids"))
 
 
 def retrieval_summary(metrics: DataFrame, ks: Sequence[int]) -> DataFrame:

@@ -27,8 +27,10 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int, query: str = "query_i
 
 
 def with_content(hits: DataFrame, index: DataFrame, id: str = "pos") -> DataFrame:
-    """Hits with the text and source of their rows."""
-    return hits.join(index.select(id, F.col("page_content").alias("text"), F.coalesce("source", F.lit(UNKNOWN)).alias("source")), id)
+    """Hits with the text and source of their rows, and, as a struct, all their other columns but vectors as metadata."""
+    kinds = dict(index.dtypes)
+    others = [c for c in index.columns if c not in (id, "page_content") and not kinds[c].startswith(("array<float", "array<double"))]
+    return hits.join(index.select(id, F.col("page_content").alias("text"), F.coalesce("source", F.lit(UNKNOWN)).alias("source"), F.struct(*others).alias("metadata")), id)
 
 
 def seed_neighbors(seeds: DataFrame, index: DataFrame, k: int, id: str = "pos", vector: str = "embedding") -> DataFrame:
@@ -74,19 +76,30 @@ def rag_batch(questions: DataFrame, index: DataFrame, k: int, system: str = "",
 
 
 def rag_grid_report(questions: DataFrame, index: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """rag_batch for each top_k over one retrieval of the largest; questions also carry fuente_esperada and out_of_corpus. A row for each question and k."""
+    """rag_batch for each top_k over one retrieval of the largest; questions also carry fuente_esperada, out_of_corpus and categoria_esperada. A row for each question and k."""
     hits = materialize(question_hits(questions, index, max(ks)), "hits")
-    extra = questions.select("query_id", "fuente_esperada", "out_of_corpus")
+    extra = questions.select("query_id", "fuente_esperada", "out_of_corpus", F.col("categoria_esperada").alias("categoria"))
     out = None
     for k in ks:
-        one = rag_batch(questions.drop("fuente_esperada", "out_of_corpus"), index, k, hits=hits).withColumn("top_k", F.lit(k))
+        one = rag_batch(questions.drop("fuente_esperada", "out_of_corpus", "categoria_esperada"), index, k, hits=hits).withColumn("top_k", F.lit(k))
         out = one if out is None else out.unionByName(one)
     both = out.join(extra, "query_id")
     hit = F.exists("sources", lambda s: s == F.col("fuente_esperada"))
     return both.withColumns({"source_hit": F.coalesce(hit, F.lit(False)), "right_abstention": F.col("abstained") & F.coalesce("out_of_corpus", F.lit(False))})
 
 
-def query_log(batch: DataFrame, model: str) -> DataFrame:
-    """A JSON line for each query."""
-    row = F.struct("question", "top_k", "n_chunks", F.lit(model).alias("model"), "abstained")
+def rag_rates(report: DataFrame) -> DataFrame:
+    """Rates of rag_grid_report's rows(top_k, categoria, ...) for each top_k and category, each top_k, and all: how many rows, those with an error and abstentions, mean chunks, the share that has the expected source among those that expect one, and the share that abstains among those out of the corpus. level: 0 for a category's row, 1 for a top_k's, 3 for all."""
+    share = lambda wanted, of: F.when(F.count_if(of) > 0, F.count_if(wanted & of) / F.when(F.count_if(of) > 0, F.count_if(of)))
+    expects, outside = F.col("fuente_esperada").isNotNull() & ~F.coalesce("out_of_corpus", F.lit(False)), F.coalesce("out_of_corpus", F.lit(False))
+    sets = [[F.col("top_k"), F.col("categoria")], [F.col("top_k")], []]
+    return report.groupingSets(sets, "top_k", "categoria").agg(
+        F.grouping_id("top_k", "categoria").cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("abstained").alias("abstained"), F.avg("n_chunks").alias("mean_chunks"),
+        share(F.col("source_hit"), expects).alias("source_hit_rate"), share(F.col("abstained"), outside).alias("right_abstention_rate"),
+    )
+
+
+def query_log(batch: DataFrame, model: str, timings: tuple[str, ...] = ()) -> DataFrame:
+    """A JSON line for each query, with the columns named in timings as t_..."""
+    row = F.struct(F.col("question").alias("pregunta"), "top_k", "n_chunks", F.lit(model).alias("modelo"), "abstained", *(F.col(name).cast("double").alias(f"t_{name}") for name in timings))
     return batch.select("query_id", F.to_json(row).alias("line"))

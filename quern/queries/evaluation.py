@@ -22,13 +22,13 @@ def records(t: Tables) -> DataFrame:
     i = F.col("pos")
     return chunks(t).select(
         "pos", F.concat(F.lit("r"), (i - F.when(i % 50 == 1, 1).otherwise(0)).cast("string")).alias("id"), F.when(i % 11 == 0, " ").otherwise(F.col("page_content")).alias("text"), F.when(i % 13 == 0, "").otherwise(F.col("source")).alias("source"),
-        F.concat(F.lit("d"), F.floor(i / 3).cast("string")).alias("document_id"), F.col("doc_category").alias("category"), F.when(i % 7 > 0, F.create_map(F.lit("lang"), F.col("doc_category"), F.lit("k"), F.lit("v"))).alias("metadata"),
+        F.concat(F.lit("d"), F.floor(i / 3).cast("string")).alias("document_id"), F.when(i % 9 > 0, F.col("doc_category")).alias("category"), F.when(i % 7 > 0, F.create_map(F.lit("lang"), F.col("doc_category"), F.lit("k"), F.lit("v"))).alias("metadata"),
         F.map_keys("tag_flags").alias("tags"), F.when(i % 17 > 0, F.col("embedding")).alias("embedding"),
     )
 
 
 RECORDS = f"""{CHUNKS}, records AS (SELECT pos, 'r' || (pos - CASE WHEN pos % 50 = 1 THEN 1 ELSE 0 END) AS id, CASE WHEN pos % 11 = 0 THEN ' ' ELSE page_content END AS text, CASE WHEN pos % 13 = 0 THEN '' ELSE source END AS source,
-    'd' || pos // 3 AS document_id, doc_category AS category, pos % 7 > 0 AS has_metadata, tags, CASE WHEN pos % 17 > 0 THEN v END AS v FROM chunks)"""
+    'd' || pos // 3 AS document_id, CASE WHEN pos % 9 > 0 THEN doc_category END AS category, pos % 7 > 0 AS has_metadata, tags, CASE WHEN pos % 17 > 0 THEN v END AS v FROM chunks)"""
 
 
 @query("a11_validate_vectors", f"WITH {RECORDS} SELECT (SELECT count(*) FROM records) AS n, count(*) AS n_valid, (SELECT count(*) FROM records WHERE v IS NULL) AS n_missing, max(len(v))::INT AS dim, 0::BIGINT AS n_bad, 0::BIGINT AS n_zero, count(*) FILTER (NOT has_metadata) AS n_no_metadata, count(*) FILTER (source = '') AS n_no_source, count(*) FILTER (trim(text) = '') AS n_no_text, (SELECT count(*) FROM (SELECT id FROM records WHERE v IS NOT NULL GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids, round(min(s), 6) AS norm_min, round(avg(s), 6) AS norm_mean, round(max(s), 6) AS norm_max, round(quantile_cont(s, 0.25), 6) AS norm_p25, round(quantile_cont(s, 0.5), 6) AS norm_p50, round(quantile_cont(s, 0.75), 6) AS norm_p75 FROM (SELECT *, sqrt(list_dot_product(v, v)) AS s FROM records WHERE v IS NOT NULL)")
@@ -37,25 +37,51 @@ def _(t: Tables) -> DataFrame:
     return out.select(*(_r(c) if c.startswith("norm_") else F.col(c) for c in out.columns))
 
 
-@query("a12_length_report", f"""WITH {RECORDS}, l AS (SELECT length(text) AS n, CASE WHEN source = '' THEN '__sin_fuente__' ELSE source END AS s, document_id AS d FROM records), per AS (SELECT count(*) AS c FROM l GROUP BY d)
-SELECT round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, count(*) FILTER (n < 10) AS below_10, count(*) FILTER (n < 50) AS below_50, count(*) FILTER (n > 2000) AS above_2000,
-    count(*) FILTER (n > 3000) AS above_3000, count(DISTINCT s) AS n_sources, count(DISTINCT d) AS n_documents, (SELECT round(avg(c), 6) FROM per) AS per_document_mean, (SELECT quantile_cont(c, 0.5) FROM per) AS per_document_median, (SELECT max(c) FROM per) AS per_document_max FROM l""")
+_LENGTHS = "l AS (SELECT length(text) AS n, trim(text) = '' AS blank, coalesce(nullif(source, ''), '__sin_fuente__') AS s, coalesce(nullif(document_id, ''), '__sin_documento__') AS d FROM records), per AS (SELECT count(*) AS c FROM l GROUP BY d)"
+_LENGTH_ROW = f"""SELECT count(*) AS n_records, min(n)::INT AS length_min, round(avg(n), 6) AS length_mean, max(n)::INT AS length_max, {", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90, 95, 99))},
+    count(*) FILTER (n < 10) AS below_10, count(*) FILTER (n < 50) AS below_50, count(*) FILTER (n > 2000) AS above_2000, count(*) FILTER (n > 3000) AS above_3000, count(*) FILTER (blank) AS empty, count(DISTINCT s) AS n_sources, count(DISTINCT d) AS n_documents,
+    (SELECT round(avg(c), 6) FROM per) AS per_document_mean, (SELECT quantile_cont(c, 0.5) FROM per) AS per_document_median, (SELECT max(c) FROM per) AS per_document_max FROM l"""
+
+
+@query("a12_length_report", f"WITH {RECORDS}, {_LENGTHS} {_LENGTH_ROW}")
 def _(t: Tables) -> DataFrame:
     out = E.length_report(records(t))
-    return out.select(*(_r(c) if c.startswith("p") and c not in ("per_document_median", "per_document_max") else F.col(c) for c in out.columns))
+    return out.select(*(_r(c) if c.startswith("p") and c not in ("per_document_median", "per_document_max") or c == "length_mean" else F.col(c) for c in out.columns))
 
 
-@query("a13_category_report", f"WITH {RECORDS} SELECT category, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT document_id) AS n_documents, round(avg(length(text)), 6) AS mean_length, round(100.0 * count(*) / (SELECT count(*) FROM records), 6) AS share FROM records GROUP BY category")
+@query("a12_length_flags", f"WITH {RECORDS} SELECT pos, length(text)::INT AS length, trim(text) = '' AS empty, length(trim(text, chr(10) || ' ')) < 10 AS short_10, length(trim(text, chr(10) || ' ')) < 50 AS short_50, length(text) > 2000 AS long_2000, length(text) > 3000 AS long_3000, source, document_id, category FROM records")
+def _(t: Tables) -> DataFrame:
+    rows = records(t)
+    # ids repeat among these records, so their places stand for them
+    return E.length_flags(rows.withColumn("id", F.col("pos"))).withColumnRenamed("id", "pos")
+
+
+@query("a12_chunks_by", f"WITH {RECORDS} SELECT 'source' AS kind, coalesce(nullif(source, ''), '__sin_fuente__') AS name, count(*) AS n FROM records GROUP BY ALL UNION ALL SELECT 'category', coalesce(nullif(category, ''), '__sin_categoria__'), count(*) FROM records GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return E.chunks_by(records(t))
+
+
+_BY_CATEGORY = "by_category AS (SELECT coalesce(nullif(category, ''), '__sin_categoria__') AS category, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT document_id) AS n_documents, round(avg(length(text)), 6) AS mean_length, round(100.0 * count(*) / (SELECT count(*) FROM records), 6) AS share FROM records GROUP BY 1)"
+
+
+@query("a13_category_report", f"WITH {RECORDS}, {_BY_CATEGORY} SELECT * FROM by_category")
 def _(t: Tables) -> DataFrame:
     out = E.category_report(records(t))
     return out.select("category", "n", "n_sources", "n_documents", _r("mean_length"), _r("share"))
 
 
-@query("a14_metadata_report", f"WITH {RECORDS}, k AS (SELECT unnest(['lang', 'k']) AS name FROM records WHERE has_metadata), g AS (SELECT unnest(tags) AS name, pos, unnest(range(0, len(tags))) AS p FROM records), top AS (SELECT name, count(*) AS n, min(pos * 100 + p) AS f FROM g GROUP BY name ORDER BY n DESC, f LIMIT 3) SELECT 'key' AS kind, name, count(*) AS n FROM k GROUP BY name UNION ALL SELECT 'tag', name, n FROM top")
+_NAMES = """k AS (SELECT unnest(['lang', 'k']) AS name FROM records WHERE has_metadata), g AS (SELECT unnest(tags) AS name, pos, unnest(range(0, len(tags))) AS p FROM records), top AS (SELECT name, count(*) AS n, min(pos * 100 + p) AS f FROM g GROUP BY name ORDER BY n DESC, f LIMIT 3)"""
+_WITHOUT = " UNION ALL ".join(f"SELECT 'without' AS kind, 'without_{c}' AS name, count(*) FILTER (coalesce({c}, '') = '') AS n FROM records" for c in ("category", "source", "document_id"))
+
+
+@query("a14_metadata_report", f"WITH {RECORDS}, {_NAMES} SELECT 'key' AS kind, name, count(*) AS n FROM k GROUP BY name UNION ALL SELECT 'tag', name, count(*) FROM g GROUP BY name UNION ALL SELECT 'top', name, n FROM top UNION ALL {_WITHOUT}")
 def _(t: Tables) -> DataFrame:
     rows = records(t)
-    keys = E.metadata_keys(rows.where("metadata IS NOT NULL")).select(F.lit("key").alias("kind"), F.col("key").alias("name"), "n")
-    return keys.unionByName(E.top_tags_first_seen(rows).select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), "n"))
+    named = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col("n"))
+    keys = named(E.metadata_keys(rows.where("metadata IS NOT NULL")), "key", "key")
+    missing = E.records_without(rows)
+    missing = missing.select(F.lit("without").alias("kind"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in missing.columns))))
+    return keys.unionByName(named(E.tag_counts(rows), "tag", "tag")).unionByName(named(E.top_tags_first_seen(rows), "top", "tag")).unionByName(missing)
 
 
 @query("a15_neighbor_summary", f"WITH {VECTORS}, {PAIRS.format(of='vectors')}, n AS (SELECT a, max(sim) AS sim FROM pairs GROUP BY a) SELECT round(avg(sim), 6) AS mean, round(min(sim), 6) AS min, round(max(sim), 6) AS max, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.95), 6) AS p95, round(quantile_cont(sim, 0.99), 6) AS p99, count(*) FILTER (sim >= 0.35) AS n_duplicates, round(100.0 * count(*) FILTER (sim >= 0.35) / count(*), 6) AS pct_duplicates FROM n")
@@ -71,47 +97,52 @@ def _(t: Tables) -> DataFrame:
     return E.chunk_coherence(rows).select("document_id", _r("adjacent"), _r("others"))
 
 
-def _cases(t: Tables) -> DataFrame:
-    """A case for every 25th vector: relevant are the others of its label whose id has the same rest by 10, graded 1 or 2."""
+def _cases(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A case for every 25th vector. Relevant are all others of its label, a third of a table's rows as it may be: cases with an even id grade them 1 or 2, the others only list them."""
     rows = vectors(t)
     asked = rows.where(F.col("pos") % 25 == 0).select(F.col("pos").alias("case_id"), "label", "embedding")
-    other = rows.select(F.col("pos").alias("id"), "label")
-    pairs = asked.join(other, "label").where((F.col("id") != F.col("case_id")) & (F.col("id") % 10 == F.col("case_id") % 10))
-    graded = pairs.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("id", (1 + F.col("id") % 20 / 10).cast("int").cast("double").alias("g")))).alias("relevance"))
-    return asked.join(graded, "case_id").select("case_id", "embedding", "relevance")
+    pairs = asked.select("case_id", "label").join(rows.select(F.col("pos").alias("id"), "label"), "label").where("id <> case_id")
+    graded = F.col("case_id") % 2 == 0
+    relevance = pairs.select("case_id", "id", (~graded).alias("listed"), F.when(graded, (1 + F.col("id") % 20 / 10).cast("int").cast("double")).alias("gain"))
+    return asked.select("case_id", "embedding"), relevance
 
 
-_METRICS = f"""{VECTORS}, rel AS (SELECT q.pos AS case_id, x.pos AS id, (1 + x.pos % 20 // 10)::DOUBLE AS g FROM vectors q JOIN vectors x ON q.label = x.label AND x.pos <> q.pos AND x.pos % 10 = q.pos % 10 WHERE q.pos % 25 = 0),
+_METRICS = f"""{VECTORS}, rel AS (SELECT q.pos AS case_id, x.pos AS id, CASE WHEN q.pos % 2 = 0 THEN (1 + x.pos % 20 // 10)::DOUBLE ELSE 1.0::DOUBLE END AS g FROM vectors q JOIN vectors x ON q.label = x.label AND x.pos <> q.pos WHERE q.pos % 25 = 0),
 ranked AS (SELECT q.pos AS case_id, x.pos AS id, round(list_cosine_similarity(q.v, x.v), 12) AS s, row_number() OVER (PARTITION BY q.pos ORDER BY round(list_cosine_similarity(q.v, x.v), 12) DESC, x.pos) AS rank FROM vectors q JOIN vectors x ON q.pos % 25 = 0),
-j AS (SELECT r.*, rel.g FROM ranked r LEFT JOIN rel USING (case_id, id) WHERE r.case_id IN (SELECT case_id FROM rel)),
+j AS (SELECT r.*, rel.g FROM ranked r LEFT JOIN rel USING (case_id, id)),
 ideal AS (SELECT case_id, g, row_number() OVER (PARTITION BY case_id ORDER BY g DESC) AS n FROM rel), n AS (SELECT case_id, count(*) AS n FROM rel GROUP BY case_id),
-m AS (SELECT case_id, any_value(n.n) AS n, 1.0::DOUBLE / min(rank) FILTER (g IS NOT NULL) AS rr, {", ".join(f"count(g) FILTER (rank <= {k}) AS hits_{k}, sum(coalesce(g, 0) / log2(rank + 1)) FILTER (rank <= {k}) AS dcg_{k}, max(s) FILTER (rank <= {k}) AS top_score_{k}" for k in _KS)} FROM j JOIN n USING (case_id) GROUP BY case_id),
+m AS (SELECT case_id, any_value(n.n) AS n, 1.0::DOUBLE / min(rank) FILTER (g IS NOT NULL) AS rr, string_agg(id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= {max(_KS)}) AS top_ids, {", ".join(f"count(g) FILTER (rank <= {k}) AS hits_{k}, sum(coalesce(g, 0) / log2(rank + 1)) FILTER (rank <= {k}) AS dcg_{k}, max(s) FILTER (rank <= {k}) AS top_score_{k}" for k in _KS)} FROM j LEFT JOIN n USING (case_id) GROUP BY case_id),
 i AS (SELECT case_id, {", ".join(f"sum(g / log2(n + 1)) FILTER (n <= {k}) AS ideal_{k}" for k in _KS)} FROM ideal GROUP BY case_id),
-metrics AS (SELECT case_id, n, rr, {", ".join(f"hits_{k}, hits_{k} / n AS recall_{k}, hits_{k} / {k} AS precision_{k}, dcg_{k} / ideal_{k} AS ndcg_{k}, top_score_{k}" for k in _KS)} FROM m JOIN i USING (case_id))"""
+metrics AS (SELECT case_id, coalesce(n, 0) AS n, coalesce(rr, 0) AS rr, top_ids, {", ".join(f"hits_{k}, coalesce(hits_{k} / n, 0) AS recall_{k}, hits_{k} / {k} AS precision_{k}, coalesce(dcg_{k} / ideal_{k}, 0) AS ndcg_{k}, top_score_{k}" for k in _KS)} FROM m LEFT JOIN i USING (case_id))"""
 
 
-@query("v10_evaluate_retrieval", f"WITH {_METRICS} SELECT case_id, n, round(rr, 6) AS rr, {', '.join(f'hits_{k}, round(recall_{k}, 6) AS recall_{k}, round(precision_{k}, 6) AS precision_{k}, round(ndcg_{k}, 6) AS ndcg_{k}, round(top_score_{k}, 6) AS top_score_{k}' for k in _KS)} FROM metrics")
+def _evaluated(t: Tables, ks: tuple[int, ...] = _KS) -> DataFrame:
+    cases, relevance = _cases(t)
+    return E.evaluate_retrieval(cases, relevance, vectors(t), ks)
+
+
+@query("v10_evaluate_retrieval", f"WITH {_METRICS} SELECT case_id, n, round(rr, 6) AS rr, top_ids, {', '.join(f'hits_{k}, round(recall_{k}, 6) AS recall_{k}, round(precision_{k}, 6) AS precision_{k}, round(ndcg_{k}, 6) AS ndcg_{k}, round(top_score_{k}, 6) AS top_score_{k}' for k in _KS)} FROM metrics")
 def _(t: Tables) -> DataFrame:
-    out = E.evaluate_retrieval(_cases(t), vectors(t), _KS)
-    return out.select(*(F.col(c).cast("long").alias(c) if c in ("case_id", "n") or c.startswith("hits") else _r(c) for c in out.columns))
+    out = _evaluated(t).withColumn("top_ids", F.array_join(F.col("top_ids").cast("array<string>"), ","))
+    return out.select(*(F.col(c).cast("long").alias(c) if c in ("case_id", "n") or c.startswith("hits") else F.col(c) if c == "top_ids" else _r(c) for c in out.columns))
 
 
 @query("a16_retrieval_summary", f"WITH {_METRICS} SELECT count(*) AS queries, {', '.join(f'round(avg({m}_{k}), 6) AS mean_{m}_{k}' for m in ('recall', 'precision', 'ndcg') for k in _KS)}, round(avg(rr), 6) AS mrr, count(*) FILTER (hits_1 > 0) AS queries_with_hit_1 FROM metrics")
 def _(t: Tables) -> DataFrame:
-    out = E.retrieval_summary(E.evaluate_retrieval(_cases(t), vectors(t), _KS), _KS)
+    out = E.retrieval_summary(_evaluated(t), _KS)
     return out.select(*(F.col(c) if c.startswith("queries") else _r(c) for c in out.columns))
 
 
 @query("x3_intersection_count", f"WITH {_METRICS} SELECT case_id, hits_5 AS hits FROM metrics")
 def _(t: Tables) -> DataFrame:
-    return E.evaluate_retrieval(_cases(t), vectors(t), (5,)).select("case_id", F.col("hits_5").cast("long").alias("hits"))
+    return _evaluated(t, (5,)).select("case_id", F.col("hits_5").cast("long").alias("hits"))
 
 
 @query("j8_relevance_join", f"WITH {_METRICS} SELECT case_id, id, rank, coalesce(g, 0) AS gain FROM j WHERE rank <= 5")
 def _(t: Tables) -> DataFrame:
-    cases = _cases(t)
-    hits = retrieve(cases.select("case_id", "embedding"), vectors(t), 5, "case_id")
-    graded = cases.select("case_id", F.explode("relevance").alias("pos", "gain"))
+    cases, relevance = _cases(t)
+    hits = retrieve(cases, vectors(t), 5, "case_id")
+    graded = relevance.select("case_id", F.col("id").alias("pos"), F.coalesce("gain", F.lit(1.0)).alias("gain"))
     out = hits.join(graded, ["case_id", "pos"], "left")
     return out.select("case_id", F.col("pos").alias("id"), F.col("rank").cast("long").alias("rank"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
@@ -174,10 +205,24 @@ def _(t: Tables) -> DataFrame:
     return _job(t, F.lit("no_chunk")).select("id", "source", "doc_id", "doc_category", "semantic_score")
 
 
-@query("p2_run_quality_report", f"""WITH {RECORDS.replace('CASE WHEN pos % 17 > 0 THEN v END AS v', 'v')}, l AS (SELECT length(text) AS n FROM records), {PAIRS.format(of='records')}, n AS (SELECT a, max(sim) AS sim FROM pairs GROUP BY a)
-SELECT 'vectors' AS section, 'n' AS metric, count(*)::DOUBLE AS value FROM records UNION ALL SELECT 'lengths', 'p50', quantile_cont(n, 0.5) FROM l UNION ALL SELECT 'lengths', 'below_50', count(*) FILTER (n < 50) FROM l
-UNION ALL SELECT 'neighbors', 'mean', round(avg(sim), 6) FROM n UNION ALL SELECT 'neighbors', 'n_duplicates', count(*) FILTER (sim >= 0.35) FROM n""")
+_EVERY = RECORDS.replace("CASE WHEN pos % 17 > 0 THEN v END AS v", "v")
+_PIVOTED = lambda of, section: f"SELECT '{section}' AS section, name AS metric, value::DOUBLE AS value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM {of}) ON COLUMNS(*) INTO NAME name VALUE value)"
+
+
+@query("p2_run_quality_report", f"""WITH {_EVERY}, {_METRICS.replace(VECTORS + ',', 'vectors AS (SELECT pos, embedding::DOUBLE[] AS v, label FROM embeddings JOIN (SELECT pos FROM records) ON pos = vec_id),')}, {_LENGTHS}, lengths AS ({_LENGTH_ROW}), {_NAMES}, {_BY_CATEGORY}, {PAIRS.format(of='records')}, nearest AS (SELECT a, max(sim) AS sim FROM pairs GROUP BY a),
+norms AS (SELECT sqrt(list_dot_product(v, v)) AS s FROM records), checked AS (SELECT count(*) AS n, count(*) AS n_valid, 0 AS n_missing, max(len(v)) AS dim, 0 AS n_bad, 0 AS n_zero, count(*) FILTER (NOT has_metadata) AS n_no_metadata, count(*) FILTER (source = '') AS n_no_source, count(*) FILTER (trim(text) = '') AS n_no_text, (SELECT min(s) FROM norms) AS norm_min, (SELECT avg(s) FROM norms) AS norm_mean, (SELECT max(s) FROM norms) AS norm_max,
+    (SELECT count(*) FROM (SELECT id FROM records GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids, (SELECT quantile_cont(s, 0.25) FROM norms) AS norm_p25, (SELECT quantile_cont(s, 0.5) FROM norms) AS norm_p50, (SELECT quantile_cont(s, 0.75) FROM norms) AS norm_p75 FROM records),
+near AS (SELECT avg(sim) AS mean, min(sim) AS min, max(sim) AS max, count(*) FILTER (sim >= 0.35) AS n_duplicates, 100.0 * count(*) FILTER (sim >= 0.35) / count(*) AS pct_duplicates, quantile_cont(sim, 0.5) AS p50, quantile_cont(sim, 0.9) AS p90, quantile_cont(sim, 0.95) AS p95, quantile_cont(sim, 0.99) AS p99 FROM nearest),
+found AS (SELECT count(*) AS queries, {', '.join(f'avg({m}_{k}) AS mean_{m}_{k}' for m in ('recall', 'precision', 'ndcg') for k in _KS)}, avg(rr) AS mrr, count(*) FILTER (hits_1 > 0) AS queries_with_hit_1 FROM metrics),
+out AS ({' UNION ALL '.join(_PIVOTED(of, section) for of, section in (('checked', 'vectors'), ('lengths', 'lengths'), ('near', 'neighbors'), ('found', 'retrieval')))} UNION ALL SELECT 'metadata', name, n FROM ({_WITHOUT}) UNION ALL SELECT 'metadata_keys', name || '.n', count(*) FROM k GROUP BY name UNION ALL SELECT 'tags', name || '.n', count(*) FROM g GROUP BY name
+    UNION ALL {' UNION ALL '.join(f"SELECT 'categories', category || '.{c}', {c} FROM by_category" for c in ('n', 'n_sources', 'n_documents', 'mean_length', 'share'))})
+SELECT section, metric, round(value, 5) AS value FROM out""")
 def _(t: Tables) -> DataFrame:
+    """All sections of the report, retrieval over the vectors of the records."""
     rows = records(t).drop("embedding").join(vectors(t).select("pos", "embedding"), "pos")
-    out = run_quality_report(rows, 0.35).where("concat(section, '.', metric) IN ('vectors.n', 'lengths.p50', 'lengths.below_50', 'neighbors.mean', 'neighbors.n_duplicates')")
-    return out.withColumn("value", F.round("value", 6))
+    cases, relevance = _cases(t)
+    known = rows.select("pos")
+    cases = cases.join(known.withColumnRenamed("pos", "case_id"), "case_id", "left_semi")
+    relevance = relevance.join(known.withColumnRenamed("pos", "id"), "id", "left_semi")
+    out = run_quality_report(rows, 0.35, cases, relevance.join(cases.select("case_id"), "case_id", "left_semi"), _KS)
+    return out.withColumn("value", F.round("value", 5))

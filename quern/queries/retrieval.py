@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quern.functions.text import ABSTENTION
+from quern.functions.text import ABSTENTION, eval_prompt
 from quern.operators import retrieval as R
 from quern.queries.base import CHUNKS, VECTORS, Tables, chunks, query, vectors
 
@@ -81,7 +81,7 @@ _GRID = " UNION ALL ".join(f"SELECT {k} AS top_k, * FROM ({_batch(k)})" for k in
 
 
 def _grid(t: Tables) -> DataFrame:
-    questions = _questions(t).withColumns({"fuente_esperada": F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")), "out_of_corpus": F.col("query_id") % 2 == 1})
+    questions = _questions(t).withColumns({"fuente_esperada": F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")), "out_of_corpus": F.col("query_id") % 2 == 1, "categoria_esperada": F.concat(F.lit("c"), (F.col("query_id") % 3).cast("string"))})
     return R.rag_grid_report(questions, chunks(t), (1, 3, 5))
 
 
@@ -90,14 +90,44 @@ def _(t: Tables) -> DataFrame:
     return _grid(t).select("top_k", "query_id", "error", "abstained", F.col("n_chunks").cast("long").alias("n_chunks"), F.array_join("sources", ",").alias("sources"), "source_hit", "right_abstention")
 
 
-@query("a17_rag_grid_rates", f"WITH {CHUNKS}, {_ASKED}, b AS ({_GRID}) SELECT top_k, count(*) AS n, sum(CASE WHEN list_contains(string_split(sources, ','), 'src' || (query_id % 20)) THEN 1 ELSE 0 END)::BIGINT AS hits, count(*) FILTER (abstained) AS abstained FROM b GROUP BY ROLLUP (top_k)")
+_RATES = """SELECT top_k, categoria, grouping_id(top_k, categoria)::INT AS level, count(*) AS n, count(error) AS errors, count(*) FILTER (abstained) AS abstained, round(avg(n_chunks), 6) AS mean_chunks,
+    round(count(*) FILTER (hit AND query_id % 2 = 0) / nullif(count(*) FILTER (query_id % 2 = 0), 0), 6) AS source_hit_rate, round(count(*) FILTER (abstained AND query_id % 2 = 1) / nullif(count(*) FILTER (query_id % 2 = 1), 0), 6) AS right_abstention_rate"""
+
+
+@query("a17_rag_grid_rates", f"WITH {CHUNKS}, {_ASKED}, b AS (SELECT *, list_contains(string_split(sources, ','), 'src' || (query_id % 20)) AS hit, 'c' || (query_id % 3) AS categoria FROM ({_GRID})) {_RATES} FROM b GROUP BY GROUPING SETS ((top_k, categoria), (top_k), ())")
+def _(t: Tables) -> DataFrame:
+    out = R.rag_rates(_grid(t))
+    return out.select("top_k", "categoria", "level", "n", "errors", "abstained", *(F.round(c, 6).alias(c) for c in ("mean_chunks", "source_hit_rate", "right_abstention_rate")))
+
+
+@query("v8_hits_with_metadata", f"WITH {CHUNKS}, ranked AS (SELECT q.pos AS query_id, x.pos, x.source, x.page_content AS text, x.doc_category, x.entity_key, row_number() OVER (PARTITION BY q.pos ORDER BY list_cosine_similarity(q.v, x.v) DESC, x.pos) AS rank FROM chunks q JOIN chunks x ON q.pos % {_ASKS} = 0) SELECT query_id, rank, pos, source, text, doc_category, entity_key FROM ranked WHERE rank <= 3")
+def _(t: Tables) -> DataFrame:
+    rows = chunks(t)
+    asked = rows.where(F.col("pos") % _ASKS == 0).select(F.col("pos").alias("query_id"), "embedding")
+    hits = R.with_content(R.retrieve(asked, rows, 3), rows)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "pos", "source", "text", "metadata.doc_category", "metadata.entity_key")
+
+
+_EVAL = "Tipo {question_type}. ID: {chunk_id}\n{context}\n\nCandidatos:\n{candidates}"
+
+
+@query("t12_eval_prompt", rf"""WITH {CHUNKS}, near AS (SELECT q.pos AS seed, x.pos, x.page_content AS text, round(list_cosine_similarity(q.v, x.v), 4) AS s, row_number() OVER (PARTITION BY q.pos ORDER BY list_cosine_similarity(q.v, x.v) DESC, x.pos) AS rank FROM chunks q JOIN chunks x ON q.pos % {_ASKS} = 0 AND x.pos <> q.pos),
+others AS (SELECT seed, string_agg('ID: ' || pos || ' | cosine: ' || printf('%.4f', s) || chr(10) || substring(text, 1, 2500), chr(10) || chr(10) ORDER BY rank) AS c FROM near WHERE rank <= 2 GROUP BY seed)
+SELECT pos, 'Tipo factual. ID: ' || pos || chr(10) || substring(page_content, 1, 5000) || chr(10) || chr(10) || 'Candidatos:' || chr(10) || c AS prompt FROM chunks JOIN others ON seed = pos""")
 def _(t: Tables) -> DataFrame:
-    return _grid(t).rollup("top_k").agg(F.count("*").alias("n"), F.count_if("source_hit").alias("hits"), F.count_if("abstained").alias("abstained"))
+    rows = chunks(t)
+    seeds = rows.where(F.col("pos") % _ASKS == 0)
+    near = R.with_content(R.seed_neighbors(seeds, rows, 2), rows)
+    # rounded here, since two engines sum a cosine in different orders
+    listed = near.groupBy(F.col("seed").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("pos").alias("id"), F.round(1 - F.col("distance"), 4).alias("score"), "text"))).alias("near"))
+    prompt = eval_prompt(_EVAL, F.col("pos"), F.col("page_content"), F.lit("factual"), F.col("near"))
+    return seeds.join(listed, "pos").select("pos", prompt.alias("prompt"))
 
 
-@query("o3_query_log", f"""WITH {CHUNKS}, {_ASKED}, b AS ({_batch(3)}) SELECT query_id, '{{"question":"' || question || '","top_k":3,"n_chunks":' || n_chunks || ',"model":"m","abstained":' || abstained || '}}' AS line FROM b""")
+@query("o3_query_log", f"""WITH {CHUNKS}, {_ASKED}, b AS ({_batch(3)}) SELECT query_id, '{{"pregunta":"' || question || '","top_k":3,"n_chunks":' || n_chunks || ',"modelo":"m","abstained":' || abstained || ',"t_retrieval":' || (query_id % 4) || '.5}}' AS line FROM b""")
 def _(t: Tables) -> DataFrame:
-    return R.query_log(R.rag_batch(_questions(t), chunks(t), 3).withColumn("top_k", F.lit(3)), "m")
+    timed = R.rag_batch(_questions(t), chunks(t), 3).withColumns({"top_k": F.lit(3), "retrieval": F.col("query_id") % 4 + 0.5})
+    return R.query_log(timed, "m", ("retrieval",))
 
 
 @query("j2_attach_vectors", f"WITH {CHUNKS} SELECT pos, page_content, round(v[1], 6) AS first FROM chunks")

@@ -99,22 +99,36 @@ def _(t: Tables) -> DataFrame:
 # ---- files and sinks: data of the tables written out and read back ------------------------------------------------------------
 
 
+#: Names with a line end, which is then quoted, or with a separator of lines that doesn't end any.
+_NAME = "CASE WHEN s_suppkey % 3 = 0 THEN trim(s_name) || chr(10) || 'x' WHEN s_suppkey % 5 = 0 THEN trim(s_name) || chr(8232) || 'y' ELSE trim(s_name) END"
+
+
 def _written(t: Tables) -> str:
     """A folder with the suppliers as delimited files, as many as Spark has partitions of them."""
     path = materialize(t.supplier.select("s_suppkey"), "suppliers").inputFiles()[0].rsplit("/", 1)[0] + "-csv"
-    rows = t.supplier.select(F.col("s_suppkey").alias("Clave"), F.concat(F.lit(" "), "s_name").alias("NOMBRE "), F.col("s_nationkey").alias("Nación"))
+    key, name = F.col("s_suppkey"), F.trim("s_name")
+    named = F.when(key % 3 == 0, F.concat(name, F.lit("\nx"))).when(key % 5 == 0, F.concat(name, F.lit("\u2028y"))).otherwise(name)
+    rows = t.supplier.select(key.alias("Clave"), F.concat(F.lit(" "), named).alias("NOMBRE "), F.col("s_nationkey").alias("Nación"))
     rows.write.csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
-@query("s6_read_delimited", "SELECT s_suppkey::VARCHAR AS clave, trim(s_name) AS nombre, s_nationkey::VARCHAR AS nacion FROM supplier")
-def _(t: Tables) -> DataFrame:
-    rows = files.read_delimited(files.scan_files(t.spark, _written(t))[0])
+def _named(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col("cells")[k].alias(name) for k, name in (("clave", "clave"), ("nombre", "nombre"), ("nación", "nacion"))))
 
 
-@query("load_files", """
-SELECT 'clave: ' || s_suppkey || ' | nombre: ' || trim(s_name) || ' | nación: ' || s_nationkey AS content, 'unknown_csv' AS kind, 'exact_only' AS policy FROM supplier""")
+@query("s6_read_delimited", f"SELECT s_suppkey::VARCHAR AS clave, {_NAME} AS nombre, s_nationkey::VARCHAR AS nacion FROM supplier")
+def _(t: Tables) -> DataFrame:
+    return _named(files.read_delimited(files.scan_files(t.spark, _written(t))[0]))
+
+
+@query("s6_read_delimited_folder", f"SELECT s_suppkey::VARCHAR AS clave, {_NAME} AS nombre, s_nationkey::VARCHAR AS nacion FROM supplier")
+def _(t: Tables) -> DataFrame:
+    return _named(files.read_delimited_folder(t.spark, _written(t)))
+
+
+@query("load_files", rf"""
+SELECT 'clave: ' || s_suppkey || ' | nombre: ' || regexp_replace({_NAME}, '[\n\x{{2028}}]', ' ') || ' | nación: ' || s_nationkey AS content, 'unknown_csv' AS kind, 'exact_only' AS policy FROM supplier""")
 def _(t: Tables) -> DataFrame:
     out = load_files(t.spark, _written(t))
     return out.select(F.col("page_content").alias("content"), F.col("csv_kind").alias("kind"), F.col("dedup_policy").alias("policy"))

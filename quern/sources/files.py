@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-from collections import Counter
-from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions.text import sanitize
+from quern.sources.delimited_text import file_chunks, folder_chunks, parsed, records, sniff_delimiter
 from quern.sources.tables import materialize, with_global_index
 
 EXTENSIONS = (".pdf", ".txt", ".md", ".csv")
@@ -59,20 +58,8 @@ def read_plain_text(files: DataFrame) -> DataFrame:
     return text.where(~is_tabular(F.col("page_content"))).select("path", "source", "file_hash", "page_content")
 
 
-def sniff_delimiter(text: str) -> str:
-    """The delimiter that cuts the first five lines that aren't blank into one number of fields above 1; of several the one with most fields, of equals the later."""
-    lines = [line for line in text.splitlines() if line.strip()][:5]
-    best, most = ";", 1
-    for delimiter in (";", ",", "\t"):
-        widths = Counter(len(r) for r in csv.reader(lines, delimiter=delimiter))
-        width = next(iter(widths), 0)
-        if len(widths) == 1 and width > 1 and width >= most:
-            best, most = delimiter, width
-    return best
-
-
 def _is_table(text: str | None) -> bool:
-    rows = list(csv.reader((text or "").splitlines()[: TABLE_ROWS + 1], delimiter=sniff_delimiter(text or "")))
+    rows = list(islice(parsed(text or "", sniff_delimiter(text or "")), TABLE_ROWS + 1))
     return len(rows) > TABLE_ROWS and len(rows[0]) >= TABLE_COLUMNS
 
 
@@ -84,27 +71,14 @@ def is_tabular(text: Column) -> Column:
     return check(F.substring_index(text, "\n", HEAD_LINES))
 
 
-def column_name(raw: str) -> str:
-    return raw.split(",")[0].strip().lower().replace("§", "º")
+def read_delimited(files: DataFrame) -> DataFrame:
+    """(source, file_hash, row, header, cells) for each row of delimited files(source, file_hash, content): cells is a map of normalised header to trimmed text, in the header's order; the header itself is with row 0. Of equal headers the last counts, missing cells are empty, a longer row has its first extra cell under 'col'. A file is parsed in chunks, in as many tasks."""
+    return records(file_chunks(files), ["source", "file_hash"])
 
 
-def read_delimited(files: DataFrame) -> DataFrame:
-    """(source, file_hash, row, header, cells) for each row of delimited files: cells is a map of normalised header to trimmed text, in the header's order; the header itself is with row 0. Of equal headers the last counts, missing cells are empty, a longer row has its first extra cell under 'col'. One file is read by one task, since quoted cells may hold line ends."""
-    text = files.select("source", "file_hash", decode_text(F.col("content")).alias("text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for source, digest, text in frame.itertuples(index=False):
-                rows = csv.reader((text or "").splitlines(keepends=True), delimiter=sniff_delimiter(text or ""))
-                header = [column_name(c) for c in next(rows, [])]
-                out = []
-                for cells in rows:
-                    if cells:
-                        padded = [c.strip() for c in cells] + [""] * (len(header) - len(cells))
-                        out.append(dict(zip([*header, "col"], padded, strict=False)))
-                yield pd.DataFrame({"source": source, "file_hash": digest, "row": range(len(out)), "header": pd.Series([header, *[None] * (len(out) - 1)][: len(out)], dtype=object), "cells": pd.Series(out, dtype=object)})
-
-    return text.mapInPandas(run, "source string, file_hash string, row int, header array<string>, cells map<string,string>")
+def read_delimited_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, header, cells) for each row of the .csv files under a folder, as read_delimited() has them, without a file being whole anywhere."""
+    return records(folder_chunks(spark, path), ["path"])
 
 
 def cells_table(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -86,7 +86,7 @@ def _value(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["t1_clean_text", "t11_normalize_verdict", "g2_chunk_routing", "c6_grouped_docs", "s6_read_delimited", "v6_greedy_semantic_dedup", "v7_deduplicate", "v10_evaluate_retrieval", "p1_corpus_job_whole", "j5_similarity_join", "o2_rag_batch", "a1_chunk_length_stats", "w4_question_types", "flagship"])
+@pytest.mark.parametrize("name", ["t1_clean_text", "t11_normalize_verdict", "g2_chunk_routing", "c6_grouped_docs", "s6_read_delimited", "s6_read_delimited_folder", "load_files", "v6_greedy_semantic_dedup", "v7_deduplicate", "v10_evaluate_retrieval", "p1_corpus_job_whole", "j5_similarity_join", "o2_rag_batch", "a1_chunk_length_stats", "w4_question_types", "flagship"])
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):

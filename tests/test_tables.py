@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import delimited as D
 from quern.operators.sampling import balanced_sample, parse_question_array
-from quern.sources import files
+from quern.sources import delimited_text, files
 from quern.sources.tables import with_global_index
 
 
@@ -33,6 +33,49 @@ def test_read_delimited(spark, tmp_path):
     assert rows[0] == {"id": "2", "nombre": "a"} and rows[1] == {"id": "", "nombre": "b"} and rows[2] == {"id": "5", "nombre": "c", "col": "6"}
 
 
+def plain_rows(text):
+    import csv
+    import io
+
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimited_text.sniff_delimiter(text))
+    names = [delimited_text.column_name(c) for c in next(rows, [])]
+    return [dict(zip([*names, "col"], [c.strip() for c in cells] + [""] * (len(names) - len(cells)), strict=False)) for cells in rows if cells]
+
+
+TRICKY = 'k;text;k2\r\n' + "".join(f'{i};"line {i}\nnext ""quoted"" \r\n; end";x{i}\r\n' if i % 3 else f'{i};a "b" c\u2028d\x0be;"y"z\n' for i in range(400)) + '\n\n"open;1;2\nstill open\n'
+
+
+@pytest.mark.parametrize("size", [1, 40, 700, 1 << 20])
+def test_chunks_of_delimited_files(spark, size):
+    """Chunk edges inside quoted line ends, other line separators inside cells, blank lines, an open quote at the end."""
+    texts = {"a.csv": TRICKY, "b.csv": "p,q\n1,2\n", "c.csv": "", "d.csv": "only;header\n", "e.csv": "\n;\n1;2\n", "f.csv": 'm;n\r1;"2\r3"\r4;5'}
+    rows = [(name, "h" + name, text.encode()) for name, text in texts.items()] + [("g.csv", "hg", "añ;b\n1;ü\n".encode("cp1252")), ("h.csv", "hh", b"\xef\xbb\xbfid;x\n7;8\n")]
+    found = spark.createDataFrame(rows, "source string, file_hash string, content binary")
+    out = delimited_text.records(delimited_text.file_chunks(found, size), ["source", "file_hash"]).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.source, r.row)):
+        got.setdefault(r.source, []).append(r.cells)
+        assert r.row == len(got[r.source]) - 1 and (r.header is not None) == (r.row == 0)
+    expected = {name: plain_rows(text) for name, text in texts.items()} | {"g.csv": [{"añ": "1", "b": "ü"}], "h.csv": [{"id": "7", "x": "8"}]}
+    assert got == {name: rows for name, rows in expected.items() if rows}
+
+
+def test_folder_of_delimited_files_in_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path, "in/big.csv", TRICKY)
+    write(tmp_path, "in/x.CSV", "p,q\n1,2\n3,4\n")
+    write(tmp_path, "in/no.txt", "p,q\n1,2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        out = delimited_text.records(delimited_text.folder_chunks(spark, f"{tmp_path}/in", 300), ["path"])
+        rows = sorted((r.path.rsplit("/", 1)[1], r.row, tuple(r.cells.items())) for r in out.collect())
+        assert spark.read.text(f"{tmp_path}/in/big.csv", lineSep="\n").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = [("big.csv", n, tuple(c.items())) for n, c in enumerate(plain_rows(TRICKY))] + [("x.CSV", n, tuple(c.items())) for n, c in enumerate(plain_rows("p,q\n1,2\n3,4\n"))]
+    assert rows == sorted(expected)
+
+
 def test_tabular_text(spark):
     rows = [("a;b\n" * 60,), ("a;b\n" * 20,), ("prose\n" * 60,), (None,)]
     out = spark.createDataFrame(rows, "t string").select(files.is_tabular(F.col("t")).alias("o")).collect()
