@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import strip, text_sha1
+from quern.sources.tables import materialize
 
 #: The quota of question types of an evaluation set of 50.
 QUESTION_TYPES = {"factual": 10, "entity": 7, "comparison": 7, "normative": 7, "temporal": 6, "negative": 5, "multi_hop": 5, "unanswerable": 3}
@@ -17,12 +18,14 @@ def draw(seed: str, *columns: str) -> Column:
 
 
 def balanced_sample(df: DataFrame, n: int, seed: str, key: str = "source", id: str = "pos", text: str = "page_content") -> DataFrame:
-    """n rows with text, in turn from each key: first one of every key, then a second, and so on."""
+    """n rows with text, in turn from each key: first one of every key, then a second, and so on. ids are drawn, at most n of a key from each task, and then meet their rows."""
     rows = df.where(F.coalesce(strip(F.col(text)), F.lit("")) != "")
     if (have := rows.limit(n).count()) < n:
         raise ValueError(f"{n} rows asked for, {have} there")
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(draw(seed, id), id))
-    return rows.withColumn("round", turn).orderBy("round", draw(seed, key), key).limit(n)
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("_draw", id))
+    drawn = rows.select(id, key, draw(seed, id).alias("_draw")).withColumn("round", turn).where(F.col("round") <= n)
+    drawn = drawn.orderBy("round", draw(seed, key), key, id).limit(n).select(id, "round")
+    return rows.join(drawn, id).select(*df.columns, "round").orderBy("round", draw(seed, key), key)
 
 
 def with_question_types(sample: DataFrame, seed: str, id: str = "pos", quota: dict[str, int] = QUESTION_TYPES) -> DataFrame:
@@ -38,10 +41,12 @@ def with_question_types(sample: DataFrame, seed: str, id: str = "pos", quota: di
 
 def coverage_sample(df: DataFrame, n: int, seed: str, key: str = "file_hash", id: str = "pos") -> DataFrame:
     """At least one row of every key, then rows at random up to n; all rows if n is that many."""
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(draw(seed, id), id))
-    rows = df.withColumn("_first", (turn == 1).cast("int"))
-    n = max(n, rows.where("_first = 1").count())
-    return rows.orderBy(F.col("_first").desc(), draw(seed, id), id).limit(n).drop("_first")
+    rows = df.select(id, key, draw(seed, id).alias("_draw"))
+    # a key's first row by an aggregate, of which each task passes on one row a key
+    first = materialize(rows.groupBy(key).agg(F.min(F.struct("_draw", id)).alias("f")).select(f"f.{id}", F.lit(1).alias("_first")), "first-rows")
+    n = max(n, first.count())
+    drawn = rows.join(first, id, "left").orderBy(F.coalesce("_first", F.lit(0)).desc(), "_draw", id).limit(n).select(id)
+    return df.join(drawn, id, "left_semi")
 
 
 def exclude_sources(df: DataFrame, tokens: list[str], column: str = "file_hash") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.functions.text import sanitize
 from quern.sources.delimited_text import file_chunks, folder_chunks, parsed, records, sniff_delimiter
-from quern.sources.tables import materialize, with_global_index
+from quern.sources.tables import materialize, with_global_index, with_ordinals
 
 EXTENSIONS = (".pdf", ".txt", ".md", ".csv")
 #: A text file is a table with at least so many columns and rows among its first ones.
@@ -87,8 +87,8 @@ def cells_table(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_doc_ordinal(df: DataFrame, order: str) -> DataFrame:
-    """doc_id: the row's 0-based place in its source."""
-    return df.withColumn("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(order)) - 1)
+    """doc_id: the row's 0-based place in its source; a source may be spread over tasks."""
+    return with_ordinals(df.drop("doc_id"), "source", order, name="doc_id")
 
 
 def export_chunks(df: DataFrame, path: str) -> None:

@@ -32,3 +32,12 @@ def with_global_index(df: DataFrame, *order: str, name: str = "index") -> DataFr
     sizes = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.join(F.broadcast(sizes.drop("count")), "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+
+
+def with_ordinals(df: DataFrame, key: str, *order: str, name: str = "ordinal") -> DataFrame:
+    """df with the row's 0-based place among those of its key, in the order of these columns. Keys and order are numbered in ranges, which may part a key, and rows meet their numbers by an id of their own, so no task holds a key's rows."""
+    rows = materialize(df.withColumn("_uid", F.monotonically_increasing_id()), "rows")
+    placed = materialize(with_global_index(rows.select(F.col(key).alias("_key"), *order, "_uid"), "_key", *order, "_uid", name="_at"), "places")
+    first = placed.groupBy("_key").agg(F.min("_at").alias("_first")).withColumnRenamed("_key", "_of")
+    numbers = placed.join(first, F.col("_key").eqNullSafe(F.col("_of"))).select("_uid", (F.col("_at") - F.col("_first")).cast("int").alias(name))
+    return rows.join(numbers, "_uid").drop("_uid")

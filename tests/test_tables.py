@@ -202,3 +202,35 @@ def test_load_files(spark, tmp_path):
     assert {r.csv_kind for r in by["areas.csv"]} == {"entity_table"} and by["areas.csv"][5].entity_key == "n5"
     assert {r.csv_kind for r in by["facts.csv"]} <= {"fact_table", "time_series"} and sum(r.group_size for r in by["facts.csv"]) == 13 and all(r.is_aggregated for r in by["facts.csv"])
     assert load_files(spark, f"file://{tmp_path}/sub").count() == 60
+
+
+def test_ordinals_spread_a_hot_source(spark):
+    from quern.sources import tables
+
+    rows = [(None if i % 20 == 0 else "b" if i % 20 == 1 else "hot", (i * 7919) % 2000, f"t{i}") for i in range(2000)] + [("hot", 5, "again")]
+    df = spark.createDataFrame(rows, "source string, pos int, text string").repartition(6)
+    got = {(r.source, r.pos, r.text): r.doc_id for r in files.with_doc_ordinal(df, "pos").collect()}
+    for source in (None, "b", "hot"):
+        own = sorted((p, t) for s, p, t in rows if s == source)
+        assert sorted(got[(source, p, t)] for p, t in own) == list(range(len(own)))
+        assert all(abs(got[(source, p, t)] - n) <= 1 for n, (p, t) in enumerate(own))
+    placed = tables.with_global_index(df.select("source", "pos").withColumn("part", F.spark_partition_id()), "source", "pos")
+    parts = placed.where("source = 'hot'").withColumn("task", F.floor(F.col("index") / 600)).select("task").distinct().count()
+    assert parts > 1
+
+
+def test_quantiles_of_mostly_equal_values(spark):
+    import numpy as np
+
+    from quern.operators import metrics
+
+    rng = np.random.default_rng(7)
+    values = np.concatenate([np.zeros(9000), rng.normal(size=900), [1e308, -1e308, 1e-300, 5e-324]])
+    rows = [(float(x), "all" if i % 3 else None) for i, x in enumerate(values)] + [(None, "all"), (float("nan"), "all"), (float("inf"), None)]
+    df = spark.createDataFrame(rows, "v double, g string").repartition(5)
+    cuts = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p97": 0.97, "p100": 1.0}
+    plain = lambda xs: [np.quantile(xs / 4, q) * 4 for q in cuts.values()]
+    assert list(metrics.quantiles(df, "v", cuts).first()) == pytest.approx(plain(values), rel=1e-12)
+    got = {r.g: r for r in metrics.quantiles(df, "v", cuts, "g").collect()}
+    for g in ("all", None):
+        assert [got[g][c] for c in cuts] == pytest.approx(plain(np.array([v for v, k in rows if k == g and v is not None and np.isfinite(v)])), rel=1e-12)
