@@ -121,14 +121,19 @@ def profile_table(df: DataFrame, source: str, order: str, sample: int = 2000) ->
     """The profile of a table whose columns are df's, less `order`; the driver sees one row of counts."""
     columns = [c for c in df.columns if c != order]
     row = profile_row(df, order, sample).first()
-    ratios = {c: row[f"numeric_{i}"] / row[f"filled_{i}"] for i, c in enumerate(columns) if row[f"filled_{i}"]}
-    n = row.n_rows
+    counts = {c: (row[f"filled_{i}"], row[f"numeric_{i}"], row[f"distinct_{i}"]) for i, c in enumerate(columns)}
+    return profile_of(source, columns, row.n_rows, row.n_distinct, row.n_chars or 0, counts)
+
+
+def profile_of(source: str, columns: list[str], n: int, n_distinct: int, n_chars: int, counts: Mapping[str, tuple[int, int, int]]) -> Profile:
+    """The profile that follows from a table's counts of rows, distinct rows and characters, and each column's (values, numbers, distinct values)."""
+    ratios = {c: counts[c][1] / counts[c][0] for c in columns if counts[c][0]}
     share = lambda x, of: x / of if of else 0.0
     narrative = with_role(columns, NARRATIVE_TOKENS)
     return Profile(
         source, columns, n, with_role(columns, ID_TOKENS), [c for c in with_role(columns, MEASURE_TOKENS) if ratios.get(c, 0.0) >= 0.5], with_role(columns, TEMPORAL_TOKENS), narrative,
-        round(share(sum(r >= 0.5 for r in ratios.values()), len(ratios)), 3), round(share(len(narrative), len(columns)), 3), round(share(row.n_chars or 0, n), 1), round(share(row.n_distinct, n), 3),
-        ratios, {c: row[f"distinct_{i}"] for i, c in enumerate(columns) if c in ratios},
+        round(share(sum(r >= 0.5 for r in ratios.values()), len(ratios)), 3), round(share(len(narrative), len(columns)), 3), round(share(n_chars, n), 1), round(share(n_distinct, n), 3),
+        ratios, {c: counts[c][2] for c in columns if c in ratios},
     )
 
 

@@ -204,6 +204,28 @@ def test_load_files(spark, tmp_path):
     assert load_files(spark, f"file://{tmp_path}/sub").count() == 60
 
 
+def test_jobs_of_a_load_dont_follow_the_files(spark, tmp_path):
+    from quern.sources.loader import load_files
+
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        (tmp_path / f"{n}").mkdir()
+        for i in range(n):
+            columns = (("pk", "nombre", "tipo"), ("a", "b", "c"), ("fecha", "x", "y", "precio"))[i % 3]
+            write(tmp_path / f"{n}", f"f{i}.csv", ";".join(columns) + "\n" + "".join(";".join(f"{c}{k % 4}" if c != "precio" else str(k) for c in columns) + "\n" for k in range(6)))
+        spark.sparkContext.setJobGroup(f"load-{n}", "")
+        rows = load_files(spark, f"{tmp_path}/{n}").collect()
+        made = len(tracker.getJobIdsForGroup(f"load-{n}"))
+        spark.sparkContext.setJobGroup("other", "")
+        kinds = {r.csv_kind for r in rows}
+        assert kinds == {"entity_table", "unknown_csv", "time_series"} and len({r.source for r in rows}) == n
+        return made
+
+    few, many = jobs(3), jobs(60)
+    assert many <= few + 8
+
+
 def test_ordinals_spread_a_hot_source(spark):
     from quern.sources import tables
 
