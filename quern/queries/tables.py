@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.operators import delimited as D, dedup
 from quern.queries.base import CHUNKS, Tables, chunks, query
@@ -161,8 +161,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("s7_is_tabular", "SELECT o_custkey, count(*) > 50 AS tabular FROM (SELECT o_custkey % 10 AS o_custkey FROM orders) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
+    """Each text has its first 60 lines, of which the operator looks at 51."""
     line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))
-    text = t.orders.groupBy((F.col("o_custkey") % 10).alias("o_custkey")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("text"))
+    rows = t.orders.select((F.col("o_custkey") % 10).alias("o_custkey"), line.alias("line"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("line"))).where("n <= 60")
+    text = rows.groupBy("o_custkey").agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("text"))
     return text.select("o_custkey", files.is_tabular(F.col("text")).alias("tabular"))
 
 

@@ -34,16 +34,26 @@ def _(t: Tables) -> DataFrame:
     return rows.select("c_custkey", T.row_to_text(["c_name", "c_nationkey", "segment"]).alias("line"))
 
 
-@query("t4_authority", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 ELSE 0.7 END AS authority FROM documents")
+_SOURCE_NAMES = ("Normativa_", "PRECIOS_", "agenda_", "otros_tarifas_", "x_Reglamento_agenda_", "otros_")
+_AUTHORITY = " ".join(f"WHEN contains(lower(name), '{token}') THEN {value}::DOUBLE" for token, value in T.AUTHORITY.items())
+
+
+@query("t4_authority", f"SELECT doc_id, CASE {_AUTHORITY} ELSE {T.AUTHORITY_ELSE} END AS authority FROM (SELECT doc_id, {list(_SOURCE_NAMES)}[doc_id % 6 + 1] || source AS name FROM documents)")
 def _(t: Tables) -> DataFrame:
-    name = F.concat(F.element_at(F.array(*map(F.lit, ("Normativa_", "PRECIOS_", "agenda_", "otros_"))), (F.col("doc_id") % 4 + 1).cast("int")), "source")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _SOURCE_NAMES)), (F.col("doc_id") % 6 + 1).cast("int")), "source")
     return t.documents.select("doc_id", T.authority(name).alias("authority"))
 
 
-@query("t6_looks_numeric", """
-SELECT l_orderkey, l_linenumber, l_linenumber <> 4 AS number FROM lineitem""")
+#: Cells of which some are numbers to Python and some are not; {} is a quantity.
+_NUMBERS = (" 1 0,5", "1_000", "1e5", "1d", "-inf", ".5", "{}", "{}_", "_{}", "{}.", "+{},5e-3", "0x{}", "nan", "{},{}", "1.2.{}", "")
+
+
+@query("t6_looks_numeric", rf"""
+SELECT l_orderkey, l_linenumber, regexp_full_match(replace(replace(cell, ' ', ''), ',', '.'), '(?i)[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)') AS number
+FROM (SELECT *, replace({list(_NUMBERS)}[(l_orderkey + l_linenumber) % {len(_NUMBERS)} + 1], '{{}}', l_quantity::INT::VARCHAR) AS cell FROM lineitem)""")
 def _(t: Tables) -> DataFrame:
-    cell = F.element_at(F.array(F.concat(F.lit(" 1 0"), F.lit(",5")), F.lit("1_000"), F.lit("1e5"), F.lit("1d"), F.lit("-inf"), F.lit(".5"), F.col("l_quantity").cast("string")), F.col("l_linenumber").cast("int"))
+    shape = F.element_at(F.array(*map(F.lit, _NUMBERS)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_NUMBERS) + 1).cast("int"))
+    cell = F.replace(shape, F.lit("{}"), F.col("l_quantity").cast("int").cast("string"))
     return t.lineitem.select("l_orderkey", "l_linenumber", T.looks_numeric(cell).alias("number"))
 
 
@@ -144,13 +154,13 @@ def _(t: Tables) -> DataFrame:
     return cut.select("pos", ((F.col("n") == 1) & (F.col("same") | (F.col("size") <= 1000))).alias("whole"))
 
 
-@query("g2_chunk_routing", f"""
-WITH {CHUNKS} SELECT pos, true AS whole_words, true AS fits FROM chunks""")
+@query("g2_chunk_routing", rf"""
+WITH {CHUNKS} SELECT pos, length(regexp_replace(page_content, '\s+', '', 'g'))::BIGINT AS n_chars, chunking_hint IS NOT NULL OR length(page_content) <= 1000 AS single, chunking_hint IS NULL AS bounded FROM chunks""")
 def _(t: Tables) -> DataFrame:
+    """Without an overlap the chunks hold all characters but space; texts that fit or are not to be cut make one, the others chunks of at most the size."""
     rows = chunks(t).select("pos", "page_content", "chunking_hint")
-    cut = chunk_documents(rows, 1000, 0).groupBy("pos").agg(F.sum(F.length(F.regexp_replace("page_content", r"(?U)\s+", ""))).alias("n"), F.max(F.when(F.coalesce("chunking_hint", F.lit("")) != "no_chunk", F.col("chunk_size"))).alias("most"))
-    whole = rows.select("pos", F.length(F.regexp_replace("page_content", r"(?U)\s+", "")).alias("all"))
-    return whole.join(cut, "pos").select("pos", (F.col("n") == F.col("all")).alias("whole_words"), (F.coalesce("most", F.lit(0)) <= 1000).alias("fits"))
+    cut = chunk_documents(rows, 1000, 0).groupBy("pos", "chunking_hint").agg(F.sum(F.length(F.regexp_replace("page_content", r"(?U)\s+", ""))).alias("n_chars"), F.count("*").alias("n"), F.max("chunk_size").alias("most"))
+    return cut.select("pos", "n_chars", (F.col("n") == 1).alias("single"), (F.col("chunking_hint").isNull() & (F.col("most") <= 1000)).alias("bounded"))
 
 
 @query("g3_fixed_split", """
