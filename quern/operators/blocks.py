@@ -202,10 +202,11 @@ class _Best:
         self.ids, self.sim, self.other = block.ids, np.full(len(block.ids), -np.inf), np.zeros(len(block.ids), np.int64)
 
     def add(self, others: np.ndarray, sims: np.ndarray) -> None:
-        by = np.argsort(others, kind="stable")
-        sims = sims[:, by]
+        if (others[1:] < others[:-1]).any():
+            by = np.argsort(others, kind="stable")
+            others, sims = others[by], sims[:, by]
         at = sims.argmax(axis=1)
-        sim, other = sims[np.arange(len(at)), at], others[by[at]]
+        sim, other = sims[np.arange(len(at)), at], others[at]
         new = (sim > self.sim) | (sim == self.sim) & (other < self.other)
         self.sim, self.other = np.where(new, sim, self.sim), np.where(new, other, self.other)
 
@@ -256,10 +257,11 @@ def neighbors(blocks: Blocks, threshold: float | None, most: int) -> DataFrame:
             sims = x.m @ y.m.T
             if x is y:
                 np.fill_diagonal(sims, -np.inf)
-            for a, b, s in ((x, y, sims),) if x is y else ((x, y, sims), (y, x, sims.T)):
+            hit = sims >= threshold if most else None
+            for a, b, s, h in ((x, y, sims, hit),) if x is y else ((x, y, sims, hit), (y, x, sims.T, hit if hit is None else np.ascontiguousarray(hit.T))):
                 best[a.place].add(b.ids, s)
                 if most:
-                    listed[a.place].add(b, s >= threshold, s)
+                    listed[a.place].add(b, h, s)
         out = []
         for b in blocks:
             found, (some, lists) = best[b.place], listed[b.place].lists()
