@@ -11,6 +11,7 @@ without a doc_id are outside the index and searched by all rules; other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -52,6 +53,8 @@ RULES = (
 )
 #: Sets of strings that a query may grow to before it is closed.
 _MOST = 64
+#: Items that running sums append to one array.
+_BLOCK = 512
 
 Query = list[frozenset[str]]
 
@@ -129,34 +132,52 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return of_doc.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often and wherever use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(steps: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Running results of `of`, as sums or maxima, over an array of numbers. An append copies its array, so blocks are run apart and then meet what lies before them: the work is linear up to millions of items."""
+    after = lambda before, x: F.coalesce(of(before, x), x)
+    last = lambda xs: F.get(xs, F.size(xs) - 1)
+    run = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(after(last(done), x))))
+    blocks = lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(_BLOCK)), lambda at: run(F.slice(xs, at, F.lit(_BLOCK))))
+    moved = lambda parts, ends: F.flatten(F.transform(parts, lambda part, i: F.transform(part, lambda x: after(F.get(ends, i - 1), x))))
+    return _bound(steps, lambda xs: _bound(blocks(xs), lambda parts: _bound(run(F.transform(parts, last)), lambda ends: moved(parts, ends))))
+
+
 def _found(rule: Rule, order: int) -> Column:
-    """The rule's findings in `text`: (start, order, end), leftmost first. The texts between matches and the matches give the places."""
+    """The rule's findings in `text`, leftmost first: (start, order, end) in code points, and the same in bytes (since, until). The texts between matches and the matches give the places."""
     match = F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0))
-    kept = F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group))
-    parts = F.arrays_zip(F.split("text", rule.regex, -1).alias("gap"), match.alias("match"), kept.alias("kept"))
-    none = F.array().cast("array<struct<start:int,order:int,end:int>>")
+    parts = [F.split("text", rule.regex, -1).alias("gap"), match.alias("match")]
+    if rule.group:
+        parts.append(F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group)).alias("kept"))
+    long = lambda of, part: F.coalesce(of(part["match"]), F.lit(0))
+    ends = lambda of, parts: _running(F.transform(parts, lambda p: of(p["gap"]) + long(of, p)), Column.__add__)
 
-    def step(at: Column, part: Column) -> Column:
-        start = at["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["match"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end")))
-        good = part["match"].isNotNull() & (F.length(part["kept"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(good, F.concat(at["spans"], span)).otherwise(at["spans"]).alias("spans"))
+    def placed(parts: Column) -> Column:
+        at = F.arrays_zip(parts.alias("part"), ends(F.length, parts).alias("end"), ends(F.octet_length, parts).alias("until"))
+        good = F.filter(at, lambda x: F.length(x["part"]["kept" if rule.group else "match"]) >= rule.least)
+        since = lambda x, end, of: x[end] - long(of, x["part"])
+        return F.transform(good, lambda x: F.struct(since(x, "end", F.length).alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), since(x, "until", F.octet_length).alias("since"), x["until"].alias("until")))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.regexp_like("text", F.lit(rule.regex)), F.aggregate(parts, start, step)["spans"]).otherwise(none)
+    return F.when(F.regexp_like("text", F.lit(rule.regex)), _bound(F.arrays_zip(*parts), placed)).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,order:int,end:int,since:int,until:int>>")
 
 
 def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs(doc_id, text, ...) with a column for each kind, its findings (start, order, end)."""
+    """docs(doc_id, text, ...) with a column for each kind, its findings (start, order, end, since, until)."""
     index = materialize(postings(docs, rules), "postings")
     out = docs.join(candidates(index, rules).withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     for order, rule in enumerate(rules):
         search = F.col("text").isNotNull()
         if mandatory(rule.pattern):
             search &= F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
-        out = out.withColumn(f"_{rule.kind}", F.when(search, _found(rule, order)).otherwise(none))
+        out = out.withColumn(f"_{rule.kind}", F.when(search, _found(rule, order)).otherwise(_none()))
     return out.drop("_id", "kinds")
 
 
@@ -173,30 +194,50 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(rules).alias("spans"))
 
 
-def _key_end(text: Column, end: Column) -> Column:
-    """Where the private key whose BEGIN mark ends at `end` ends: after its END mark; where none follows before another BEGIN, after the lines of base64 and of headers, or a run of base64."""
-    rest = F.substring(text, end + 1, F.length(text))
-    stop, again = (F.position(F.lit(f"-----{mark} "), text, end + 1) for mark in ("END", "BEGIN"))
-    mark = F.length(F.regexp_extract(F.substring(text, stop, F.lit(60)), "^-----END [A-Z ]{0,30}PRIVATE KEY-----", 0))
+def _key_body(rest: Column) -> Column:
+    """How many characters of rest, which follows a BEGIN mark, belong to its private key: through the END mark; where none comes before another BEGIN, the lines of base64 and of headers, or a run of base64."""
+    stop, again = (F.position(F.lit(f"-----{mark} "), rest) for mark in ("END", "BEGIN"))
+    mark = F.length(F.regexp_extract(F.substring(rest, stop, F.lit(60)), "^-----END [A-Z ]{0,30}PRIVATE KEY-----", 0))
     other = F.regexp_instr(rest, F.lit(r"(?m)^(?![ \t]*[A-Za-z0-9+/=]*[ \t\r]*$|[A-Za-z-]+: [\x20-\x7E]*\r?$)"))
     run = F.length(F.regexp_extract(rest, r"^\s*[A-Za-z0-9+/=]{16,}", 0))
     body = F.greatest(F.when(other > 0, other - 1).otherwise(F.length(rest)), run)
-    return F.when((stop > 0) & ((again == 0) | (stop < again)) & (mark > 0), stop - 1 + mark).otherwise(end + body)
+    return F.when((stop > 0) & ((again == 0) | (stop < again)) & (mark > 0), stop - 1 + mark).otherwise(body)
+
+
+def _whole_keys(keys: Column, data: Column) -> Column:
+    """Findings of BEGIN marks with their keys. What follows a mark is looked at through the next mark, so a text of many keys is read once."""
+
+    def whole(key: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get(keys, i + 1)["until"], F.octet_length(data))
+        rest = F.substring(data, key["until"] + 1, stop - key["until"]).cast("string")
+        body = _bound(rest, lambda r: F.octet_length(F.substring(r, F.lit(1), _key_body(r))))
+        return F.struct(key["start"], key["order"], key["end"], key["since"], (key["until"] + body).alias("until"))
+
+    return F.transform(keys, whole)
+
+
+def _without(data: Column, spans: Column, mark: str) -> Column:
+    """The UTF-8 bytes as a text, with each run of overlapping spans (sorted) replaced by mark. Places are bytes, since a code point's place in a text is found by counting from its start."""
+
+    def cut(ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        gap = lambda s, i: F.when(s["since"] >= before(i), F.substring(data, before(i) + 1, s["since"] - before(i)).cast("string"))
+        tail = F.substring(data, before(F.size(ends)) + 1, F.octet_length(data)).cast("string")
+        return F.array_join(F.concat(F.transform(spans, gap), F.array(tail)), mark)
+
+    return _bound(_running(F.transform(spans, lambda s: s["until"]), F.greatest), cut)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each finding's text replaced by mark, overlapping findings by one, and n_chars to match; other columns stay. A private key goes with its body, though its finding is the BEGIN mark."""
-    found = findings(docs.select(F.struct("*").alias("row"), "doc_id", "text"), rules)
-    whole_key = lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), _key_end(F.col("text"), s["end"]).cast("int").alias("end"))
-    spans = F.array_sort(F.concat(*(F.transform(f"_{r.kind}", whole_key) if r.kind == "private_key" else F.col(f"_{r.kind}") for r in rules)))
-
-    def step(at: Column, span: Column) -> Column:
-        gap = F.substring("text", at["at"] + 1, F.greatest(span["start"] - at["at"], F.lit(0)))
-        out = F.when(span["start"] >= at["at"], F.concat(at["out"], gap, F.lit(mark))).otherwise(at["out"])
-        return F.struct(F.greatest(at["at"], span["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    text = F.when(F.size(spans) > 0, F.concat(whole["out"], F.substring("text", whole["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    found = found.withColumn("clean", text)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = findings(docs.select(others.alias("row"), "doc_id", "text"), rules)
+
+    def clean(data: Column) -> Column:
+        kinds = (_bound(F.col(f"_{r.kind}"), lambda keys: _whole_keys(keys, data)) if r.kind == "private_key" else F.col(f"_{r.kind}") for r in rules)
+        return _bound(F.array_sort(F.concat(*kinds)), lambda spans: _without(data, spans, mark))
+
+    any_found = reduce(Column.__or__, (F.size(f"_{r.kind}") > 0 for r in rules))
+    found = found.withColumn("clean", F.when(any_found, _bound(F.col("text").cast("binary"), clean)).otherwise(F.col("text")))
     columns = [F.col("clean").alias(c) if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return found.select(*columns)
