@@ -14,11 +14,11 @@ Joins of tables that grow with the corpus are merge joins at every size, so that
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm.shared import materialize
 from quern.llm.textops import mix, text_slices, word_bounds, word_hashes
@@ -29,7 +29,11 @@ PERCENT = 85
 #: Stars per bucket: each round compares what a bucket has unlinked with a centre not used so far, in the first half of
 #: the rounds the best, then one drawn by hash, which differs from bucket to bucket.
 STARS = 4
+#: Longs of a set's odd sketch, by which pairs are left out before their sets are fetched.
+SKETCH = 16
 _MULT = np.uint64(0xD6E8FEB86659FD93)
+_MARKS = [f"mark_{k}" for k in range(SKETCH)]
+_SETS = ", ".join(["doc_id long", "shingles array<long>", *(f"{m} long" for m in _MARKS)])
 _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
@@ -96,6 +100,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Odd sketches: a bit tells whether an odd number of the set's hashes falls on it. What two sets share cancels out, so they differ in at least as many shingles as their sketches do in bits, however large they are."""
+    out = np.zeros((len(bounds) - 1) * SKETCH, np.uint64)
+    word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * SKETCH + ((values >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (values & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, SKETCH)
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -121,7 +133,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in text_slices(batch.column("text")):
             values, bounds = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), _lists(values, bounds)], ["doc_id", "shingles"])
+            marks = sketches(values, bounds)
+            columns = [pa.array(np.ascontiguousarray(marks[:, k])) for k in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), _lists(values, bounds), *columns], ["doc_id", "shingles", *_MARKS])
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -185,23 +199,26 @@ def other_sides(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _prefix_pairs(held: DataFrame) -> DataFrame:
-    """All pairs (rep, centre) of different components in held(doc_id, component, shingles) that may be near: exact prefix filter. Shingles are ordered with those of one component first, which no such pair shares, then the rarer first; a near pair's first common shingle is in the prefix of both, and what follows it suffices in both."""
-    one = held.select("doc_id", "component", F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    """All pairs (rep, centre) of different components in held(doc_id, component, shingles, marks of the sketch) that may be near: exact prefix filter, then the bound of the sketches. Shingles are ordered with those of one component first, which no such pair shares, then the rarer first; a near pair's first common shingle is in the prefix of both, and what follows it suffices in both."""
+    one = held.select("doc_id", "component", F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"), *_MARKS)
     shared = one.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "held")
     own = Window.partitionBy("doc_id", "set")
     at = one.join(shared.hint("merge"), "shingle").withColumn("place", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("rest", F.col("n") - (F.col("n") - F.count("*").over(own) + F.col("place") - 1))
-    prefix = materialize(at.where(100 * F.col("rest") >= PERCENT * F.col("n")).select("shingle", "held", "doc_id", "component", "n", "rest"), "prefixes")
+    prefix = materialize(at.where(100 * F.col("rest") >= PERCENT * F.col("n")).select("shingle", "doc_id", "component", "n", "rest", *_MARKS), "prefixes")
     sided = other_sides(prefix, "shingle")
     # a shingle that many prefixes hold is split by adaptive execution, as any skewed key of a merge join: no row is copied for it here
     # a pair's smaller text has its first common shingle in a shorter prefix: its own half of the common ones is more of it
     short = (100 + PERCENT) * F.col("rest") >= 2 * PERCENT * F.col("n")
-    sided = sided.select("shingle", "level", "group", "side", "doc_id", "n", "rest")
-    a = sided.where(short).select("shingle", "level", "group", "side", F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"))
-    b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.col("doc_id").alias("centre"), "n", "rest")
+    sided = sided.select("shingle", "level", "group", "side", "doc_id", "n", "rest", *_MARKS)
+    a = sided.where(short).select("shingle", "level", "group", "side", F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"), F.col("rest").alias("rep_rest"), *(F.col(m).alias(f"rep_{m}") for m in _MARKS))
+    b = sided.select("shingle", "level", "group", (1 - F.col("side")).alias("side"), F.col("doc_id").alias("centre"), "n", "rest", *_MARKS)
     both = a.join(b.hint("merge"), ["shingle", "level", "group", "side"])
     both = both.where((F.col("rep_n") < F.col("n")) | (F.col("rep_n") == F.col("n")) & (F.col("rep") < F.col("centre"))).where(100 * F.col("rep_n") >= PERCENT * F.col("n"))
     # of n + rep_n shingles so many must be common, and no more than what is left of either from here on can be
     both = both.where((100 + PERCENT) * F.least("rest", "rep_rest") >= PERCENT * (F.col("n") + F.col("rep_n")))
+    # near sets of n + rep_n shingles differ in at most 15 of 185 parts of them, and in no fewer than their sketches do in bits
+    differ = reduce(Column.__add__, (F.bit_count(F.col(m).bitwiseXOR(F.col(f"rep_{m}"))) for m in _MARKS))
+    both = both.where((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("rep_n")))
     return both.select("rep", "centre").distinct()
 
 
@@ -216,8 +233,9 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     members = mates = materialize(_members(of_rep), "members")
     # full sets of the classes that have a bucket mate, made once for all rounds
     wanted = members.select((-F.col("minus_rep")).alias("doc_id")).distinct()
-    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    sets = materialize(sets, "shingle-sets")
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, _SETS)
+    sketched = materialize(sets, "shingle-sets")
+    sets = sketched.select("doc_id", "shingles")
     links = None
     for turn in range(1, stars + 1):
         star = materialize(_stars(members), "stars")
@@ -230,7 +248,7 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     joined = materialize(components(links.toDF("a", "b")), "star-components")
     # what the stars left: pairs of a bucket that are in different components, compared exactly
     rest = materialize(_unsettled(mates, joined, stars), "unsettled")
-    pairs = _prefix_pairs(materialize(sets.join(rest.hint("merge"), "doc_id"), "unsettled-sets"))
+    pairs = _prefix_pairs(materialize(sketched.join(rest.hint("merge"), "doc_id"), "unsettled-sets"))
     late = materialize(_confirmed(sets, materialize(pairs, "prefix-pairs")), "links")
     if not late.isEmpty():
         joined = components(joined.toDF("a", "b").unionByName(late.toDF("a", "b")))

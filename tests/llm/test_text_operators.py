@@ -104,6 +104,17 @@ def test_near_dedup_of_templates(spark):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root))
 
 
+def test_sketches_bound_the_difference():
+    """Sets of up to thousands of shingles: sketches never differ in more bits than the sets in shingles, and tell those apart that are far from near."""
+    rng = np.random.default_rng(4)
+    for size, differ in ((1, 1), (40, 12), (800, 300), (5000, 400)):
+        both = rng.integers(0, 2**64, size + 2 * differ, dtype=np.uint64)
+        sets = [both[: size + differ], np.concatenate([both[:size], both[size + differ :]]), both[:0]]
+        marks = near_dedup.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        bits = sum(int(x).bit_count() for x in (marks[0] ^ marks[1]).view(np.uint64))
+        assert differ / 2 < bits <= 2 * differ and not marks[2].any()
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (103, 100), (7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
