@@ -229,3 +229,40 @@ def test_neighbors_list_what_is_near(spark):
         near = sorted((-score[j], j) for j in np.flatnonzero(sims[i] >= 0.5))
         assert got[i].n_near == len(near) and [x.other for x in got[i].near] == [j for _, j in near[:3]]
         assert got[i].sim == pytest.approx(sims[i].max(), abs=1e-12)
+
+
+def test_nearest_rows_leave_out_most_leaves(monkeypatch):
+    """Rows in clusters: few pairs of rows are multiplied, and each row's nearest is that of all pairs."""
+    from quern.operators import blocks
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.01
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1000:1010] = v[3]
+    v[7] = 0
+    monkeypatch.setattr(blocks, "LEAF_ROWS", 64)
+    pairs, look = [], blocks._Leaves.look
+    monkeypatch.setattr(blocks._Leaves, "look", lambda self, n, rows, others, leaf: pairs.append(len(rows) * len(others.leaves[leaf])) or look(self, n, rows, others, leaf))
+    strip = lambda rows: blocks._Leaves([blocks.Block({"ids": rows.tobytes(), "vectors": v[rows].tobytes(), "scores": b"", "lo": [], "hi": [], "norm": 1.0, "strip": 0, "block": 0})], np.eye(8))
+    a, b = strip(np.arange(0, 4000, 2)), strip(np.arange(1, 4000, 2))
+    for x, y in ((a, a), (b, b), (a, b), (b, a)):
+        x.search(y)
+    sims = np.round(v @ v.T, 9)
+    np.fill_diagonal(sims, -np.inf)
+    for x in (a, b):
+        assert np.allclose(x.sim, sims[x.ids].max(axis=1), atol=1e-8)
+        assert np.allclose(sims[x.ids, x.other], sims[x.ids].max(axis=1), atol=1e-8)
+    assert sum(pairs) < 0.3 * len(v) ** 2
+
+
+@pytest.mark.parametrize(("leading", "dropped"), [(40, 0.0), (40, 0.9), (250, 0.1)])
+def test_greedy_in_rounds_of_leading_rows(spark, monkeypatch, leading, dropped):
+    from quern.operators import dedup
+
+    monkeypatch.setattr(dedup, "LEADING", leading)
+    monkeypatch.setattr(dedup, "DROPPED", dropped)
+    v, score = clones(11)
+    kept, winners = sequential(v, score, 0.45)
+    out = greedy_semantic_dedup(frame(spark, v, score).repartition(4), 0.45)
+    assert {r.pos for r in out.kept.collect()} == kept
+    assert {r.pos for r in out.dropped.collect()} == set(winners)
