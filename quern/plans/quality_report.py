@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from quern.operators.evaluation import category_report, evaluate_retrieval, length_report, metadata_keys, nearest_neighbor, neighbor_summary, records_without, retrieval_summary, tag_counts, validate_vectors
+from quern.operators.evaluation import SharedRelevance, category_report, evaluate_retrieval, length_report, metadata_keys, nearest_neighbor, neighbor_summary, records_without, retrieval_summary, tag_counts, validate_vectors
 from quern.sources.files import long_form
 from quern.sources.tables import materialize
 
@@ -18,7 +18,7 @@ def _by_name(df: DataFrame, section: str, name: str) -> DataFrame:
     return df.select(F.lit(section).alias("section"), F.inline(pairs))
 
 
-def run_quality_report(records: DataFrame, threshold: float, cases: DataFrame | None = None, relevance: DataFrame | None = None, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+def run_quality_report(records: DataFrame, threshold: float, cases: DataFrame | None = None, relevance: DataFrame | SharedRelevance | None = None, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """(section, metric, value) of vector checks, lengths, neighbours, categories, metadata keys, tags, fields that are missing and, with cases and their relevance, retrieval. records has pos, id, text, source, document_id, category, metadata, tags and embedding."""
     neighbors = materialize(nearest_neighbor(records, threshold), "neighbors")
     parts = {"vectors": validate_vectors(records), "lengths": length_report(records), "neighbors": neighbor_summary(neighbors), "metadata": records_without(records)}

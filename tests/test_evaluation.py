@@ -60,3 +60,30 @@ def test_rates_of_grouping_sets(spark):
     assert (r.n, r.errors, r.abstained, r.mean_chunks, r.source_hit_rate, r.right_abstention_rate) == (4, 1, 2, 1.5, 0.5, 0.0)
     assert out[(None, None)].n == 16 and out[(3, None)].n == 8
     assert rag_rates(df.where(~F.col("out_of_corpus"))).where("level = 3").first().right_abstention_rate is None
+
+
+def test_shared_relevance_equals_relevance_in_rows(spark):
+    """Groups that cases share, their own rows left out, give what a row for each case and member gives, and only the members are written."""
+    from quern.operators import evaluation as E
+
+    rng = np.random.default_rng(6)
+    v, labels = rng.normal(size=(90, 6)), rng.integers(0, 7, 90)
+    labels[0], labels[3] = 8, 8
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, embedding array<double>")
+    group = lambda i, graded: int(2 * labels[i] + graded)
+    gain = lambda i, graded: float(1 + i % 3) if graded else None
+    asked = list(range(0, 90, 3))
+    members = [(group(i, g), i, not g, gain(i, g)) for i in range(90) for g in (False, True)]
+    rows = [(c, i, c % 2 == 1, gain(i, c % 2 == 0)) for c in asked for i in range(90) if labels[i] == labels[c] and i != c]
+    shared = E.SharedRelevance(spark.createDataFrame([(c, group(c, c % 2 == 0), c) for c in asked], "case_id long, group long, own long"), spark.createDataFrame(members, "group long, id long, listed boolean, gain double"))
+    cases = index.where(F.col("pos") % 3 == 0).withColumnRenamed("pos", "case_id")
+    written = []
+    with pytest.MonkeyPatch.context() as m:
+        keep = E.materialize
+        m.setattr(E, "materialize", lambda df, name: written.append((name, out := keep(df, name))) or out)
+        got = sorted(map(tuple, evaluate_retrieval(cases, shared, index, (1, 4)).collect()))
+    want = sorted(map(tuple, evaluate_retrieval(cases, spark.createDataFrame(rows, "case_id long, id long, listed boolean, gain double"), index, (1, 4)).collect()))
+    assert len(got) == 30 and [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[-1] == b[-1] and a[2:-1] == pytest.approx(b[2:-1], abs=1e-12)
+    assert max(df.count() for _, df in written) <= len(members)
