@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.operators import delimited as D, dedup
-from quern.queries.base import CHUNKS, Tables, chunks, query
+from quern.queries.base import CHUNKS, ORACLE_SQL, Tables, chunks, query  # noqa: F401 (tests take ORACLE_SQL from here)
 from quern.sources import files
 from quern.sources.loader import load_files
 from quern.sources.tables import materialize, with_global_index
@@ -153,7 +153,23 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", files.decode_text(F.when(F.col("doc_id") % 2 == 0, bom).otherwise(latin)).alias("text"))
 
 
-@query("s4_read_plain_text", "SELECT 'd' || doc_id || '.md' AS source, text AS page_content FROM documents")
+#: Cells that begin with a quote, with a letter in place of what is quoted: delimiters and line ends that are left are those of the csv module.
+_UNQUOTED = lambda text, c: rf"""regexp_replace({text}, '(^|[{c}\r\n])"(?:[^"]|"")*(?:"|$)', '\1Q', 'g')"""
+_CHAR = {";": "chr(59)", ",": "chr(44)", "\\t": "chr(9)"}
+_FIELDS = lambda line, c: f"len({line}) - len(replace({line}, {c}, '')) + 1"
+_WIDTH = lambda c: f"list_distinct(list_transform(string_split({_UNQUOTED('first', c)}, chr(10)), lambda x: {_FIELDS('x', _CHAR[c])}))"
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+
+
+@query("s4_read_plain_text", rf"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '^\x{{feff}}', '') AS text FROM documents), h AS (SELECT *, array_to_string(list_slice(string_split(text, chr(10)), 1, 200), chr(10)) AS head FROM d),
+l AS (SELECT *, array_to_string(list_slice(list_filter(string_split_regex(head, '\r\n|[\n\r\v\f\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: NOT regexp_full_match(x, '{_BLANK}')), 1, 5), chr(10)) AS first FROM h),
+w AS (SELECT *, {", ".join(f"{_WIDTH(c)} AS {n}" for n, c in zip(("s", "c", "t"), _CHAR))} FROM l),
+n AS (SELECT *, {", ".join(f"CASE WHEN len({n}) = 1 THEN {n}[1] ELSE 0 END AS n_{n}" for n in ("s", "c", "t"))} FROM w),
+r AS (SELECT *, CASE WHEN n_t > 1 AND n_t >= greatest(n_s, n_c) THEN chr(9) WHEN n_c > 1 AND n_c >= n_s THEN chr(44) ELSE chr(59) END AS delimiter FROM n),
+u AS (SELECT *, string_split_regex(CASE delimiter WHEN chr(9) THEN {_UNQUOTED("head", "\\t")} WHEN chr(44) THEN {_UNQUOTED("head", ",")} ELSE {_UNQUOTED("head", ";")} END, '\r\n|\r|\n') AS records FROM r)
+SELECT 'd' || doc_id || '.md' AS source, text AS page_content FROM u
+WHERE NOT coalesce(len(records) - (records[-1] = '')::INT > 50 AND records[1] <> '' AND {_FIELDS("records[1]", "delimiter")} >= 2, false)""")
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select(F.concat(F.lit("/in/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "utf-8").alias("content"))
     return files.read_plain_text(files.with_file_hash(rows)).select("source", "page_content")

@@ -256,3 +256,19 @@ def test_quantiles_of_mostly_equal_values(spark):
     got = {r.g: r for r in metrics.quantiles(df, "v", cuts, "g").collect()}
     for g in ("all", None):
         assert [got[g][c] for c in cuts] == pytest.approx(plain(np.array([v for v, k in rows if k == g and v is not None and np.isfinite(v)])), rel=1e-12)
+
+
+def test_sql_of_plain_text_leaves_out_tables():
+    """The SQL of s4_read_plain_text has the operator's rule: quoted line ends and delimiters, blank lines, CR, three delimiters."""
+    import duckdb
+    import pandas as pd
+
+    from quern.queries.tables import ORACLE_SQL
+    from quern.sources.files import HEAD_LINES, _is_table
+
+    texts = ["", "plain", "a,b\n" * 50, "a,b\n" * 51, "a;b\r\n" * 60, "a\tb\r" * 60, "\n" + "a;b\n" * 60, "a;b,c\n" * 60, "a,b\n" + "word\n" * 60, '"x;y"\n' * 60, '"x;y";z\n' * 60, 'a;"b\nc"\n' * 40, 'a;"b\nc"\n' * 60, 'q;"open\n' + "a;b\n" * 60, "a;b\n\n" * 30, 'a;"b""c"d;e\n' * 55]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    kept = {r[0] for r in con.execute(ORACLE_SQL["s4_read_plain_text"]).fetchall()}
+    assert kept == {f"d{i}.md" for i, t in enumerate(texts) if not _is_table("\n".join(t.split("\n")[:HEAD_LINES]))}
+    assert 3 < len(kept) < len(texts) - 3
