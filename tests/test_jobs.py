@@ -43,6 +43,20 @@ def test_corpus_job(spark, tmp_path):
     spark.sql("DROP TABLE corpus_job_index")
 
 
+def test_job_reads_and_cleans_a_document_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = [(f"f{i % 3}", i, f"Texto {i} con palabras.", i, ("no_chunk", "light_chunk", None)[i % 3], f"E{i}", None, "exact_key") for i in range(30)]
+    docs = spark.createDataFrame(rows, "source string, doc_id int, page_content string, row int, chunking_hint string, entity_key string, group_key string, dedup_policy string")
+    assert run_corpus_job(docs.mapInPandas(counted, docs.schema), hash_embedder, keyword_tagger, 16).index.count() == 30
+    assert read.value == 30
+
+
 def plain_job(docs, size, overlap, threshold):
     """The job over rows(source, doc_id, text, hint, entity) with a loop for each step; one policy by doc_id."""
     chunks = []
