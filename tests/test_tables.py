@@ -1,11 +1,13 @@
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import delimited as D
 from quern.operators.sampling import balanced_sample, parse_question_array
-from quern.sources import delimited_text, files
+from quern.sources import delimited_text, digests, files
 from quern.sources.tables import with_global_index
 
 
@@ -26,6 +28,29 @@ def test_scan_and_decode(spark, tmp_path):
     assert found.where("source = 'c.md'").first().file_hash == hashlib.sha256(b"x\x90\xe9").hexdigest()
 
 
+def test_hashes_of_files_that_no_task_reads_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(digests, "LARGE", 20_000)
+    monkeypatch.setattr(digests, "STEP", 16_384)
+    (tmp_path / "a b").mkdir()
+    noise = random.Random(5).randbytes(150_000)
+    held = {"noise.md": noise, "cut.md": noise[:60_000] + b"\n", "long.txt": b"x" * 50_000, "marked.csv": b"\xef\xbb\xbfa;b\r\n" + b"1;2\r\n" * 9000, "marked.txt": b"\xef\xbb\xbf" + b"uno dos\n" * 6000 + b"fin", "small.md": noise[:900], "lines.txt": b"\n" * 30_000, "z.gz": gzip.compress(noise)}
+    for name, content in held.items():
+        write(tmp_path / "a b", name, content)
+    settings = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.sources.binaryFile.maxLength": "20000"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found, _ = files.scan_files(spark, str(tmp_path))
+        got = {r.source: r.file_hash for r in found.select("source", "file_hash").collect()}
+        assert got == {name: hashlib.sha256(content).hexdigest() for name, content in held.items() if name != "z.gz"}
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        found, _ = files.scan_files(spark, str(tmp_path), (".md", ".gz"))
+        assert {r.source: (bytes(r.content), r.file_hash) for r in found.collect()} == {name: (content, hashlib.sha256(content).hexdigest()) for name, content in held.items() if name.endswith(("md", "gz"))}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_read_delimited(spark, tmp_path):
     write(tmp_path, "t.csv", 'ID,x; Nombre ;ID\n1;" a ";2\n3;b\n4;c;5;6;7\n')
     found, _ = files.scan_files(spark, str(tmp_path))
