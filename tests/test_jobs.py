@@ -57,6 +57,24 @@ def test_job_reads_and_cleans_a_document_once(spark):
     assert read.value == 30
 
 
+def size_of(path):
+    return sum(os.path.getsize(f) for f in glob.glob(f"{path.removeprefix('file://')}/**", recursive=True) if os.path.isfile(f))
+
+
+def test_job_writes_texts_once(spark):
+    """Of a job's texts, which can't be packed, one copy is left beside what the steps found, and none in shuffles."""
+    rng = np.random.default_rng(2)
+    rows = [(f"f{i % 3}", i, " ".join(rng.bytes(int(n)).hex() for n in rng.integers(2, 12, 1500)), i, ("no_chunk", None)[i % 2], f"E{i}", None, ("exact_key", None)[i % 3 > 1]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "source string, doc_id int, page_content string, row int, chunking_hint string, entity_key string, group_key string, dedup_policy string")
+    folders = [spark.conf.get("spark.checkpoint.dir"), spark.conf.get("spark.local.dir")]
+    docs.write.parquet(path := f"{folders[0]}/texts-alone")
+    texts, before = size_of(path), [size_of(f) for f in folders]
+    job = run_corpus_job(spark.read.parquet(path), hash_embedder, keyword_tagger, 16, overlap=0)
+    shared, shuffled = (size_of(f) - b for f, b in zip(folders, before, strict=True))
+    assert shared < 2 * texts and shuffled < texts, (shared, shuffled, texts)
+    assert job.index.where("chunk_index = 0").count() > 130 and job.metrics["dedup"].first().pre > 1000
+
+
 def plain_job(docs, size, overlap, threshold):
     """The job over rows(source, doc_id, text, hint, entity) with a loop for each step; one policy by doc_id."""
     chunks = []

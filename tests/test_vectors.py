@@ -255,6 +255,38 @@ def test_nearest_rows_leave_out_most_leaves(monkeypatch):
     assert sum(pairs) < 0.3 * len(v) ** 2
 
 
+def test_many_strips_shuffle_in_rounds(spark, monkeypatch):
+    """Nearest rows and near pairs among 40 strips: all are found, copies in one strip and in several among them, and what is shuffled doesn't grow with the pairs of strips."""
+    import glob
+    import os
+
+    from quern.operators import blocks
+
+    n, rounds = 3000, []
+    for name, value in {"STRIP_BYTES": n * 64 // 40, "ROUND_BYTES": 1 << 16, "LEAF_ROWS": 16, "BLOCK_ROWS": 40}.items():
+        monkeypatch.setattr(blocks, name, value)
+    keep = blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda df, name: rounds.append(name) or keep(df, name))
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 8))[rng.integers(0, 60, n)] + rng.normal(size=(n, 8)) * 0.2
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[200:400], v[50:53], v[7], v[9] = v[3], v[40], 0, 1.5 * v[9]
+    sims = np.round(v @ v.T, 9)
+    np.fill_diagonal(sims, -np.inf)
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+    packed_ = packed(frame(spark, v).repartition(4), "pos", "embedding", 40)
+    before = size()
+    found = nearest(packed_)
+    assert size() - before < 4 * v.nbytes and packed_.strips > 30 and rounds.count("nearest-other") > 2
+    got = {r.id: r for r in found.collect()}
+    assert sorted(got) == list(range(n))
+    for i in range(n):
+        assert got[i].sim == pytest.approx(sims[i].max(), abs=1e-8) and sims[i, got[i].other] == pytest.approx(sims[i].max(), abs=1e-8)
+    assert all(got[i].other == 40 for i in (50, 51, 52)) and got[40].other == 50
+    edges = sorted((min(r.a, r.b), max(r.a, r.b)) for r in similarity_edges(packed_, 0.95).collect())
+    assert edges == [(i, j) for i, j in np.argwhere(np.triu(sims >= 0.95, 1)).tolist()] and "tile-round" in rounds
+
+
 @pytest.mark.parametrize(("leading", "dropped"), [(40, 0.0), (40, 0.9), (250, 0.1)])
 def test_greedy_in_rounds_of_leading_rows(spark, monkeypatch, leading, dropped):
     from quern.operators import dedup
